@@ -92,4 +92,14 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 from counted
 """
 
-SQL = {"op1_sharding": OP1, "op10_quality_rules": OP10, "op5_line_dedup": OP5, "op7_decontamination": OP7}
+OP4 = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, unnest(range(1, len(w) - 33)) as i, unnest(list_transform(range(1, len(w) - 33), lambda k: sha256(array_to_string(list_slice(w, k, k + 34), ' ')))) as p from d where len(w) >= 35),
+again as (select doc_id, i from win qualify count(*) over (partition by p) > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 35)) as i from again),
+each as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as x from d),
+cut as (select each.doc_id, count(gone.i) as n_removed, string_agg(case when gone.i is null then x end, ' ' order by each.i) as kept from each left join gone on each.doc_id = gone.doc_id and each.i = gone.i group by 1)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join cut using (doc_id)
+"""
+
+SQL = {"op4_repeated_phrases": OP4, "op1_sharding": OP1, "op10_quality_rules": OP10, "op5_line_dedup": OP5, "op7_decontamination": OP7}
