@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmere.llm import decontam, linededup, linequality, phrases, sharding
+from lexmere.llm import decontam, linededup, linequality, neardup, phrases, sharding
 from lexmere.llm.shared import table
 
 
@@ -15,6 +15,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op4_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = phrases.remove_recurring(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -35,7 +39,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op4_repeated_phrases, op5_line_dedup, op7_decontamination, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sharding, op3_near_dedup, op4_repeated_phrases, op5_line_dedup, op7_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -102,4 +102,15 @@ cut as (select each.doc_id, count(gone.i) as n_removed, string_agg(case when gon
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join cut using (doc_id)
 """
 
-SQL = {"op4_repeated_phrases": OP4, "op1_sharding": OP1, "op10_quality_rules": OP10, "op5_line_dedup": OP5, "op7_decontamination": OP7}
+OP3 = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select doc_id, list_distinct(case when len(w) = 0 then []::varchar[] when len(w) = 1 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from d),
+one as (select doc_id, len(s) as n, unnest(s) as x from sets),
+shared as (select a.doc_id as u, b.doc_id as v, count(*) as k, any_value(a.n) as na, any_value(b.n) as nb from one a join one b on a.x = b.x and a.doc_id < b.doc_id where 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by 1, 2),
+links as (select u, v from shared where 100 * k >= 80 * (na + nb - k) union all select v, u from shared where 100 * k >= 80 * (na + nb - k)),
+reach as (select doc_id as u, doc_id as v from d union select reach.u, links.v from reach join links on reach.v = links.u),
+least_ as (select u as doc_id, min(v) as component_id from reach group by 1)
+select doc_id, len(s)::bigint as n_shingles, component_id, doc_id = component_id as kept from sets join least_ using (doc_id)
+"""
+
+SQL = {"op3_near_dedup": OP3, "op4_repeated_phrases": OP4, "op1_sharding": OP1, "op10_quality_rules": OP10, "op5_line_dedup": OP5, "op7_decontamination": OP7}
