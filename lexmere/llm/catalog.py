@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmere.llm import decontam, linededup, linequality, neardup, phrases, sharding
+from lexmere.llm import decontam, linededup, linequality, neardup, packing, phrases, sharding, tokenstore
 from lexmere.llm.shared import table
 
 
@@ -15,6 +15,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = tokenstore.write_store(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), 2)
+    return tokenstore.read_store(spark, store)
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -29,6 +41,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 0)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judge(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -39,7 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_near_dedup, op4_repeated_phrases, op5_line_dedup, op7_decontamination, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sharding, op2_rans_tokens, op3_near_dedup, op4_repeated_phrases, op5_line_dedup, op6_best_fit_packing, op7_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
