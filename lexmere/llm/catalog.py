@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmere.llm import decontam, linededup, linequality, neardup, packing, phrases, sharding, tokenstore
+from lexmere.llm import decontam, linededup, linequality, nbsvm, neardup, packing, phrases, secrets, sharding, tokenstore
 from lexmere.llm.shared import table
 
 
@@ -49,13 +49,26 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judge(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return nbsvm.score(docs, nbsvm.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linequality.measure(table(spark, sf_dir, "documents"))
     return out.select(*[c for c in out.columns if c != "clean_text"], F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_rans_tokens, op3_near_dedup, op4_repeated_phrases, op5_line_dedup, op6_best_fit_packing, op7_decontamination, op10_quality_rules)}
+    every = (
+        op1_sharding, op2_rans_tokens, op3_near_dedup, op4_repeated_phrases, op5_line_dedup,
+        op6_best_fit_packing, op7_decontamination, op8_secret_scan, op9_quality_classifier, op10_quality_rules,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
