@@ -109,8 +109,8 @@ def _hits(doc: Column, aligned: Column, window: int) -> Column:
     return F.flatten(F.transform(aligned, of))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, hits (item_id, start, length), one row per input row.
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry_key: bool = False) -> DataFrame:
+    """doc_id, n_words, hits (item_id, start, length) and, if asked, key (the row_key), one row per input row.
 
     Null or empty text: no words. Items without words are left out; null item_ids take part.
     Rows equal in doc_id and text are one document and get equal results. Other columns aren't read.
@@ -127,7 +127,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     rows = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), terms(F.col("text")).alias("w"))
     rows = rows.join(_small(cands, cands.count()), "key", "left")
     found = F.when(F.col("aligned").isNotNull(), _hits(F.col("w"), F.col("aligned"), window))
-    return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), found.alias("hits"))
+    return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), found.alias("hits"), *["key"] * carry_key)
 
 
 def judge(found: DataFrame) -> DataFrame:
@@ -139,9 +139,10 @@ def judge(found: DataFrame) -> DataFrame:
         lambda s: s["n"],
     )
     ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.coalesce(h["item_id"].cast("string"), F.lit("null")))))
-    rows = found.select("doc_id", "n_words", covered.cast("long").alias("n_hit"), F.coalesce(ids, F.array().cast("array<string>")).alias("items"))
+    key = [c for c in found.columns if c == "key"]
+    rows = found.select(*key, "doc_id", "n_words", covered.cast("long").alias("n_hit"), F.coalesce(ids, F.array().cast("array<string>")).alias("items"))
     return rows.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        *key, "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
