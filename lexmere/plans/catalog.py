@@ -104,7 +104,7 @@ def rrf_floor_exclusion(spark, d):
     return search.rrf([x.join(types, "id") for x in _lists(spark, d)], "id", 10, floor=0.3, excluded=("0", "1"), type_col="type")
 
 
-@query(f"with {_FUSE.replace('doc_id < 500', 'doc_id in (select vec_id from embeddings)')}, fused as (select id, round(sum(1 / (60 + r)), 6) as score, min((l, r)) as f from ranked group by id) select id as doc_id, score from fused order by score desc, f, id limit 10")
+@query(f"with {_FUSE.replace('doc_id < 500', 'doc_id in (select vec_id from embeddings)').replace('from embeddings e,', 'from (select * from embeddings where vec_id in (select doc_id from documents)) e,')}, fused as (select id, round(sum(1 / (60 + r)), 6) as score, min((l, r)) as f from ranked group by id) select id as doc_id, score from fused order by score desc, f, id limit 10")
 def hybrid_search(spark, d):
     """The flagship: documents with their vectors, searched by vector and words."""
     own = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
