@@ -2,11 +2,16 @@
 
 Documents with equal shingle sets form one class and are handled once. Classes meet in the
 buckets of 51 bands of five registers each (a pair of similarity 0.8 misses all bands with
-probability 2e-9). In a bucket every class is paired with the bucket's least class only;
-pairs whose estimated similarity is six standard deviations below the threshold are dropped,
-the others are confirmed on whole sets. Buckets whose classes are then still in more than one
-component have their remaining cross-component pairs tested too, so no link is lost, while a
-large group of copies costs as many pairs as it has members.
+probability 2e-9). In a bucket, classes are held against leaders only: one in the first round,
+up to four, sixteen and so on in later ones, until every class was a leader or lies within
+estimated similarity TIGHT of one. Leaders and classes at LOOSE or more are of one family. As 1 - similarity is a
+metric, two classes of similarity 0.8, one of them within TIGHT of a leader, are both LOOSE to it,
+so every link that shares a bucket lies within a family.
+
+Leader pairs whose estimate is within six standard deviations of the threshold or above are confirmed on whole sets.
+Families that are then still in several components have all classes outside the largest one
+compared with the whole family, in blocks, on whole sets: no link is lost, no pair is
+written down that is not one, and a large group of copies costs as many pairs as it has members.
 """
 
 from __future__ import annotations
@@ -27,8 +32,10 @@ ROWS = 5
 BANDS = hmh.REGISTERS // ROWS
 #: Members of one leader that are compared in one group.
 GROUP = 256
-#: A side of at most this many rows is broadcast, a larger one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Estimated similarity to a leader at which a class needs no other leader, and at which it joins its family.
+TIGHT, LOOSE = 0.6, 0.3
+#: Classes of a family in one block.
+BLOCK = 512
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -62,15 +69,20 @@ def _estimated(percent: int) -> Callable[[Batches], Batches]:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, hmh.REGISTERS) for c in ("regs_a", "regs_b"))
             na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
             small, large = np.minimum(na, nb), np.maximum(na, nb)
-            floor = t - 6 * np.sqrt(t * (1 - t) / np.minimum(small, hmh.REGISTERS))
-            keep = (hmh.estimate(a, b) >= floor) & (100 * small >= percent * large)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            # A small set's registers repeat its few shingles: the estimate is no better than one of so many draws.
+            slack = 6 * np.sqrt(t * (1 - t) / np.minimum(small, hmh.REGISTERS))
+            about = hmh.estimate(a, b)
+            close = (about >= t - slack) & (100 * small >= percent * large)
+            loose = (about >= LOOSE) | (small < hmh.REGISTERS // 4)
+            keep = pa.array(close | loose)
+            tight = (about >= TIGHT) & (small >= hmh.REGISTERS // 4)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(close), pa.array(tight)], ["a", "b", "close", "tight"]).filter(keep)
 
     return run
 
 
-def _sets(size: int) -> Callable[[Batches], Batches]:
-    """Texts to rows (lead, salt, node, leads, set); drops texts whose set is not the class's."""
+def _sets(size: int, carry: list[str]) -> Callable[[Batches], Batches]:
+    """Texts to their sets, with the columns in carry; drops texts whose set is not the class's."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
@@ -78,7 +90,7 @@ def _sets(size: int) -> Callable[[Batches], Batches]:
                 hashes, bounds = hmh.shingle_sets(part.column("text"), size)
                 own = hmh.set_hashes(hashes, bounds)[0].view(np.int64)
                 raw = [hashes[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                rows = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("lead", "salt", "node", "leads")), pa.array(raw, pa.binary())], ["lead", "salt", "node", "leads", "set"])
+                rows = pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(raw, pa.binary())], [*carry, "set"])
                 yield rows.filter(pa.array(own == part.column("s1").to_numpy(zero_copy_only=False)))
 
     return run
@@ -100,23 +112,96 @@ def _linked(percent: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _crossed(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """A block's links between its minor classes and others: for each minor class one link to each component."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pydict()
+        sides: dict[bool, dict[int, tuple[int, np.ndarray]]] = {True: {}, False: {}}
+        for node, comp, minor, raw in zip(rows["node"], rows["comp"], rows["minor"], rows["set"], strict=True):
+            sides[minor][node] = (comp, np.frombuffer(raw, np.uint64))
+        a, b = [], []
+        if sides[False]:
+            nodes, comps, sets = list(sides[False]), np.array([c for c, _ in sides[False].values()]), [x for _, x in sides[False].values()]
+            sizes = np.array([len(x) for x in sets])
+            every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], owner[order]
+            for node, (comp, own) in sides[True].items():
+                low, high = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+                n = high - low
+                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(sets))
+                hit = np.flatnonzero((100 * both >= percent * (sizes + len(own) - both)) & (comps != comp))
+                for i in hit[np.unique(comps[hit], return_index=True)[1]]:
+                    a.append(node), b.append(nodes[i])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links: estimated on sketches, then confirmed on whole sets."""
+def _scored(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b, close (may be a link), tight: pairs that are close or of one family."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("regs").alias(f"regs_{x}"), F.col("n").alias(f"n_{x}"))
-    close = stage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated(percent), "a long, b long"), "close-pairs")
+    return stage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated(percent), "a long, b long, close boolean, tight boolean"), "scored-pairs")
+
+
+def _confirmed(close: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links on whole sets. Members of one leader go to groups of GROUP, each with the leader's set."""
     salts = F.ceil(F.col("members") / GROUP).cast("int")
     degree = close.groupBy("a").agg(F.count("*").alias("members")).withColumn("salts", salts)
     members = close.join(degree, "a").select(F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("node"), F.lit(False).alias("leads"))
     leads = degree.select(F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("node"), F.lit(True).alias("leads"))
+    carry = ["lead", "salt", "node", "leads"]
     wanted = stage(members.unionByName(leads).join(classes.select("node", "key", "s1"), "node"), "wanted-sets")
-    sets = texts.join(_small(wanted, wanted.count()), "key").select("text", "s1", "lead", "salt", "node", "leads").mapInArrow(_sets(size), "lead long, salt int, node long, leads boolean, set binary")
+    sets = texts.join(wanted, "key").select("text", "s1", *carry).mapInArrow(_sets(size, carry), "lead long, salt int, node long, leads boolean, set binary")
     return sets.groupBy("lead", "salt").applyInArrow(_linked(percent), "a long, b long")
 
 
+def _families(classes: DataFrame, percent: int) -> DataFrame:
+    """Scored leader pairs (a, b, close) of all rounds."""
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("regs", b * 2 * ROWS + 1, F.lit(2 * ROWS))))
+    bands = classes.select("node", F.explode(keys).alias("band"))
+    buckets = bands.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("m")).filter("m > 1").select("band", "lead")
+    led = stage(bands.join(buckets, "band").filter("node != lead"), "buckets")
+    found, leaders = None, 1
+    while True:
+        pairs = led.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+        scored = _scored(pairs, classes, percent)
+        found = scored if found is None else found.unionByName(scored)
+        tight = scored.filter("tight").select(F.col("a").alias("lead"), F.col("b").alias("node"))
+        near = led.join(tight, ["lead", "node"], "left_semi").select("band", "node").distinct()
+        left = led.select("band", "node").distinct().join(near, ["band", "node"], "left_anti")
+        left = left.join(led.select("band", F.col("lead").alias("node")).distinct(), ["band", "node"], "left_anti")
+        many = left.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1").select("band")
+        left = stage(left.join(many, "band"), "unled")
+        if left.isEmpty():
+            return found
+        leaders *= 4
+        first = left.withColumn("nth", F.row_number().over(Window.partitionBy("band").orderBy("node"))).filter(F.col("nth") <= leaders).select("band", F.col("node").alias("lead"))
+        led = stage(left.join(first, "band").filter("node != lead"), "buckets")
+
+
+def _across(found: DataFrame, links: DataFrame, comps: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Links between the components of each family; None if no family has several."""
+    families = components(found.select("a", "b").unionByName(links)).select("node", F.col("comp").alias("family"))
+    placed = families.join(comps, "node", "left").select("node", "family", F.coalesce("comp", "node").alias("comp"))
+    sizes = placed.groupBy("family", "comp").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("family").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("m").alias("all")).filter("comps > 1")
+    main = main.select("family", F.col("top.comp").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("all") - F.col("top.m")) / BLOCK).cast("int").alias("minors"))
+    mixed = stage(placed.join(main, "family"), "families")
+    if mixed.isEmpty():
+        return None
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = mixed.select("family", "node", "comp", F.lit(False).alias("minor"), part("parts").alias("x"), every("minors").alias("y"))
+    minor = mixed.filter("comp != main").select("family", "node", "comp", F.lit(True).alias("minor"), every("parts").alias("x"), part("minors").alias("y"))
+    carry = ["family", "x", "y", "node", "comp", "minor"]
+    wanted = stage(rest.unionByName(minor).join(classes.select("node", "key", "s1"), "node"), "wanted-sets")
+    sets = texts.join(wanted, "key").select("text", "s1", *carry).mapInArrow(_sets(size, carry), "family long, x int, y int, node long, comp long, minor boolean, set binary")
+    return stage(sets.groupBy("family", "x", "y").applyInArrow(_crossed(percent), "a long, b long"), "links")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp (the least node reachable) for every node of links (a, b): least labels spread along links and jump to their own label's label."""
     edges = stage(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
@@ -147,27 +232,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.first("regs").alias("regs"))
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("regs", b * 2 * ROWS + 1, F.lit(2 * ROWS))))
-    bands = classes.select("node", F.explode(keys).alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("m")).filter("m > 1").select("band", "lead")
-    met = stage(bands.join(buckets, "band"), "buckets")
-    first = met.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    first = stage(first, "pairs")
-    links = stage(_confirmed(first, classes, texts, size, percent), "links")
+    found = _families(classes, percent)
+    close = found.filter("close").select("a", "b").distinct()
+    links = stage(_confirmed(close, classes, texts, size, percent), "links")
     comps = components(links)
-
-    # Buckets with classes in more than one component: all pairs across components, the largest component's own members aside.
-    placed = met.join(comps, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo != hi and m > 2").select("band")
-    open_ = stage(placed.join(mixed, "band"), "open-buckets")
-    sizes = open_.groupBy("band", "comp").agg(F.count("*").alias("m"))
-    most = sizes.groupBy("band").agg(F.max(F.struct("m", "comp")).alias("top")).select("band", F.col("top.comp").alias("main"))
-    minor = open_.join(most, "band").filter("comp != main").select("band", F.col("node").alias("x"), F.col("comp").alias("x_comp"))
-    across = open_.join(minor, "band").filter("comp != x_comp").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-    across = stage(across.join(first, ["a", "b"], "left_anti"), "pairs")
-    if not across.isEmpty():
-        links = links.unionByName(stage(_confirmed(across, classes, texts, size, percent), "links"))
-        comps = components(links)
+    across = _across(found, links, comps, classes, texts, size, percent)
+    if across is not None:
+        comps = components(links.unionByName(across))
 
     named = classes.join(comps, "node", "left").select("s1", "s2", "least", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
