@@ -33,7 +33,7 @@ BANDS = hmh.REGISTERS // ROWS
 #: Members of one leader that are compared in one group.
 GROUP = 256
 #: Estimated similarity to a leader at which a class needs no other leader, and at which it joins its family.
-TIGHT, LOOSE = 0.6, 0.3
+TIGHT, LOOSE = 0.5, 0.22
 #: Classes of a family in one block.
 BLOCK = 512
 
@@ -69,13 +69,11 @@ def _estimated(percent: int) -> Callable[[Batches], Batches]:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, hmh.REGISTERS) for c in ("regs_a", "regs_b"))
             na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
             small, large = np.minimum(na, nb), np.maximum(na, nb)
-            # A small set's registers repeat its few shingles: the estimate is no better than one of so many draws.
-            slack = 6 * np.sqrt(t * (1 - t) / np.minimum(small, hmh.REGISTERS))
-            about = hmh.estimate(a, b)
-            close = (about >= t - slack) & (100 * small >= percent * large)
-            loose = (about >= LOOSE) | (small < hmh.REGISTERS // 4)
-            keep = pa.array(close | loose)
-            tight = (about >= TIGHT) & (small >= hmh.REGISTERS // 4)
+            # Six deviations of 256 draws; shingles that share a register can cost a small set one more.
+            slack, about = 6 * np.sqrt(t * (1 - t) / hmh.REGISTERS), hmh.estimate(a, b)
+            close = (about >= t - slack - 1 / small) & (100 * small >= percent * large)
+            keep = pa.array(close | (about >= LOOSE - 1 / small))
+            tight = about >= TIGHT
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(close), pa.array(tight)], ["a", "b", "close", "tight"]).filter(keep)
 
     return run
