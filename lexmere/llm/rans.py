@@ -42,6 +42,8 @@ class Table:
             freq[np.argmax(freq)] += total - freq.sum()
         self.freq = freq.astype(U)
         self.low = (np.cumsum(freq) - freq).astype(U)
+        self.index = np.zeros(int(self.symbols[-1]) + 1 if len(self.symbols) else 1, np.uint32)
+        self.index[self.symbols] = np.arange(len(self.symbols), dtype=np.uint32)
         self._slots: np.ndarray | None = None
 
     @property
@@ -55,7 +57,7 @@ class Table:
 def encode_block(ids: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray]:
     """(states, words) of one block."""
     lanes = max(1, min(LANES, len(ids) // 64))
-    at = np.searchsorted(table.symbols, ids)
+    at = table.index[ids]
     freq, low = table.freq[at], table.low[at]
     limit = freq << U(63 - BITS)
     state, words = np.full(lanes, LOW), []

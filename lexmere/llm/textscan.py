@@ -79,7 +79,8 @@ def buffers(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.combine_chunks()
         if isinstance(texts, pa.ChunkedArray):
             texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    binary = pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type)
+    texts = pc.fill_null(texts.cast(pa.large_binary() if binary else pa.large_string()), b"" if binary else "")
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, off, data = texts.buffers()

@@ -136,10 +136,10 @@ class Encoder:
         order = np.argsort(start, kind="stable")
         return start[order], end[order], hashes[order]
 
-    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
-        new, at = np.unique(hashes, return_index=True)
-        fresh = ~ts.isin_sorted(new, self.known)
-        new, at = new[fresh], at[fresh]
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, distinct: np.ndarray, at: np.ndarray) -> None:
+        """Encodes the distinct segments that are new; at: where each stands."""
+        fresh = ~ts.isin_sorted(distinct, self.known)
+        new, at = distinct[fresh], at[fresh]
         if not len(new):
             return
         got = [self._segment(data[a:b].tobytes().decode("utf-8")) for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
@@ -157,8 +157,9 @@ class Encoder:
             self._forget()
         odd = np.unique([np.searchsorted(off, m.start(), "right") - 1 for m in WIDE_SPACE.finditer(data)]) if len(data) else []
         start, end, hashes = self._segments(data, off)
-        self._learn(data, start, end, hashes)
-        at = np.searchsorted(self.known, hashes)
+        distinct, where, own = np.unique(hashes, return_index=True, return_inverse=True)
+        self._learn(data, start, end, distinct, where)
+        at = np.searchsorted(self.known, distinct)[own]
         size = self.size[at]
         total = np.cumsum(size)
         ids = self.ids[np.repeat(self.first[at] - (total - size), size) + np.arange(total[-1] if len(total) else 0)]

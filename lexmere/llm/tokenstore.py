@@ -18,8 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from tokenizers import Tokenizer
 
 from lexmere.llm import rans
+from lexmere.llm import textscan as ts
 from lexmere.llm.shared import shared_dir, stage
 from lexmere.llm.tokens import encoded
 
@@ -29,27 +31,36 @@ FRAME = 1 << 18
 Batches = Iterator[pa.RecordBatch]
 
 
-def _tokenized(path: str, end_id: int) -> Callable[[Batches], Batches]:
+def _width(path: str) -> str:
+    """The narrowest integers that hold every id of a tokenizer."""
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def _tokenized(path: str, end_id: int, width: str) -> Callable[[Batches], Batches]:
+    step = np.dtype(width).itemsize
+
     def run(batches: Batches) -> Batches:
         for part, ids, bounds in encoded(batches, path, end_id):
-            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer((bounds * 4).astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())])
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer((bounds * step).astype(np.int64).tobytes()), pa.py_buffer(ids.astype(width).tobytes())])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), raw.cast(pa.binary())], ["doc_id", "ids"])
 
     return run
 
 
-def _counted(batches: Batches) -> Batches:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for raw in batch.column("ids"):
-            got = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"), minlength=len(total))
+def _counted(width: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            got = np.bincount(ts.buffers(batch.column("ids"))[0].view(width), minlength=len(total))
             got[: len(total)] += total
             total = got
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
+
+    return run
 
 
-def _framed(symbols: np.ndarray, counts: np.ndarray) -> Callable[[Batches], Batches]:
+def _framed(symbols: np.ndarray, counts: np.ndarray, width: str) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         table, shard, first = rans.Table(symbols, counts), TaskContext.get().partitionId(), 0
         names, parts, held = [], [], 0
@@ -62,7 +73,7 @@ def _framed(symbols: np.ndarray, counts: np.ndarray) -> Callable[[Batches], Batc
         for batch in batches:
             for i, raw in enumerate(batch.column("ids")):
                 names.append(batch.column("doc_id").slice(i, 1))
-                parts.append(np.frombuffer(raw.as_buffer(), "<u4"))
+                parts.append(np.frombuffer(raw.as_buffer(), width))
                 held += len(parts[-1])
                 if held >= FRAME:
                     yield frame()
@@ -106,15 +117,15 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str | None =
     """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex[:12]}"
-    kind = dict(docs.dtypes)["doc_id"]
-    made = docs.select("doc_id", "text").mapInArrow(_tokenized(tokenizer, end_id), f"doc_id {kind}, ids binary")
+    kind, width = dict(docs.dtypes)["doc_id"], _width(tokenizer)
+    made = docs.select("doc_id", "text").mapInArrow(_tokenized(tokenizer, end_id, width), f"doc_id {kind}, ids binary")
     raw = f"{path}/unordered"
     made.write.option("compression", "zstd").parquet(raw)
     made = spark.read.schema(made.schema).parquet(raw)
-    counts = made.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = made.select("ids").mapInArrow(_counted(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts.coalesce(1).write.parquet(f"{path}/table")
     ordered = made.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    frames = ordered.mapInArrow(_framed(*_table(spark, path)), "shard int, first long, n_ids long, frame binary")
+    frames = ordered.mapInArrow(_framed(*_table(spark, path), width), "shard int, first long, n_ids long, frame binary")
     frames.write.option("compression", "uncompressed").parquet(f"{path}/frames")
     folder = spark._jvm.org.apache.hadoop.fs.Path(raw)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
