@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from lexmere.llm import hyperminhash as hmh
 from lexmere.llm import textscan as ts
-from lexmere.llm.shared import row_key, stage
+from lexmere.llm.shared import WORD, row_key, stage
 
 ROWS = 5
 BANDS = hmh.REGISTERS // ROWS
@@ -215,9 +215,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, carry_key: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents linked where 100 * intersection >= percent * union.
 
+    If asked, also key (the row_key) and comp, a number of the component that is never null where there are shingles.
+
     Sets are of distinct shingles of ``size`` words, A-Z lower-cased; fewer words make one
     shingle. Null, empty and blank texts have none and are linked with nothing. component_id is the
     least doc_id reachable over links, the own one included; kept is doc_id = component_id (null
@@ -240,19 +242,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     named = classes.join(comps, "node", "left").select("s1", "s2", "least", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = stage(named.join(least, "comp").select("s1", "s2", "component_id"), "components")
-    out = rows.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
+    more = ["comp"] * carry_key
+    named = stage(named.join(least, "comp").select("s1", "s2", "component_id", *more), "components")
+    more = ["key"] * carry_key + more
+    out = rows.join(named, ["s1", "s2"], "left").select("doc_id", "n", "component_id", *more)
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *more)
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, one of each component of near duplicates: the one with the least doc_id.
+    """The rows of docs, one of each component of near duplicates: the one with the least doc_id, nulls last.
 
-    Where that doc_id stands in several rows of the component, the row whose text hash is least stays.
+    Where that doc_id stands in several rows of the component, the row whose row_key is least stays.
     Documents without words are linked with nothing and all stay.
     """
-    found = near_duplicates(docs, size, percent).filter("kept").select("doc_id").distinct()
-    keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text"))).join(found.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    w = Window.partitionBy("doc_id").orderBy("__key")
-    return keyed.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "__key")
+    found = near_duplicates(docs, size, percent, carry_key=True).filter("n_shingles > 0")
+    first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first")).select(F.col("first.key").alias("__key"))
+    worded = F.coalesce("text", F.lit("")).rlike(WORD)
+    keyed = docs.filter(worded).withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
+    one = keyed.join(first, "__key", "left_semi").dropDuplicates(["__key"])  # rows equal in doc_id and text have one key
+    return one.drop("__key").unionByName(docs.filter(~worded))

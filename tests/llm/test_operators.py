@@ -183,6 +183,16 @@ def test_near_duplicates_edges(spark):
     assert same == [(2, 1, 2, True), (2, 1, 2, True), (4, 1, 2, False), (4, 1, 2, False), (7, 0, 7, True)]
 
 
+def test_keep_one_of_each_component_whatever_the_doc_ids(spark):
+    kept = lambda texts, ids: sorted(((r["doc_id"], r["text"]) for r in neardup.keep_one(frame(spark, texts, ids)).collect()), key=repr)
+    # Null doc_ids: three components, one of them with a row that has an id; rows without words all stay.
+    texts = ["a b c d e f", "g h i j k l", "g h i j k l", "m n o p q r", "m n o p q r", None, None, "", " \n", ""]
+    assert kept(texts, [None, None, None, None, 3, None, None, None, None, 7]) == sorted(
+        [(None, "a b c d e f"), (None, "g h i j k l"), (3, "m n o p q r"), (None, None), (None, None), (None, ""), (None, " \n"), (7, "")], key=repr)
+    # A repeated doc_id in two components, and rows of it whose component is kept under another doc_id.
+    assert kept(["a b c", "a b c", "z y x", "u v w", "u v w", "r s t"], [2, 2, 2, 2, 1, 2]) == [(1, "u v w"), (2, "a b c"), (2, "r s t"), (2, "z y x")]
+
+
 def test_hyperminhash_estimates():
     rng = np.random.default_rng(3)
     for n, j in ((2000, 0.8), (2000, 0.3), (60, 0.6)):
