@@ -3,7 +3,8 @@
 A text is cut at ASCII white space where the tokenizer's own rules always cut, so a text's ids are
 the ids of its segments in order. Distinct segments of a batch are found by hash with numpy;
 only new ones go through the library's normalizer, pre-tokenizer and model. Texts with white
-space beyond ASCII, where the cut could matter, go through the library whole.
+space beyond ASCII, where the cut could matter, or with the string of an added token (such as
+<|endoftext|>, one id) go through the library whole.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # In lower case: a normalizer may lower texts before added tokens are looked for.
+        self.added = [x.content.encode().lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
         # A byte-level tokenizer without a normalizer keeps white space and joins a single space to the word after it.
         self.keeps_space = self.tokenizer.normalizer is None
         self.model = self.tokenizer.model
@@ -82,6 +84,17 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
         self.pieces: dict[str, list[int]] = {}
 
+    def _apart(self, data: np.ndarray) -> list[int]:
+        """Byte places of what sends a text through the library whole."""
+        places = [m.start() for m in WIDE_SPACE.finditer(data)]
+        low = ts.LOWER[data].tobytes()
+        for token in self.added:
+            at = low.find(token)
+            while at >= 0:
+                places.append(at)
+                at = low.find(token, at + 1)
+        return places
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -155,7 +168,7 @@ class Encoder:
         data, off = ts.buffers(texts)
         if len(self.known) > REMEMBERED:
             self._forget()
-        odd = np.unique([np.searchsorted(off, m.start(), "right") - 1 for m in WIDE_SPACE.finditer(data)]) if len(data) else []
+        odd = np.unique(np.searchsorted(off, self._apart(data), "right") - 1) if len(data) else []
         start, end, hashes = self._segments(data, off)
         distinct, where, own = np.unique(hashes, return_index=True, return_inverse=True)
         self._learn(data, start, end, distinct, where)

@@ -13,6 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lexmere.llm import decontam, hyperminhash, linededup, linequality, nbsvm, neardup, packing, phrases, rans, secrets, sharding, tokenstore
 from lexmere.llm import textscan as ts
@@ -126,6 +127,15 @@ def test_tokens_match_the_library(name):
     assert e.encode(pa.array([], pa.string()), 2)[1].tolist() == [0]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_match_a_fresh_library(name):
+    fresh = Tokenizer.from_file(tokenizer(name))
+    texts = ["hi <|endoftext|> you", "a<|endoftext|><|startoftext|>b", "<|ENDOFTEXT|> <|endoftext|", "plain text", "", "<|endof", "text|> c", "é <|startoftext|>\n\nd"]
+    ids, bounds = tk.Encoder(tokenizer(name)).encode(pa.array(texts), 2)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [[*fresh.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert ids[: bounds[1]].tolist() == {"byte": [5303, 220, 50256, 345, 2], "word": [1883, 49407, 592, 2]}[name[:4]]
+
+
 def test_token_store(spark):
     docs = clashing(frame(spark, [*HARD, "last"], [9, 3, 3, None, 5, 6, 7, 8, 1, 2, 4, 0, 10]))
     path = tokenstore.write_store(docs, tokenizer("byte_bpe_50k.json"), 2)
