@@ -32,8 +32,12 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, item (its words): items with at least one word; equal items of one id count once."""
-    return benchmark.select("item_id", terms(F.col("text")).alias("item")).filter(F.size("item") > 0).distinct()
+    """item_key, item_id, item (its words): items with at least one word; equal items of one id count once.
+
+    item_key is never null, so joins on it keep items whose item_id is.
+    """
+    items = benchmark.select("item_id", terms(F.col("text")).alias("item")).filter(F.size("item") > 0).distinct()
+    return items.select(F.xxhash64("item_id", "item", F.col("item_id").isNull()).alias("item_key"), "item_id", "item")
 
 
 def corpus_terms(docs: DataFrame) -> DataFrame:
@@ -48,21 +52,21 @@ def frequencies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """item_id, item, term, offset, need: the places of each window's rarest terms.
+    """item_key, item_id, item, term, offset, need: the places of each window's rarest terms.
 
     need: for each window of the item, the offsets that must all be met for it to occur.
     """
-    placed = items.select("item_id", "item", F.posexplode("item").alias("offset", "term")).join(counts, "term")
-    ranked = placed.groupBy("item_id", "item").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("by"))
+    placed = items.select("item_key", "item_id", "item", F.posexplode("item").alias("offset", "term")).join(counts, "term")
+    ranked = placed.groupBy("item_key", "item_id", "item").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("by"))
     span = F.least(F.size("item"), F.lit(window))
     need = F.array_distinct(F.transform(
         F.sequence(F.lit(0), F.size("item") - span),
         lambda s: F.array_sort(F.transform(F.slice(F.filter("by", lambda x: (x["offset"] >= s) & (x["offset"] < s + span)), 1, rarest), lambda x: x["offset"])),
     ))
-    chosen = ranked.select("item_id", "item", "by", need.alias("need"))
+    chosen = ranked.select("item_key", "item_id", "item", "by", need.alias("need"))
     chosen = chosen.withColumn("offsets", F.array_distinct(F.flatten("need")))
-    return chosen.select("item_id", "item", "need", F.explode(F.filter("by", lambda x: F.array_contains("offsets", x["offset"]))).alias("x")).select(
-        "item_id", "item", "need", F.col("x.term").alias("term"), F.col("x.offset").alias("offset"))
+    return chosen.select("item_key", "item_id", "item", "need", F.explode(F.filter("by", lambda x: F.array_contains("offsets", x["offset"]))).alias("x")).select(
+        "item_key", "item_id", "item", "need", F.col("x.term").alias("term"), F.col("x.offset").alias("offset"))
 
 
 def postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -71,13 +75,13 @@ def postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def alignments(index: DataFrame, places: DataFrame) -> DataFrame:
-    """key, item_id, align: where an item may start in a document, judged by one window's rarest terms."""
-    shifted = index.join(places.select("term", "item_id", "offset"), "term").select("key", "item_id", (F.col("pos") - F.col("offset")).alias("align"), "offset")
-    met = shifted.groupBy("key", "item_id", "align").agg(F.collect_set("offset").alias("met"))
-    need = places.select("item_id", "need").distinct()
-    return met.join(need, "item_id").filter(
+    """key, item_key, align: where an item may start in a document, judged by one window's rarest terms."""
+    shifted = index.join(places.select("term", "item_key", "offset"), "term").select("key", "item_key", (F.col("pos") - F.col("offset")).alias("align"), "offset")
+    met = shifted.groupBy("key", "item_key", "align").agg(F.collect_set("offset").alias("met"))
+    need = places.select("item_key", "need").distinct()
+    return met.join(need, "item_key").filter(
         F.exists("need", lambda w: F.size(F.array_except(w, F.col("met"))) == 0)
-    ).select("key", "item_id", "align").distinct()
+    ).select("key", "item_key", "align").distinct()
 
 
 def proximity(index: DataFrame, places: DataFrame, slop: int = 8) -> DataFrame:
@@ -86,12 +90,12 @@ def proximity(index: DataFrame, places: DataFrame, slop: int = 8) -> DataFrame:
     Each occurrence of the item's first-listed rarest term opens one span; one pair of rows for
     each posting within reach, none across items.
     """
-    counted = places.groupBy("item_id").agg(F.countDistinct("term").alias("k"), (F.max("offset") - F.min("offset") + 1 + slop).alias("reach"))
-    found = index.join(places.select("term", "item_id").distinct(), "term")
+    counted = places.groupBy("item_key").agg(F.countDistinct("term").alias("k"), (F.max("offset") - F.min("offset") + 1 + slop).alias("reach"))
+    found = index.join(places.select("term", "item_key", "item_id").distinct(), "term")
     width = F.col("reach")
-    near = found.join(counted, "item_id").withColumn("cell", F.floor(F.col("pos") / width))
+    near = found.join(counted, "item_key").withColumn("cell", F.floor(F.col("pos") / width))
     both = near.withColumn("cell", F.explode(F.array(F.col("cell"), F.col("cell") - 1)))
-    ends = Window.partitionBy("key", "item_id", "cell").orderBy("pos").rangeBetween(Window.currentRow, 1_000_000)
+    ends = Window.partitionBy("key", "item_key", "cell").orderBy("pos").rangeBetween(Window.currentRow, 1_000_000)
     spans = both.withColumn("ahead", F.sort_array(F.collect_list(F.struct("pos", "term")).over(ends)))
     spans = spans.withColumn("within", F.filter("ahead", lambda x: x["pos"] < F.col("pos") + F.col("reach")))
     spans = spans.filter(F.size(F.array_distinct(F.transform("within", lambda x: x["term"]))) == F.col("k"))
@@ -122,7 +126,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry_key:
     places = stage(anchors(items, counts, window), "anchors")
     wanted = places.select("term").distinct()
     index = stage(postings(docs, _small(wanted, wanted.count())), "postings")
-    met = alignments(index, places).join(items, "item_id")
+    met = alignments(index, places).join(items, "item_key")
     cands = stage(met.groupBy("key").agg(F.collect_list(F.struct("item_id", "align", "item")).alias("aligned")), "alignments")
     rows = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), terms(F.col("text")).alias("w"))
     rows = rows.join(_small(cands, cands.count()), "key", "left")

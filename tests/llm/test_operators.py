@@ -346,6 +346,14 @@ def test_decontamination_matches_brute_force(spark):
     assert none["n_items"] == 0 and not none["contaminated"] and decontam.find(frame(spark, ["a"]).limit(0), bench).count() == 0
 
 
+def test_items_with_null_ids_contaminate(spark):
+    items = [(None, "red green blue"), (None, "one two three four"), (8, "five six seven")]
+    texts = ["Red, green: blue", "x one two three four y red green blue", "five six seven", "green red blue"]
+    rows = sorted(decontam.judge(decontam.find(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"))).collect(), key=lambda r: r["doc_id"])
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert [tuple(r)[2:] for r in rows] == [(3, 1, sha("null"), True), (7, 1, sha("null"), True), (3, 1, sha("8"), True), (0, 0, sha(""), False)]
+
+
 def test_proximity(spark):
     items = decontam.items_of(spark.createDataFrame([(1, "red green blue")], "item_id long, text string"))
     docs = frame(spark, ["red x blue y green", "red " + "z " * 40 + "green blue", "blue green red", "red green"])
