@@ -36,12 +36,13 @@ CLASSES = (
     CharClass("hex_entropy", "0123456789abcdefABCDEF", 20, 3.0),
     CharClass("base64_entropy", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.9),
 )
-#: Candidates that look random and are not secrets: UUIDs, alphabets, placeholders, word lists joined by signs.
+#: Candidates that look random and are not secrets: UUIDs, word lists joined by signs.
 ALLOWED = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"(?i).*(0123456789|abcdefghijklm|example|placeholder|changeme|xxxx).*",
     r"[A-Za-z]+([_/=+-]+[A-Za-z]+)*[_/=+-]*",
 )
+#: Alphabets and placeholders inside candidates: no window that meets one counts, all others do.
+PLACEHOLDER = re.compile("0123456789|abcdefghijklm|example|placeholder|changeme|xxxx", re.I)
 KINDS = ("assign", "access", "hex", *(c.kind for c in CLASSES))
 
 
@@ -58,6 +59,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def _between(run: str) -> Iterator[tuple[int, str]]:
+    """Start and text of the parts of a candidate outside placeholders."""
+    at = 0
+    for m in PLACEHOLDER.finditer(run):
+        yield at, run[at : m.start()]
+        at = m.end()
+    yield at, run[at:]
+
+
 def entropy_spans(run: str, window: int, bits: float) -> list[tuple[int, int]]:
     """Maximal unions of the windows of a string with at least ``bits`` of Shannon entropy.
 
@@ -98,7 +108,7 @@ class Scanner:
                 run = m[0]
                 if not (any(x.isdigit() for x in run) and any(x.isalpha() for x in run)) or any(p.fullmatch(run) for p in self.allowed):
                     continue
-                for a, b in entropy_spans(run, c.window, c.bits):
+                for a, b in ((x + at, y + at) for at, part in _between(run) for x, y in entropy_spans(part, c.window, c.bits)):
                     a, b = a + m.start(), b + m.start()
                     if not any(x <= a and b <= y for x, y in held):
                         found.append((c.kind, a, b))

@@ -390,6 +390,16 @@ def test_secret_scan(spark):
     assert rows[8]["base_sha256"] == hashlib.sha256(b"hex:0:17").hexdigest() and secrets.scan_secrets(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_placeholders_hide_only_what_they_touch():
+    rand = "q7Zp2Kx9Lm4Rt8Wv3Bn6"
+    added = lambda text: secrets.Scanner().added(text, [])
+    for word in ("example", "EXAMPLE", "changeme", "0123456789"):
+        assert added(f"{word}_key={rand}") == [("base64_entropy", len(word), len(word) + 25)]
+    assert added(f"{rand}/xxxx/{rand}") == [("base64_entropy", 0, 21), ("base64_entropy", 25, 46)]
+    assert added(rand * 100 + "xxxx" + rand * 100) == [("base64_entropy", 0, 2000), ("base64_entropy", 2004, 4004)]
+    assert added("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") == added("example_0123456789_placeholder") == []
+
+
 def test_classifier_learns_and_keeps_its_folds(spark):
     rng = random.Random(17)
     good = [" ".join(rng.choice(["the", "of", "cat", "dog", "runs", "home."]) for _ in range(40)) for _ in range(150)]
