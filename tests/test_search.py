@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 
 from lexmere.functions import vectors
 from lexmere.operators import search
+from lexmere.plans import catalog
 
 
 def _list(spark, rows):
@@ -27,6 +28,19 @@ def test_rrf_floor_types_and_fallback(spark):
     assert [(r["id"], r["score"]) for r in search.rrf([low], "id", 10, floor=0.3, excluded=search.NOISE, type_col="type").collect()] == [("a", 0.0)]
 
 
+def test_registered_fusions_and_diff_take_all_documents(spark, tmp_path):
+    d = str(tmp_path)
+    rows = [(i, "the oner" if i >= 600 else "x", "en") for i in [*range(20), *range(600, 612)]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, i / 9], i % 4) for i in range(8)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    words = [r["id"] for r in catalog._lists(spark, d)[1].collect()]
+    assert words == list(range(600, 612))
+    assert [r["id"] for r in catalog.rrf_fusion(spark, d).collect()] == [0, 600, 1, 601, 2, 602, 3, 603, 4, 604]
+    assert [r["id"] for r in catalog.rrf_floor_exclusion(spark, d).collect()] == [600, 601, 2, 602, 3, 603, 604, 605, 6, 606]
+    plan = catalog.version_diff(spark, d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "% 10" not in plan and sorted(r["doc_id"] for r in catalog.version_diff(spark, d).collect()) == [0, 600]
+
+
 def test_filters_are_typed(spark):
     df = spark.createDataFrame([("a' or 1=1", 1), ("b", 2)], "s string, n int")
     assert df.filter(search.compile_filters({"s": "a' or 1=1"})).count() == 1
