@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections import defaultdict
 from collections.abc import Sequence
 
@@ -135,18 +136,22 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> D
     return ranks
 
 
-def distances(edges: DataFrame, start: object, max_rounds: int = 100) -> DataFrame:
-    """node, distance: least sum of (non-negative) weights along outgoing edges, by rounds of relaxation until nothing gets shorter."""
+def distances(edges: DataFrame, start: object, max_rounds: int | None = None) -> DataFrame:
+    """node, distance: least sum of (non-negative) weights along outgoing edges, by rounds of relaxation until nothing gets shorter.
+
+    A path of n edges takes n rounds and one more; with ``max_rounds``, an error if something still gets shorter in the last.
+    """
     best = edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.lit(0.0).alias("distance"))
     moved = best
-    for _ in range(max_rounds):
+    for n in itertools.count(1):
         offers = moved.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min(F.col("distance") + F.col("weight")).alias("offer"))
         better = offers.join(best, F.col("dst") == F.col("node"), "left").filter("distance is null or offer < distance")
         moved = staged(better.select(F.col("dst").alias("node"), F.col("offer").alias("distance")), "relaxed")
         if moved.isEmpty():
-            break
+            return best
+        if n == max_rounds:
+            raise ValueError(f"distances still get shorter after {max_rounds} rounds")
         best = staged(best.join(moved.select("node"), "node", "left_anti").unionByName(moved), "distances")
-    return best
 
 
 def communities(edges: DataFrame, bound: int = 2_000_000, rounds: int = 20) -> dict[object, int]:

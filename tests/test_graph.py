@@ -31,6 +31,14 @@ def test_paths(edges):
         graph.dijkstra(edges, "a", "c", bound=2)
 
 
+def test_distances_never_stop_short_in_silence(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(4)] + [(0, 4, 9.0)], "src long, dst long, weight double")
+    far = {(i, float(i)) for i in range(5)}
+    assert _pairs(graph.distances(chain, 0), "node", "distance") == _pairs(graph.distances(chain, 0, max_rounds=5), "node", "distance") == far
+    with pytest.raises(ValueError, match="3 rounds"):
+        graph.distances(chain, 0, max_rounds=3)
+
+
 def test_pagerank_sums_to_one(edges):
     ranks = dict(_pairs(graph.pagerank(edges, 10), "node", "rank"))
     assert abs(sum(ranks.values()) - 1) < 1e-9 and ranks["d"] > ranks["a"]
