@@ -19,6 +19,9 @@ BITS = 8
 REGISTERS = 1 << BITS
 MANTISSA = 10
 REST = 64 - BITS
+ROWS = 8
+#: Registers of each band: runs of eight, and every 32nd from each of the first 32 on. Two bands share one register at most.
+BANDS = np.concatenate([np.arange(REGISTERS).reshape(-1, ROWS), np.arange(REGISTERS).reshape(ROWS, -1).T])
 
 _order = np.argsort(ts.mix(np.arange(REGISTERS * REGISTERS, dtype=U) + U(1)).reshape(REGISTERS, REGISTERS), axis=1)
 #: RANK[j, b]: place of register b in the order of register j.
@@ -38,10 +41,10 @@ def shingle_sets(texts: pa.Array | pa.ChunkedArray, size: int) -> tuple[np.ndarr
     full = at + size <= w.doc_end
     hashes, owner = ts.grams(w.hash, size)[full], doc[full]
     counts = np.diff(w.first)
-    for i in np.flatnonzero((counts > 0) & (counts < size)):
-        a, b = w.first[i], w.first[i + 1]
-        hashes = np.append(hashes, ts.grams(w.hash[a:b], int(b - a))[0])
-        owner = np.append(owner, i)
+    for n in range(1, size):
+        few = np.flatnonzero(counts == n)
+        if len(few):
+            hashes, owner = np.r_[hashes, ts.grams(w.hash, n)[w.first[few]]], np.r_[owner, few]
     order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]
     new = np.ones(len(hashes), bool)
@@ -90,6 +93,14 @@ def sketches(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def bands(registers: np.ndarray) -> np.ndarray:
+    """One row of band keys for each sketch; the band is part of its key."""
+    keys = np.repeat(np.arange(1, len(BANDS) + 1, dtype=U)[None, :], len(registers), axis=0)
+    for at in BANDS.T:
+        keys = ts.mix(keys * U(ts.GRAM) + registers[:, at].astype(U))
+    return keys
+
+
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Jaccard similarity of rows of sketches, less the share of registers that agree by chance.
 

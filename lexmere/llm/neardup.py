@@ -1,17 +1,17 @@
 """Near-duplicate documents: HyperMinHash candidates, exact links, connected components.
 
 Documents with equal shingle sets form one class and are handled once. Classes meet in the
-buckets of 51 bands of five registers each (a pair of similarity 0.8 misses all bands with
-probability 2e-9). In a bucket, classes are held against leaders only: one in the first round,
-up to four, sixteen and so on in later ones, until every class was a leader or lies within
-estimated similarity TIGHT of one. Leaders and classes at LOOSE or more are of one family. As 1 - similarity is a
-metric, two classes of similarity 0.8, one of them within TIGHT of a leader, are both LOOSE to it,
-so every link that shares a bucket lies within a family.
-
-Leader pairs whose estimate is within six standard deviations of the threshold or above are confirmed on whole sets.
-Families that are then still in several components have all classes outside the largest one
-compared with the whole family, in blocks, on whole sets: no link is lost, no pair is
-written down that is not one, and a large group of copies costs as many pairs as it has members.
+buckets of 64 bands of eight registers each, two arrangements of the 256 registers (a pair of
+similarity 0.8 shares 11 buckets on average and misses all with probability 8e-6). Sets so small that only an
+equal set can reach the threshold are in no band.
+
+A bucket's classes are first held against one leader: the class that meets the most others over all its
+buckets, so the text that a group of copies was made from leads rather than one of the copies.
+What a leader leads is its star. Within a star, estimates that are corrected for collisions pick the members whose whole sets are
+compared with the leader's. Buckets that are then in one component are done. Of the others,
+the members outside a star's largest component meet the whole star, estimate first and sets after, in blocks of bounded size
+within tasks: no pair is written down that is not a link, and a class links to another component
+once for each block at most. That work grows with the product of these two numbers only.
 """
 
 from __future__ import annotations
@@ -22,20 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexmere.llm import hyperminhash as hmh
 from lexmere.llm import textscan as ts
-from lexmere.llm.shared import WORD, row_key, stage
+from lexmere.llm.shared import WORD, drop, row_key, stage
 
-ROWS = 5
-BANDS = hmh.REGISTERS // ROWS
-#: Members of one leader that are compared in one group.
-GROUP = 256
-#: Estimated similarity to a leader at which a class needs no other leader, and at which it joins its family.
-TIGHT, LOOSE = 0.5, 0.22
-#: Classes of a family in one block.
-BLOCK = 512
+#: Members of one star, or classes of one block, that are compared in one group, and how many shingles they hold, about.
+GROUP, SHINGLES = 512, 1 << 22
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -45,6 +38,10 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())]).cast(pa.binary())
 
 
+def _registers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, hmh.REGISTERS)
+
+
 def _sketched(size: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         for batch in batches:
@@ -59,28 +56,16 @@ def _sketched(size: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def _estimated(percent: int) -> Callable[[Batches], Batches]:
-    t = percent / 100
-
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            if not len(batch):
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, hmh.REGISTERS) for c in ("regs_a", "regs_b"))
-            na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
-            small, large = np.minimum(na, nb), np.maximum(na, nb)
-            # Six deviations of 256 draws; shingles that share a register can cost a small set one more.
-            slack, about = 6 * np.sqrt(t * (1 - t) / hmh.REGISTERS), hmh.estimate(a, b)
-            close = (about >= t - slack - 1 / small) & (100 * small >= percent * large)
-            keep = pa.array(close | (about >= LOOSE - 1 / small))
-            tight = about >= TIGHT
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(close), pa.array(tight)], ["a", "b", "close", "tight"]).filter(keep)
-
-    return run
+def _banded(batches: Batches) -> Batches:
+    for batch in batches:
+        if len(batch):
+            keys = hmh.bands(_registers(batch.column("regs")))
+            node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(keys.ravel().view(np.int64))], ["node", "band"])
 
 
-def _sets(size: int, carry: list[str]) -> Callable[[Batches], Batches]:
-    """Texts to their sets, with the columns in carry; drops texts whose set is not the class's."""
+def _sets(size: int) -> Callable[[Batches], Batches]:
+    """Texts to their sets and sketches; drops texts whose set is not the class's."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
@@ -88,131 +73,152 @@ def _sets(size: int, carry: list[str]) -> Callable[[Batches], Batches]:
                 hashes, bounds = hmh.shingle_sets(part.column("text"), size)
                 own = hmh.set_hashes(hashes, bounds)[0].view(np.int64)
                 raw = [hashes[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                rows = pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(raw, pa.binary())], [*carry, "set"])
+                rows = pa.RecordBatch.from_arrays([part.column("node"), _binary(hmh.sketches(hashes, bounds)), pa.array(raw, pa.binary())], ["node", "regs", "set"])
                 yield rows.filter(pa.array(own == part.column("s1").to_numpy(zero_copy_only=False)))
 
     return run
 
 
-def _linked(percent: int) -> Callable[[pa.Table], pa.Table]:
+def _links(own: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], sketches: np.ndarray, percent: int) -> np.ndarray:
+    """The places of the sets that are linked with own: those with a near estimate are compared whole."""
+    t = percent / 100
+    sizes = np.array([len(s) for s in sets])
+    small, large = np.minimum(sizes, len(own)), np.maximum(sizes, len(own))
+    # Six deviations of 256 draws; shingles that share a register can cost a small set one more.
+    slack = 6 * np.sqrt(t * (1 - t) / hmh.REGISTERS)
+    at = np.flatnonzero(100 * small >= percent * large)
+    at = at[hmh.estimate(regs[None, :], sketches[at]) >= t - slack - 1 / small[at]]
+    if not len(at):
+        return at
+    both = np.add.reduceat(ts.isin_sorted(np.concatenate([sets[i] for i in at]), own), np.r_[0, np.cumsum(sizes[at])[:-1]])
+    return at[100 * both >= percent * (sizes[at] + len(own) - both)]
+
+
+def _led(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """A star's links between its leader and members."""
+
     def run(group: pa.Table) -> pa.Table:
-        rows = group.to_pydict()
-        lead = next((np.frombuffer(s, np.uint64) for s, is_lead in zip(rows["set"], rows["leads"], strict=True) if is_lead), None)
-        found = set()
-        for node, is_lead, raw in zip(rows["node"], rows["leads"], rows["set"], strict=True):
-            if not is_lead and node not in found and lead is not None:
-                own = np.frombuffer(raw, np.uint64)
-                both = int(ts.isin_sorted(own, lead).sum())
-                if 100 * both >= percent * (len(own) + len(lead) - both):
-                    found.add(node)
-        return pa.table({"a": pa.array([rows["lead"][0]] * len(found), pa.int64()), "b": pa.array(list(found), pa.int64())})
+        leads = group.column("leads").to_numpy(zero_copy_only=False)
+        found, lead = np.zeros(0, np.int64), np.flatnonzero(leads)
+        if len(lead):
+            sets = [np.frombuffer(s, np.uint64) for s in group.column("set").to_pylist()]
+            sketches, rest = _registers(group.column("regs")), np.flatnonzero(~leads)
+            found = group.column("node").to_numpy()[rest[_links(sets[lead[0]], sketches[lead[0]], [sets[i] for i in rest], sketches[rest], percent)]]
+        return pa.table({"a": pa.array(np.repeat(group.column("lead").to_numpy()[:1], len(found)), pa.int64()), "b": pa.array(found, pa.int64())})
 
     return run
 
 
 def _crossed(percent: int) -> Callable[[pa.Table], pa.Table]:
-    """A block's links between its minor classes and others: for each minor class one link to each component."""
+    """The components (a, b) that a block's minor classes join: for each such class one link to each other component."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows = group.to_pydict()
-        sides: dict[bool, dict[int, tuple[int, np.ndarray]]] = {True: {}, False: {}}
-        for node, comp, minor, raw in zip(rows["node"], rows["comp"], rows["minor"], rows["set"], strict=True):
-            sides[minor][node] = (comp, np.frombuffer(raw, np.uint64))
-        a, b = [], []
-        if sides[False]:
-            nodes, comps, sets = list(sides[False]), np.array([c for c, _ in sides[False].values()]), [x for _, x in sides[False].values()]
-            sizes = np.array([len(x) for x in sets])
-            every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-            order = np.argsort(every, kind="stable")
-            every, owner = every[order], owner[order]
-            for node, (comp, own) in sides[True].items():
-                low, high = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
-                n = high - low
-                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                both = np.bincount(owner[at], minlength=len(sets))
-                hit = np.flatnonzero((100 * both >= percent * (sizes + len(own) - both)) & (comps != comp))
-                for i in hit[np.unique(comps[hit], return_index=True)[1]]:
-                    a.append(node), b.append(nodes[i])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        minor, comp = (group.column(c).to_numpy(zero_copy_only=False) for c in ("minor", "comp"))
+        sets, sketches = [np.frombuffer(s, np.uint64) for s in group.column("set").to_pylist()], _registers(group.column("regs"))
+        rest, found = np.flatnonzero(~minor), set()
+        for i in np.flatnonzero(minor):
+            others = rest[comp[rest] != comp[i]]
+            hit = others[_links(sets[i], sketches[i], [sets[j] for j in others], sketches[others], percent)] if len(others) else others
+            found.update((min(comp[i], c), max(comp[i], c)) for c in np.unique(comp[hit]))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return run
 
 
-def _scored(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b, close (may be a link), tight: pairs that are close or of one family."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("regs").alias(f"regs_{x}"), F.col("n").alias(f"n_{x}"))
-    return stage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated(percent), "a long, b long, close boolean, tight boolean"), "scored-pairs")
-
-
-def _confirmed(close: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links on whole sets. Members of one leader go to groups of GROUP, each with the leader's set."""
-    salts = F.ceil(F.col("members") / GROUP).cast("int")
-    degree = close.groupBy("a").agg(F.count("*").alias("members")).withColumn("salts", salts)
-    members = close.join(degree, "a").select(F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("node"), F.lit(False).alias("leads"))
-    leads = degree.select(F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("node"), F.lit(True).alias("leads"))
-    carry = ["lead", "salt", "node", "leads"]
-    wanted = stage(members.unionByName(leads).join(classes.select("node", "key", "s1"), "node"), "wanted-sets")
-    sets = texts.join(wanted, "key").select("text", "s1", *carry).mapInArrow(_sets(size, carry), "lead long, salt int, node long, leads boolean, set binary")
-    return sets.groupBy("lead", "salt").applyInArrow(_linked(percent), "a long, b long")
-
-
-def _families(classes: DataFrame, percent: int) -> DataFrame:
-    """Scored leader pairs (a, b, close) of all rounds."""
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("regs", b * 2 * ROWS + 1, F.lit(2 * ROWS))))
-    bands = classes.select("node", F.explode(keys).alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("m")).filter("m > 1").select("band", "lead")
-    led = stage(bands.join(buckets, "band").filter("node != lead"), "buckets")
-    found, leaders = None, 1
-    while True:
-        pairs = led.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-        scored = _scored(pairs, classes, percent)
-        found = scored if found is None else found.unionByName(scored)
-        tight = scored.filter("tight").select(F.col("a").alias("lead"), F.col("b").alias("node"))
-        near = led.join(tight, ["lead", "node"], "left_semi").select("band", "node").distinct()
-        left = led.select("band", "node").distinct().join(near, ["band", "node"], "left_anti")
-        left = left.join(led.select("band", F.col("lead").alias("node")).distinct(), ["band", "node"], "left_anti")
-        many = left.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1").select("band")
-        left = stage(left.join(many, "band"), "unled")
-        if left.isEmpty():
-            return found
-        leaders *= 4
-        first = left.withColumn("nth", F.row_number().over(Window.partitionBy("band").orderBy("node"))).filter(F.col("nth") <= leaders).select("band", F.col("node").alias("lead"))
-        led = stage(left.join(first, "band").filter("node != lead"), "buckets")
-
-
-def _across(found: DataFrame, links: DataFrame, comps: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """Links between the components of each family; None if no family has several."""
-    families = components(found.select("a", "b").unionByName(links)).select("node", F.col("comp").alias("family"))
-    placed = families.join(comps, "node", "left").select("node", "family", F.coalesce("comp", "node").alias("comp"))
-    sizes = placed.groupBy("family", "comp").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("family").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("m").alias("all")).filter("comps > 1")
-    main = main.select("family", F.col("top.comp").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("all") - F.col("top.m")) / BLOCK).cast("int").alias("minors"))
-    mixed = stage(placed.join(main, "family"), "families")
+def _buckets(classes: DataFrame, percent: int) -> DataFrame:
+    """band, lead, node: the classes of every bucket of two or more, the leader too."""
+    able = classes.filter(100 * F.col("n") >= percent * (F.col("n") + 1))
+    bands = stage(able.select("node", "regs").mapInArrow(_banded, "node long, band long"), "bands")
+    # Tables that are joined are written first: both sides are then plain shuffles, of which a hot key's partition can be split.
+    counts = stage(bands.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
+    shared = stage(bands.join(counts, "band"), "shared")
+    drop(bands, counts)
+    meets = shared.groupBy("node").agg(F.sum(F.col("m") - 1).alias("meets"))
+    first = F.max(F.struct("meets", (-F.col("node")).alias("last")))
+    leaders = stage(shared.join(meets, "node").groupBy("band").agg((-first["last"]).alias("lead")), "leaders")
+    led = stage(shared.select("band", "node").join(leaders, "band"), "led")
+    drop(shared, leaders)
+    return led
+
+
+def _whole(led: DataFrame, classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """node, regs, set of the classes that share a bucket."""
+    keys = stage(led.select("node").distinct().join(classes.select("node", "key", "s1"), "node"), "wanted")
+    rows = texts.join(keys, "key").select("node", "s1", "text").mapInArrow(_sets(size), "node long, regs binary, set binary")
+    return stage(rows.groupBy("node").agg(F.first("regs").alias("regs"), F.first("set").alias("set")), "sets")  # a row that is repeated has one key
+
+
+def _parts(classes: str, shingles: str) -> F.Column:
+    return F.ceil(F.greatest(F.col(classes) / GROUP, F.col(shingles) / SHINGLES)).cast("int")
+
+
+def _part(parts: str) -> F.Column:
+    return F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+
+
+def _each(parts: str) -> F.Column:
+    return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+
+def _to_leaders(led: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) of stars' members with their leaders. Large stars are dealt into groups, each with the leader's set."""
+    pairs = stage(led.select("lead", "node").distinct().filter("lead != node").join(sizes, "node"), "pairs")
+    stars = stage(pairs.groupBy("lead").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).select("lead", _parts("members", "shingles").alias("parts")), "stars")
+    members = pairs.join(stars, "lead").select("lead", _part("parts").alias("part"), "node", F.lit(False).alias("leads"))
+    leads = stars.select("lead", _each("parts").alias("part"), F.col("lead").alias("node"), F.lit(True).alias("leads"))
+    rows = members.unionByName(leads).join(sets, "node")
+    links = stage(rows.groupBy("lead", "part").applyInArrow(_led(percent), "a long, b long"), "links")
+    drop(pairs, stars)
+    return links
+
+
+def _across(led: DataFrame, comps: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) between the components of each star, by number; None if no bucket of three or more has several."""
+    placed = stage(led.join(comps, "node", "left").select("band", "lead", "node", F.coalesce("comp", "node").alias("comp")), "placed")
+    several = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"))
+    several = stage(several.filter("m > 2 and low != high").select("band"), "several")
+    mixed = stage(placed.join(several, "band", "left_semi").select("lead", "node", "comp").distinct().join(sizes, "node"), "mixed")
+    drop(placed, several)
     if mixed.isEmpty():
         return None
-    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rest = mixed.select("family", "node", "comp", F.lit(False).alias("minor"), part("parts").alias("x"), every("minors").alias("y"))
-    minor = mixed.filter("comp != main").select("family", "node", "comp", F.lit(True).alias("minor"), every("parts").alias("x"), part("minors").alias("y"))
-    carry = ["family", "x", "y", "node", "comp", "minor"]
-    wanted = stage(rest.unionByName(minor).join(classes.select("node", "key", "s1"), "node"), "wanted-sets")
-    sets = texts.join(wanted, "key").select("text", "s1", *carry).mapInArrow(_sets(size, carry), "family long, x int, y int, node long, comp long, minor boolean, set binary")
-    return stage(sets.groupBy("family", "x", "y").applyInArrow(_crossed(percent), "a long, b long"), "links")
+    each = mixed.groupBy("lead", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("held"))
+    stars = each.groupBy("lead").agg(F.max(F.struct("m", "held", "comp")).alias("top"), F.sum("m").alias("every"), F.sum("held").alias("all_held")).select(
+        "lead", F.col("top.comp").alias("main"), "every", "all_held", (F.col("every") - F.col("top.m")).alias("rest"), (F.col("all_held") - F.col("top.held")).alias("rest_held"))
+    stars = stage(stars.filter("rest > 0").select("lead", "main", _parts("every", "all_held").alias("parts"), _parts("rest", "rest_held").alias("minors")), "stars")
+    mixed = mixed.join(stars, "lead")
+    every = mixed.select("lead", "node", "comp", F.lit(False).alias("minor"), _part("parts").alias("x"), _each("minors").alias("y"))
+    minor = mixed.filter("comp != main").select("lead", "node", "comp", F.lit(True).alias("minor"), _each("parts").alias("x"), _part("minors").alias("y"))
+    rows = every.unionByName(minor).join(sets, "node")
+    return stage(rows.groupBy("lead", "x", "y").applyInArrow(_crossed(percent), "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, comp (the least node reachable) for every node of links (a, b): least labels spread along links and jump to their own label's label."""
-    edges = stage(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
-    labels = edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("comp"))
-    labels = stage(labels, "labels")
-    while True:
-        near = edges.join(labels.select(F.col("node").alias("v"), F.col("comp").alias("near")), "v").groupBy("u").agg(F.min("near").alias("near"))
-        spread = labels.join(near.withColumnRenamed("u", "node"), "node", "left").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        new = stage(spread.join(jump, "comp", "left").select("node", "was", F.least("comp", "far").alias("comp")), "labels")
-        labels = new.select("node", "comp")
-        if new.filter("comp != was").isEmpty():
-            return labels
+    """node, comp (one node of its component) for every node of links (a, b).
+
+    Each round, a node joins the least of its neighbours and itself in an order of the round's own, and
+    links between joined nodes become one: few links are left after a few rounds, whatever the shape.
+    """
+    edges = stage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "edges")
+    maps: list[DataFrame] = []
+    while not edges.isEmpty():
+        order = lambda c: F.xxhash64(F.lit(len(maps)), F.col(c))  # noqa: B023, E731
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min(F.struct(order("b").alias("h"), "b")).alias("to"))
+        joined = stage(least.select(F.col("a").alias("node"), F.when(F.col("to.h") < order("a"), F.col("to.b")).otherwise(F.col("a")).alias("comp")), "joined")
+        maps.append(joined)
+        side = lambda c: joined.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))  # noqa: B023, E731
+        moved = edges.join(side("a"), "a").join(side("b"), "b").select(F.least("a_comp", "b_comp").alias("a"), F.greatest("a_comp", "b_comp").alias("b"))
+        was, edges = edges, stage(moved.filter("a != b").distinct(), "edges")
+        drop(was)
+    if not maps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    ends = maps.pop()
+    while maps:
+        joined = maps.pop()
+        further = ends.select(F.col("node").alias("comp"), F.col("comp").alias("end"))
+        was, ends = ends, stage(joined.join(further, "comp", "left").select("node", F.coalesce("end", "comp").alias("comp")), "ends")
+        drop(was, joined)
+    return ends
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, carry_key: bool = False) -> DataFrame:
@@ -232,18 +238,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, carry_key
     classes = rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.first("regs").alias("regs"))
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    found = _families(classes, percent)
-    close = found.filter("close").select("a", "b").distinct()
-    links = stage(_confirmed(close, classes, texts, size, percent), "links")
+    led = _buckets(classes, percent)
+    sizes = classes.select("node", "n")
+    sets = _whole(led, classes, texts, size)
+    links = _to_leaders(led, sizes, sets, percent)
     comps = components(links)
-    across = _across(found, links, comps, classes, texts, size, percent)
-    if across is not None:
-        comps = components(links.unionByName(across))
-
-    named = classes.join(comps, "node", "left").select("s1", "s2", "least", F.coalesce("comp", "node").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
+    across = _across(led, comps, sizes, sets, percent)
+    if across is not None:  # a component's number is one of its nodes, a class without links has its own
+        further = components(across)
+        ends = further.select(F.col("node").alias("comp"), F.col("comp").alias("end"))
+        comps = comps.join(ends, "comp", "left").select("node", F.coalesce("end", "comp").alias("comp")).unionByName(further).distinct()
+    drop(led, sets)
+
+    linked = stage(comps.join(classes.select("node", "least"), "node"), "linked")
+    least = stage(linked.groupBy("comp").agg(F.min("least").alias("component_id")), "least")
+    linked = stage(linked.select("node", "comp").join(least, "comp"), "components")
+    named = classes.join(linked, "node", "left").select(
+        "s1", "s2", F.when(F.col("comp").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("comp", "node").alias("comp"))
     more = ["comp"] * carry_key
-    named = stage(named.join(least, "comp").select("s1", "s2", "component_id", *more), "components")
+    named = stage(named.select("s1", "s2", "component_id", *more), "named")
     more = ["key"] * carry_key + more
     out = rows.join(named, ["s1", "s2"], "left").select("doc_id", "n", "component_id", *more)
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -254,11 +267,14 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, one of each component of near duplicates: the one with the least doc_id, nulls last.
 
     Where that doc_id stands in several rows of the component, the row whose row_key is least stays.
-    Documents without words are linked with nothing and all stay.
+    Documents without words are linked with nothing and all stay. An empty table stays empty; columns
+    are unchanged, whatever their names.
     """
     found = near_duplicates(docs, size, percent, carry_key=True).filter("n_shingles > 0")
-    first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first")).select(F.col("first.key").alias("__key"))
+    first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
+    first = stage(first.select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__first")), "first")
     worded = F.coalesce("text", F.lit("")).rlike(WORD)
     keyed = docs.filter(worded).withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
-    one = keyed.join(first, "__key", "left_semi").dropDuplicates(["__key"])  # rows equal in doc_id and text have one key
+    one = keyed.join(first, (F.col("__key") == F.col("__first")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    one = one.dropDuplicates(["doc_id", "__key"])  # rows equal in doc_id and text are one document
     return one.drop("__key").unionByName(docs.filter(~worded))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -174,11 +175,29 @@ def family(rng, n, words, edits):
     return out
 
 
+def hubs(rng):
+    """Copies of one text that are linked with it and not with each other, short texts with a common pair, a chain of texts."""
+    word = lambda: f"{rng.choice('abcdefgh')}{rng.randrange(90000)}"
+    base = [word() for _ in range(200)]
+    copies = []
+    for _ in range(60):
+        w = list(base)
+        for i in rng.sample(range(200), 9):
+            w[i] = word()
+        copies.append(" ".join(w))
+    pair = [f"common pair {word()}" + (f" {word()}" if rng.random() < 0.5 else "") for _ in range(60)]
+    chain, w = [], list(base[:60])
+    for i in range(20):
+        w[2 * i] = word()
+        chain.append(" ".join(w))
+    return [*copies, " ".join(base), *pair, *chain]
+
+
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_duplicates_match_brute_force(spark, monkeypatch, size):
-    monkeypatch.setattr(neardup, "GROUP", 8), monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "GROUP", 8)
     rng = random.Random(size)
-    texts = HARD + family(rng, 60, 80, 12) + family(rng, 30, 12, 3) + family(rng, 20, 400, 60) + ["A b c d e f", "a B c d e f"]
+    texts = HARD + family(rng, 60, 80, 12) + family(rng, 30, 12, 3) + family(rng, 20, 400, 60) + ["A b c d e f", "a B c d e f"] + hubs(rng) * (size == 2)
     n, comp = brute_components(texts, size, 80)
     rows = sorted(neardup.near_duplicates(clashing(frame(spark, texts)), size, 80).collect(), key=lambda r: r["doc_id"])
     assert [r["n_shingles"] for r in rows] == n
@@ -187,6 +206,32 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, size):
     assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ") and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(comp))
 
 
+def shingle_links(texts, size, percent):
+    """All pairs of texts with different sets that are linked, by an inverted list of shingles; and the sets' sizes."""
+    sets = []
+    for t in texts:
+        w = split_words((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets.append(frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else []))
+    holders = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    common = collections.Counter()
+    for ids in holders.values():
+        common.update((a, b) for k, a in enumerate(ids) for b in ids[k + 1 :])
+    return {(a, b) for (a, b), n in common.items() if sets[a] != sets[b] and 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)}
+
+
+def test_near_duplicates_recall_over_a_whole_table(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the shared tables are not here")
+    texts = [r["text"] for r in spark.read.parquet(path).orderBy("doc_id").collect()]
+    links = shingle_links(texts, 2, 80)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, texts), 2, 80).collect()}
+    assert len(links) > 50 and sum(got[a] == got[b] for a, b in links) == len(links)
+
+
 def test_near_duplicates_edges(spark):
     assert neardup.near_duplicates(frame(spark, []).limit(0)).count() == 0
     same = sorted(tuple(r) for r in neardup.near_duplicates(frame(spark, ["a b c"] * 3 + [None, "z y x"], [4, 4, 2, 7, 2])).collect())
