@@ -29,7 +29,7 @@ def tokens(text: Column) -> Column:
 def camel_case(text: Column) -> Column:
     """CamelCase words of more than two letters, in order, repeats included; word limits are of any script."""
     parts = F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_]+")
-    return F.filter(parts, lambda w: w.rlike(r"^[A-Z][a-z]+([A-Z][a-z]+)*$") & (F.length(w) > 2))
+    return F.filter(parts, lambda w: (w >= "A") & (w < "[") & w.rlike(r"^[A-Z][a-z]+([A-Z][a-z]+)*$") & (F.length(w) > 2))  # the cheap test first
 
 
 def extension(path: Column) -> Column:
@@ -39,7 +39,7 @@ def extension(path: Column) -> Column:
 
 
 def _shebang(text: Column) -> Column:
-    first = F.substring_index(F.coalesce(text, F.lit("")), "\n", 1)
+    first = F.lower(F.substring_index(F.coalesce(text, F.lit("")), "\n", 1))
     found = F.lit(None).cast("string")
     for word, language in reversed(SHEBANGS.items()):
         found = F.when(first.contains(word), F.lit(language)).otherwise(found)

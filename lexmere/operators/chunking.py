@@ -16,7 +16,6 @@ from dataclasses import dataclass, field, replace
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 MAX_SIZE = 2000
 SMALL = 100
@@ -62,12 +61,12 @@ def packed(parts: Iterable[str], max_size: int) -> Iterator[list[str]]:
 
 
 def merged(pieces: list[Piece], max_size: int, same: Callable[[Piece], object], joiner: str = "\n\n") -> list[Piece]:
-    """Joins a piece to a small one before it where ``same`` agrees and both fit."""
+    """Joins a piece to a small one before it where ``same`` agrees and both fit; the first entity name stays."""
     out: list[Piece] = []
     for p in pieces:
         last = out[-1] if out else None
         if last and len(last.text) < SMALL and same(last) == same(p) and len(last.text) + len(p.text) <= max_size:
-            out[-1] = replace(last, text=last.text + joiner + p.text, end_line=p.end_line)
+            out[-1] = replace(last, text=last.text + joiner + p.text, end_line=p.end_line, entity_name=last.entity_name or p.entity_name)
         else:
             out.append(p)
     return out
@@ -169,15 +168,12 @@ def semantic(text: str, embed: Callable[[list[str]], list[list[float]]], max_siz
     return out
 
 
-def _at_boundaries(text: str, max_size: int) -> list[tuple[int, str]]:
-    """(first line, text) of runs that begin at boundary lines once a run is full."""
-    runs, run, first = [], [], 0
-    for i, line in enumerate(text.split("\n")):
-        if run and line.strip().startswith(BOUNDARIES) and sum(len(x) + 1 for x in run) + len(line) > max_size:
-            runs.append((first, "\n".join(run)))
-            run, first = [], i
-        run.append(line)
-    return [*runs, (first, "\n".join(run))]
+def _at_boundaries(text: str) -> list[tuple[int, str]]:
+    """(first line, text) of the runs that begin at boundary lines, blank ones left out."""
+    lines = text.split("\n")
+    firsts = [0, *(i for i, line in enumerate(lines) if i and line.strip().startswith(BOUNDARIES))]
+    runs = ((a, "\n".join(lines[a:b])) for a, b in zip(firsts, [*firsts[1:], len(lines)], strict=True))
+    return [(a, t) for a, t in runs if t.strip()]
 
 
 def by_lines(text: str, least: int = 200) -> list[Piece]:
@@ -251,7 +247,7 @@ def code(text: str, language: str | None, max_size: int = MAX_SIZE) -> list[Piec
         if len(body) <= max_size:
             out.append(Piece(body, kind, a, b, entity_name=name, scope_chain=(name,)))
         else:
-            out += [Piece(t, f"{kind}_fragment", a + i, a + i + t.count("\n"), entity_name=name, scope_chain=(name,)) for i, t in _at_boundaries(body, max_size)]
+            out += [Piece(t, kind, a + i, a + i + t.count("\n"), entity_name=name, scope_chain=(name,)) for i, t in _at_boundaries(body)]
     return merged(out, max_size, lambda p: p.chunk_type)
 
 
@@ -306,13 +302,19 @@ def resolved(pieces: list[Piece]) -> list[tuple[int | None, int, int]]:
     return [(parent[i], groups[parent[i]].index(i) + 1, len(groups[parent[i]])) for i in range(len(pieces))]
 
 
-def chunk_id(tenant: str, source: str, index: int) -> str:
-    return hashlib.sha256(f"{tenant}\x1f{source}\x1f{index}".encode()).hexdigest()[:32]
+def chunk_id(tenant: str | None, doc_id: str | None, index: int) -> str:
+    """Of a document's chunk; chunk_id_of says the same of columns."""
+    return hashlib.sha256(f"{tenant or ''}\x1f{doc_id or ''}\x1f{index}".encode()).hexdigest()[:32]
+
+
+def chunk_id_of(tenant: Column, doc_id: Column, index: Column) -> Column:
+    parts = [F.coalesce(x.cast("string"), F.lit("")) for x in (tenant, doc_id, index)]
+    return F.substring(F.sha2(F.concat_ws("\u001f", *parts), 256), 1, 32)
 
 
 def rows_of(doc: dict, pieces: list[Piece]) -> list[dict]:
     places = resolved(pieces)
-    ids = [chunk_id(doc["tenant_id"] or "", doc["source"] or "", i) for i in range(len(pieces))]
+    ids = [chunk_id(doc["tenant_id"], doc["doc_id"], i) for i in range(len(pieces))]
     return [
         {
             "chunk_id": ids[i], "doc_id": doc["doc_id"], "chunk_index": i, "text": p.text, "source_type": p.source_type or doc["source_type"], "chunk_type": p.chunk_type,
@@ -363,35 +365,33 @@ def lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def sentences(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, sentence_id (from 0), sentence: as split_sentences does, without its case for texts of lines.
 
-    A fold over the words of each row, in the JVM and without a shuffle: an end mark opens the next sentence.
+    The words of each row are cut after its end marks, in the JVM and without a shuffle; rows with one id
+    are texts of their own. Null and blank texts have no sentences; blank ones count in sentence_id.
     """
     words = F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ", -1)
-    def ends(w: Column) -> Column:
-        return w.rlike(r"[.?!]$") & ~F.lower(F.regexp_replace(w, r"[.?!]+$", "")).isin(*ABBREVIATIONS)
-
-    marked = docs.select(id_col, F.posexplode(words).alias("pos", "word")).withColumn("end", ends(F.col("word")).cast("int"))
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = marked.withColumn("sentence_id", F.coalesce(F.sum("end").over(w), F.lit(0)))
-    grouped = numbered.groupBy(id_col, "sentence_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("ws"))
-    text = F.trim(F.array_join(F.transform("ws", lambda x: x["word"]), " "))
-    return grouped.select(id_col, F.col("sentence_id").cast("long"), text.alias("sentence")).filter("sentence != ''")
+    ends = lambda w: F.substring(w, -1, 1).isin(".", "?", "!") & ~F.lower(F.rtrim(w, F.lit(".?!"))).isin(*ABBREVIATIONS)
+    last = lambda ws: F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: ends(F.get(ws, i)))
+    marked = docs.select(id_col, F.inline(F.transform(F.array(words), lambda ws: F.struct(ws.alias("ws"), last(ws).alias("m")))))
+    first, after = lambda k: F.coalesce(F.get("m", k - 1) + 1, F.lit(0)), lambda k: F.coalesce(F.get("m", k) + 1, F.size("ws"))
+    cut = F.transform(F.sequence(F.lit(0), F.size("m")), lambda k: F.trim(F.array_join(F.slice("ws", first(k) + 1, after(k) - first(k)), " ")))
+    rows = marked.select(id_col, F.posexplode(cut).alias("sentence_id", "sentence"))
+    return rows.select(id_col, F.col("sentence_id").cast("long"), "sentence").filter("sentence != ''")
 
 
 def pack_lines(docs: DataFrame, max_size: int, id_col: str = "doc_id", pattern: str = "\n") -> DataFrame:
-    """id, group_id, parts, chars: greedy packing of a text's parts, as ``packed`` does, by a fold in the JVM."""
-    state = F.struct(F.lit(0).alias("size"), F.lit(0).alias("n"), F.lit(0).alias("group"), F.array().cast("array<struct<group:int,chars:int>>").alias("out"))
+    """id, group_id, parts, chars: greedy packing of a text's parts, as ``packed`` does, by a fold within the row. Null texts have no groups."""
+    closed = lambda s: F.struct(s["n"].cast("long").alias("parts"), s["size"].cast("long").alias("chars"))
+    state = F.struct(F.lit(0).alias("size"), F.lit(0).alias("n"), F.array().cast("array<struct<parts:bigint,chars:bigint>>").alias("out"))
 
     def step(s: Column, part: Column) -> Column:
         full = (s["n"] > 0) & (s["size"] + F.length(part) > max_size)
-        group = F.when(full, s["group"] + 1).otherwise(s["group"])
         return F.struct(
-            F.when(full, F.length(part)).otherwise(s["size"] + F.length(part)).alias("size"), F.when(full, 1).otherwise(s["n"] + 1).alias("n"), group.alias("group"),
-            F.concat(s["out"], F.array(F.struct(group.alias("group"), F.length(part).alias("chars")))).alias("out"),
+            F.when(full, F.length(part)).otherwise(s["size"] + F.length(part)).alias("size"), F.when(full, 1).otherwise(s["n"] + 1).alias("n"),
+            F.when(full, F.concat(s["out"], F.array(closed(s)))).otherwise(s["out"]).alias("out"),
         )
 
-    folded = docs.select(id_col, F.aggregate(F.split("text", pattern, -1), state, step, lambda s: s["out"]).alias("out"))
-    rows = folded.select(id_col, F.explode("out").alias("x"))
-    return rows.groupBy(id_col, F.col("x.group").alias("group_id")).agg(F.count("*").alias("parts"), F.sum("x.chars").alias("chars"))
+    groups = F.aggregate(F.split("text", pattern, -1), state, step, lambda s: F.concat(s["out"], F.array(closed(s))))
+    return docs.select(id_col, F.posexplode(groups).alias("group_id", "x")).select(id_col, "group_id", "x.parts", "x.chars")
 
 
 def heading_parents(chunks: DataFrame) -> DataFrame:

@@ -43,16 +43,28 @@ def _headings(text: Column) -> Column:
 
 
 def _keywords(text: Column) -> Column:
+    """Concepts that stand in a text as whole words, in the order of CONCEPTS. One cut into words finds all of one word."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    found = [F.when(low.rlike(rf"(?<![\p{{L}}\p{{N}}_]){k}(?![\p{{L}}\p{{N}}_])"), F.lit(k.title())) for k in CONCEPTS]
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+    phrases = [c for c in CONCEPTS if " " in c]
+    alone = lambda c: low.contains(c) & low.rlike(rf"(?<![\p{{L}}\p{{N}}_]){c}(?![\p{{L}}\p{{N}}_])")
+    words = F.concat(F.split(low, r"[^\p{L}\p{N}_]+"), *[F.when(alone(c), F.array(F.lit(c))).otherwise(F.array().cast("array<string>")) for c in phrases])
+    return F.transform(F.array_intersect(F.array(*[F.lit(c) for c in CONCEPTS]), words), F.initcap)
 
 
-def entities(docs: DataFrame, id_col: str = "doc_id", type_col: str = "source_type", text_col: str = "text") -> DataFrame:
-    """id, pos, name, kind, pattern, level: the first occurrence of each name in each text, in order.
+def _first_of_each(found: Column) -> Column:
+    """Of structs with a name, the first of each name, with its place as pos, in order. A sort by name within the row."""
+    named = F.transform(found, lambda x, i: F.struct(x["name"].alias("name"), i.alias("pos"), x.alias("x")))
+    new = lambda s: F.filter(s, lambda x, i: F.coalesce(x["name"] != F.get(s, i - 1)["name"], F.lit(True)))
+    firsts = F.transform(F.array(F.array_sort(named)), new)  # the outer transform binds the sorted array once
+    return F.array_sort(F.transform(firsts[0], lambda x: F.struct(x["pos"].alias("pos"), x["x"].alias("x"))))
+
+
+def entity_lists(docs: DataFrame, id_col: str = "doc_id", type_col: str = "source_type", text_col: str = "text") -> DataFrame:
+    """id, found: for each text an array of (pos, x: name, kind, pattern, level), the first occurrence of each name in order.
 
     markdown: headings, then CamelCase words. code: CamelCase words as classes, then snake_case words as
-    functions. text: CamelCase words, then concept keywords.
+    functions. text: CamelCase words, then concept keywords. All within the row: nothing is shuffled, rows with
+    one id are texts of their own, null texts have an empty array.
     """
     text = F.col(text_col)
     snake = F.filter(F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike(r"^[a-z][a-z0-9_]*$") & (F.length(w) > 2) & ~w.isin(*KEYWORDS))
@@ -61,15 +73,12 @@ def entities(docs: DataFrame, id_col: str = "doc_id", type_col: str = "source_ty
         .when(F.col(type_col) == "code", F.concat(_listed(camel_case(text), "CLASS", "CamelCase"), _listed(snake, "FUNCTION", "snake_case")))
         .otherwise(F.concat(_listed(camel_case(text), "CONCEPT", "CamelCase"), _listed(_keywords(text), "CONCEPT", "keyword")))
     )
-    rows = docs.select(id_col, F.posexplode(found).alias("pos", "x")).select(id_col, "pos", "x.*")
-    return first_by_name(rows, id_col)
+    return docs.select(id_col, _first_of_each(found).alias("found"))
 
 
-def first_by_name(rows: DataFrame, id_col: str) -> DataFrame:
-    """Of each name in a document the row with the least pos; partial aggregates, so frequent names shuffle one row a task."""
-    rest = [c for c in rows.columns if c not in (id_col, "name", "pos")]
-    got = rows.groupBy(id_col, "name").agg(F.min(F.struct("pos", *rest)).alias("x"))
-    return got.select(id_col, "x.pos", "name", *[f"x.{c}" for c in rest])
+def entities(docs: DataFrame, id_col: str = "doc_id", type_col: str = "source_type", text_col: str = "text") -> DataFrame:
+    """id, pos, name, kind, pattern, level: a row for each entry of entity_lists."""
+    return entity_lists(docs, id_col, type_col, text_col).select(id_col, F.inline("found")).select(id_col, "pos", "x.*")
 
 
 def entities_by_pattern(docs: DataFrame, kinds: tuple[str, ...], known: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,10 +87,9 @@ def entities_by_pattern(docs: DataFrame, kinds: tuple[str, ...], known: tuple[st
         found = F.regexp_extract_all(F.col(text_col), F.lit("(?m)" + pattern), F.lit(1))
         return F.transform(found, lambda n: F.struct(F.trim(n).alias("name"), F.lit(kind.upper()).alias("kind")))
 
-    parts = [names(k, p) for k in kinds for p in PATTERNS[k]]
-    rows = docs.select(id_col, F.posexplode(F.concat(*parts)).alias("pos", "x")).select(id_col, "pos", "x.*")
-    ok = (F.length("name") >= 2) & ~F.lower("name").isin(*STOP_NAMES) & (~F.col("name").isin(*known) if known else F.lit(True))
-    return first_by_name(rows.filter(ok), id_col)
+    parts = F.concat(*[names(k, p) for k in kinds for p in PATTERNS[k]])
+    ok = lambda x: (F.length(x["name"]) >= 2) & ~F.lower(x["name"]).isin(*STOP_NAMES) & (~x["name"].isin(*known) if known else F.lit(True))
+    return docs.select(id_col, F.inline(_first_of_each(F.filter(parts, ok)))).select(id_col, "pos", "x.*")
 
 
 def with_ontology(rows: DataFrame, ontology: Ontology = DEFAULT_ONTOLOGY) -> DataFrame:
@@ -105,22 +113,32 @@ def recorded(chunks: DataFrame, extractions: DataFrame, ontology: Ontology = DEF
     return met.select("chunk_id", "pos", "name", kind.alias("entity_type"), F.col("start").alias("start_char"), F.col("end").alias("end_char"), "confidence")
 
 
+def _paired(group: Column, few: Column, ontology: Ontology, most: int) -> list[Column]:
+    """group, source, target, relation_type, confidence of the first ``most`` pairs of an array of (name, confidence)."""
+    kind = next((t for t in ("MENTIONS", "RELATED_TO") if t in ontology.relation_types), ontology.relation_types[0])
+    pairs = F.flatten(F.transform(few, lambda a, i: F.transform(F.slice(few, i + 2, F.lit(most)), lambda b: F.struct(
+        a["name"].alias("source"), b["name"].alias("target"), F.lit(kind).alias("relation_type"),
+        F.coalesce((a["confidence"] + b["confidence"]) / 2, a["confidence"], b["confidence"]).alias("confidence")))))
+    return [group, F.inline(F.slice(pairs, 1, most))]
+
+
 def cooccurrences(found: DataFrame, ontology: Ontology = DEFAULT_ONTOLOGY, group: str = "chunk_id", most: int = MOST_PAIRS) -> DataFrame:
     """group, source, target, relation_type, confidence: the first ``most`` pairs of a chunk's entities in order.
 
     Pairs (i, j) in order of i, then j, are all within the first most + 1 entities, so no more are paired.
-    confidence is the mean, or the one that is known.
+    confidence is the mean, or the one that is known. For entities as rows, which are put together by chunk; entities that are still in
+    their text's array need no shuffle, see cooccurrences_within.
     """
-    kind = next((t for t in ("MENTIONS", "RELATED_TO") if t in ontology.relation_types), ontology.relation_types[0])
     w = Window.partitionBy(group).orderBy("pos", "name")
     few = found.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most + 1)
-    lists = few.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", "name", "confidence"))).alias("e"))
-    pair = lambda i, j: F.struct(F.get("e", i).alias("a"), F.get("e", j).alias("b"))
-    size = F.size("e")
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), size - 2), lambda i: F.transform(F.sequence(i + 1, size - 1), lambda j: pair(i, j))))
-    rows = lists.filter(size > 1).select(group, F.explode(F.slice(pairs, 1, most)).alias("p"))
-    a, b = F.col("p.a.confidence"), F.col("p.b.confidence")
-    return rows.select(group, F.col("p.a.name").alias("source"), F.col("p.b.name").alias("target"), F.lit(kind).alias("relation_type"), F.coalesce((a + b) / 2, a, b).alias("confidence"))
+    lists = few.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", "name", "confidence"))).alias("__few"))
+    return lists.select(*_paired(F.col(group), F.col("__few"), ontology, most))
+
+
+def cooccurrences_within(lists: DataFrame, ontology: Ontology = DEFAULT_ONTOLOGY, group: str = "doc_id", most: int = MOST_PAIRS, confidence: float | None = None) -> DataFrame:
+    """The pairs of cooccurrences() for rows of entity_lists(), within the row."""
+    few = F.transform(F.slice("found", 1, most + 1), lambda e: F.struct(e["x"]["name"].alias("name"), F.lit(confidence).cast("double").alias("confidence")))
+    return lists.select(group, few.alias("__few")).select(*_paired(F.col(group), F.col("__few"), ontology, most))
 
 
 def with_fallback(primary: DataFrame, fallback: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexmere.operators import chunking as c
 
@@ -70,7 +71,9 @@ def test_python_code():
     assert out[1].entity_name == "K" and out[1].text.startswith("class K:")
     assert c.code("def broken(:\n  pass", "python")[0].chunk_type == "code_block"
     big = c.code("class K:\n" + "".join(f"    def m{i}(self):\n        return {i}\n" for i in range(40)), "python", 300)
-    assert len(big) > 1 and all(p.entity_name == "K" for p in big)
+    assert len(big) > 1 and all(p.entity_name == "K" and p.chunk_type == "class" for p in big)
+    two = c.merged([c.Piece("a", "x"), c.Piece("b", "x", entity_name="B"), c.Piece("c", "x", entity_name="C")], 100, lambda p: p.chunk_type)
+    assert [(p.text, p.entity_name) for p in two] == [("a\n\nb\n\nc", "B")]
 
 
 def test_braced_code():
@@ -110,3 +113,31 @@ def test_sentences_in_the_jvm_match(spark):
     for r in c.sentences(docs).orderBy("doc_id", "sentence_id").collect():
         got.setdefault(r["doc_id"], []).append(r["sentence"])
     assert [got[i] for i in range(20)] == [c.split_sentences(t) for t in texts]
+    twice = spark.createDataFrame([(1, "One a. Two b."), (1, "Three c. Four d."), (2, None), (3, " ")], "doc_id long, text string")
+    assert sorted(r["sentence"] for r in c.sentences(twice).collect()) == ["Four d.", "One a.", "Three c.", "Two b."]
+
+
+def test_packing_in_the_jvm_matches(spark):
+    rng = random.Random(4)
+    texts = ["\n".join("x" * rng.randrange(60) for _ in range(rng.randrange(1, 40))) for _ in range(20)]
+    docs = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["group_id"]): (r["parts"], r["chars"]) for r in c.pack_lines(docs, 100).collect()}
+    assert got == {(i, g): (len(run), sum(map(len, run))) for i, t in enumerate(texts) for g, run in enumerate(c.packed(t.split("\n"), 100))}
+
+
+def test_work_within_rows_is_not_shuffled(spark):
+    from lexmere.operators import extraction
+
+    docs = spark.createDataFrame([(1, "Cat api. Dog CatDog data structure", "text"), (1, "# Head\nCatDog", "markdown"), (2, None, "text")], "doc_id long, text string, source_type string")
+    lists = extraction.entity_lists(docs)
+    for df in (c.sentences(docs), c.pack_lines(docs, 10), extraction.entities(docs), extraction.cooccurrences_within(lists)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["pos"], r["name"]) for r in extraction.entities(docs).collect()) == [(0, "Cat"), (0, "Head"), (1, "Dog"), (2, "CatDog"), (2, "CatDog"), (3, "Data Structure"), (4, "Api")]
+    pairs = [(r["source"], r["target"]) for r in extraction.cooccurrences_within(lists, most=2).collect()]
+    assert sorted(pairs) == [("Cat", "CatDog"), ("Cat", "Dog"), ("Head", "CatDog")]
+
+
+def test_chunk_ids_tell_documents_of_one_source_apart(spark):
+    docs = spark.createDataFrame([(f"d{i}", "same.txt", "text", None, "some words here", "t") for i in range(5)], "doc_id string, source string, source_type string, language string, text string, tenant_id string")
+    ids = c.chunk_documents(docs).select("chunk_id", c.chunk_id_of(F.col("tenant_id"), F.col("doc_id"), F.col("chunk_index")).alias("again")).collect()
+    assert len({r["chunk_id"] for r in ids}) == 5 and all(r["chunk_id"] == r["again"] for r in ids)
