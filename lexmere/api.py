@@ -16,7 +16,7 @@ from lexmere.functions.text import tokens
 from lexmere.functions.vectors import Embedder, SeededEmbedder, degraded
 from lexmere.operators import chunking, extraction, graph, relational, search
 from lexmere.sources import files
-from lexmere.sources.snapshots import Store
+from lexmere.sources.snapshots import Change, Store
 from lexmere.sources.staging import staged
 
 
@@ -56,15 +56,13 @@ class KnowledgeBase:
         many = chunks.groupBy("doc_id").agg(F.count("*").cast("int").alias("chunk_count"))
         rows = good.join(many, "doc_id", "left").select(
             "doc_id", "source", "source_type", "language", "title", "text", "file_size", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.lit(None).cast("map<string,string>").alias("metadata"), "tenant_id", F.current_timestamp().alias("created_at"))
-        old_chunks = relational.delete_where(self.store.table("chunks"), good, ["doc_id"])
-        old_vectors = self.store.table("chunk_vectors").join(self.store.table("chunks").join(good.select("doc_id"), "doc_id", "left_semi").select("chunk_id"), "chunk_id", "left_anti")
-        self.store.commit({
-            "documents": relational.keyed_merge(self.store.table("documents"), rows, schemas.KEYS["documents"]),
-            "chunks": old_chunks.unionByName(chunks), "chunk_vectors": old_vectors.unionByName(vectors),
-            "entities": relational.keyed_merge(self.store.table("entities"), entity, schemas.KEYS["entities"], "ignore"),
-            "relations": relational.keyed_merge(self.store.table("relations"), rel, schemas.KEYS["relations"], "ignore"),
+        own = good.select("tenant_id", "doc_id")
+        old_vectors = self.store.table("chunks").join(own, ["tenant_id", "doc_id"], "left_semi").select("tenant_id", "chunk_id")
+        self.store.change({
+            "documents": self.store.merge("documents", rows), "chunks": Change(chunks, own), "chunk_vectors": Change(vectors, old_vectors),
+            "entities": self.store.merge("entities", entity, "ignore"), "relations": self.store.merge("relations", rel, "ignore"),
         }, operation)
-        errors = [{"source": r["source"], "error": r["error"]} for r in docs.filter("error is not null").select("source", "error").limit(1000).collect()]
+        errors = [{"source": r["source"], "error": r["error"]} for r in docs.filter("error is not null").select("source", "error").toLocalIterator()]
         return {"documents": good.count(), "chunks": chunks.count(), "entities": entity.select("entity_id").distinct().count(), "errors": errors, "embedding_degraded": bool(degraded(vectors).head()[0])}
 
     def ingest_file(self, path: str, strict: bool = False) -> dict[str, Any]:
@@ -82,16 +80,15 @@ class KnowledgeBase:
 
     def delete_document(self, doc_id: str) -> bool:
         """Removes a document with its chunks, vectors, tags and metadata; entities stay without their source. False if there is none."""
-        t = self.store.table
-        gone = self._table("documents").filter(F.col("doc_id") == doc_id).select("doc_id")
+        own = (F.col("doc_id") == doc_id) & (F.col("tenant_id") == self.tenant)
+        t = lambda n: self.store.table(n).filter(own)
+        gone = t("documents").select("tenant_id", "doc_id")
         if gone.isEmpty():
             return False
-        chunk_ids = t("chunks").filter(F.col("doc_id") == doc_id).select("chunk_id")
-        changed = {n: relational.delete_where(t(n), gone, ["doc_id"]) for n in ("documents", "chunks", "document_tags", "metadata")}
-        changed["chunk_vectors"] = relational.delete_where(t("chunk_vectors"), chunk_ids, ["chunk_id"])
-        own = F.col("source_document_id") == doc_id
-        changed["entities"] = t("entities").withColumn("source_document_id", F.when(~F.coalesce(own, F.lit(False)), F.col("source_document_id")))
-        self.store.commit(changed, f"delete {doc_id}")
+        changes = {n: Change(gone=gone) for n in ("documents", "chunks", "document_tags", "metadata")}
+        changes["chunk_vectors"] = Change(gone=t("chunks").select("tenant_id", "chunk_id"))
+        left = self._table("entities").filter(F.col("source_document_id") == doc_id).withColumn("source_document_id", F.lit(None).cast("string"))
+        self.store.change(changes | {"entities": self.store.merge("entities", left)}, f"delete {doc_id}")
         return True
 
     # Search
@@ -198,13 +195,15 @@ class KnowledgeBase:
         """Writes by value, not by SQL text: rows to merge by the natural key, or values to delete by."""
         if table not in schemas.TABLES:
             return {"error": f"no such table: {table}"}
-        t = self.store.table(table)
         if delete:
-            gone = search.compile_filters(delete) & (F.col("tenant_id") == self.tenant)
-            n = t.filter(gone).count()
-            self.store.commit({table: t.filter(~F.coalesce(gone, F.lit(False)))}, f"delete from {table}")
+            gone = self._table(table).filter(search.compile_filters(delete))
+            n = gone.count()
+            self.store.change({table: Change(gone=gone.select(*schemas.KEYS[table]))}, f"delete from {table}")
             return {"affected_rows": n}
-        self.store.upsert({table: self.spark.createDataFrame(rows or [], schemas.TABLES[table])}, f"merge into {table}", mode)
+        given = self.spark.createDataFrame(rows or [], schemas.TABLES[table])
+        if not given.filter(~F.col("tenant_id").eqNullSafe(F.lit(self.tenant))).isEmpty():
+            return {"error": "rows of another tenant"}
+        self.store.upsert({table: given}, f"merge into {table}", mode)
         return {"affected_rows": len(rows or [])}
 
     def sql_tables(self) -> dict[str, list[dict[str, str]]]:
@@ -219,25 +218,24 @@ class KnowledgeBase:
     def tag_document(self, doc_id: str, name: str) -> None:
         tag_id = uuid.uuid5(uuid.NAMESPACE_OID, f"{self.tenant}/{name}").hex
         tag = self.spark.createDataFrame([(tag_id, self.tenant, name, "", "")], schemas.TAGS)
-        t = self.store.table
         link = self.spark.createDataFrame([(doc_id, tag_id, self.tenant)], schemas.DOCUMENT_TAGS)
-        self.store.commit({"tags": relational.keyed_merge(t("tags"), tag, schemas.KEYS["tags"], "ignore"), "document_tags": relational.keyed_merge(t("document_tags"), link, schemas.KEYS["document_tags"], "ignore")}, f"tag {doc_id}")
+        self.store.upsert({"tags": tag, "document_tags": link}, f"tag {doc_id}", "ignore")
 
     def untag_document(self, doc_id: str, name: str) -> None:
-        ids = self._table("tags").filter(F.col("name") == name).select("tag_id").withColumn("doc_id", F.lit(doc_id))
-        self.store.commit({"document_tags": relational.delete_where(self.store.table("document_tags"), ids, ["doc_id", "tag_id"])}, f"untag {doc_id}")
+        ids = self._table("tags").filter(F.col("name") == name).select("tenant_id", F.lit(doc_id).alias("doc_id"), "tag_id")
+        self.store.change({"document_tags": Change(gone=ids)}, f"untag {doc_id}")
 
     def get_document_tags(self, doc_id: str) -> list[str]:
         return [r["name"] for r in relational.tags_of(self._table("document_tags"), self._table("tags"), doc_id).collect()]
 
     def list_tags(self) -> list[str]:
-        return [r["name"] for r in self._table("tags").orderBy("name").limit(1000).collect()]
+        return [r["name"] for r in self._table("tags").orderBy("name").collect()]
 
     def set_metadata(self, key: str, value: str, doc_id: str | None = None) -> None:
         self.store.upsert({"metadata": self.spark.createDataFrame([(key, value, doc_id, self.tenant)], schemas.METADATA)}, f"metadata {key}")
 
     def get_metadata(self, key: str | None = None, doc_id: str | None = None) -> dict[str, str]:
-        return {r["key"]: r["value"] for r in relational.metadata_of(self._table("metadata"), key, doc_id).limit(1000).collect()}
+        return {r["key"]: r["value"] for r in relational.metadata_of(self._table("metadata"), key, doc_id).collect()}
 
     # Statistics and versions
 

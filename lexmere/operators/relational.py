@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from functools import reduce
 from typing import Any
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,7 +15,7 @@ from pyspark.sql.window import Window
 def keyed_merge(base: DataFrame, delta: DataFrame, keys: Sequence[str], mode: str = "update", order: Column | None = None) -> DataFrame:
     """base with delta's rows by key, null keys equal: update (delta wins), ignore (base wins), coalesce (delta's nulls keep base's values).
 
-    Of several delta rows with one key the one with the greatest ``order`` counts (else the one with the greatest values).
+    Of several delta rows with one key the one with the greatest ``order`` counts (else the one with the greatest values, column by column; maps compare as text).
     Exactly one shuffle, on the keys.
     """
     if mode not in ("update", "ignore", "coalesce"):
@@ -21,7 +23,8 @@ def keyed_merge(base: DataFrame, delta: DataFrame, keys: Sequence[str], mode: st
     columns = base.columns
     rest = [c for c in columns if c not in keys]
     if order is None:
-        order = F.struct(*[F.to_json(F.struct(c)) for c in rest]) if rest else F.lit(0)
+        kinds = dict(base.dtypes)
+        order = F.struct(*[F.to_json(F.struct(c)) if "map<" in kinds[c] else F.col(c) for c in rest]) if rest else F.lit(0)
     d = delta.select(*columns).withColumn("__order", order)
     w = Window.partitionBy(*keys).orderBy(F.col("__order").desc())
     latest = d.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "__order")
@@ -33,6 +36,12 @@ def keyed_merge(base: DataFrame, delta: DataFrame, keys: Sequence[str], mode: st
     return sides.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*columns)
 
 
+def null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """A semi or anti join on columns in which nulls are equal."""
+    keys = right.select(*[F.col(c).alias(f"__{c}") for c in on]).distinct()
+    return left.join(keys, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on)), how)
+
+
 def delete_where(table: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """table without the rows whose ``on`` columns are in keys."""
     return table.join(keys.select(*on).distinct(), list(on), "left_anti")
@@ -90,25 +99,57 @@ _ALLOWED = {
 }
 
 
-def check_query(spark: SparkSession, query: str) -> None:
-    """Raises ValueError unless Spark's parser reads the text as one query: commands and writes are refused, literals and comments don't matter."""
+_SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"}
+#: Functions that run code or read outside the tables.
+_REFUSED = {"reflect", "java_method", "try_reflect"}
+#: Table functions that make rows from their arguments alone.
+_GENERATORS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple", "variant_explode", "variant_explode_outer"}
+
+
+def _each(seq: Any) -> list[Any]:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def check_query(spark: SparkSession, query: str, tables: Iterable[str]) -> None:
+    """Raises ValueError unless Spark's parser reads the text as one query over the named tables.
+
+    Commands, writes, other relations (files by path too) and functions that run code are refused, in subqueries and
+    common tables as well; literals and comments don't matter.
+    """
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
     except Exception as e:
         raise ValueError(f"not a query: {str(e).splitlines()[0]}") from None
-    todo = [plan]
+    known, named, todo = {t.lower() for t in tables}, [], [plan]
     while todo:
         node = todo.pop()
-        if node.nodeName() not in _ALLOWED:
-            raise ValueError(f"only queries are allowed, not {node.nodeName()}")
-        kids = node.children()
-        todo += [kids.apply(i) for i in range(kids.size())]
+        kind = node.getClass().getSimpleName()
+        if is_instance_of(spark.sparkContext._gateway, node, "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan"):
+            if node.nodeName() not in _ALLOWED:
+                raise ValueError(f"only queries are allowed, not {node.nodeName()}")
+            if kind == "UnresolvedRelation":
+                named.append(node.tableName())
+            if kind == "UnresolvedTableValuedFunction" and node.name().mkString(".").lower() not in _GENERATORS:
+                raise ValueError(f"no such table function: {node.name().mkString('.')}")
+            if kind == "UnresolvedWith":
+                commons = [x._2() for x in _each(node.cteRelations())]
+                known |= {x.alias().lower() for x in commons}
+                todo += commons
+            todo += _each(node.expressions())
+        elif kind == "UnresolvedFunction" and node.nameParts().last().lower() in _REFUSED:
+            raise ValueError(f"not allowed: {node.nameParts().last()}")
+        elif kind in _SUBQUERIES:
+            todo.append(node.plan())
+        todo += _each(node.children())
+    for name in named:
+        if name.lower() not in known:
+            raise ValueError(f"no such table: {name}")
 
 
 def sql_query(spark: SparkSession, query: str, tables: dict[str, DataFrame], limit: int = 100, cap: int = 5000) -> dict[str, Any]:
     """columns, rows (at most min(limit, cap)) and row_count (of the whole result); errors come back as {"error": ...}."""
     try:
-        check_query(spark, query)
+        check_query(spark, query, tables)
         for name, df in tables.items():
             df.createOrReplaceTempView(name)
         result = spark.sql(query)

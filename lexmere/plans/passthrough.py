@@ -21,7 +21,7 @@ SQL = {
     "sql_rollup": "select o_orderstatus, o_orderpriority, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by rollup (o_orderstatus, o_orderpriority)",
     "sql_grouping_sets": "select o_orderstatus, o_orderpriority, count(*) as n from orders group by grouping sets ((o_orderstatus), (o_orderpriority), ())",
     "sql_semi_anti": "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 100000) and not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')",
-    "sql_correlated": "select p_partkey, p_retailprice from part p where p_retailprice > (select avg(p_retailprice) * 1.2 from part q where q.p_brand = p.p_brand)",
+    "sql_correlated": "select p_partkey, p_retailprice from part p where p_retailprice > (select avg(p_retailprice) * 1.05 from part q where q.p_brand = p.p_brand)",
     "sql_full_outer": "select coalesce(c_nationkey, s_nationkey) as nation, customers, suppliers from (select c_nationkey, count(*) as customers from customer group by c_nationkey) c full join (select s_nationkey, count(*) as suppliers from supplier group by s_nationkey) s on c_nationkey = s_nationkey",
     "sql_case_like": "select case when p_type like '%BRASS%' then 'brass' else 'other' end as metal, count(*) as n, min(p_size) as small, max(p_size) as large from part group by 1",
     "sql_having": "select l_suppkey, count(distinct l_partkey) as parts from lineitem group by l_suppkey having count(distinct l_partkey) > 10",
@@ -34,7 +34,7 @@ def runner(text: str) -> Callable[[SparkSession, str], DataFrame]:
     names = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        check_query(spark, text)
+        check_query(spark, text, names)
         for t in names:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         return spark.sql(text)

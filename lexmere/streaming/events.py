@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from lexmere import schemas
-from lexmere.operators.relational import keyed_merge
-from lexmere.sources.snapshots import Store
+from lexmere.operators.chunking import chunk_id_of
+from lexmere.operators.relational import null_safe
+from lexmere.sources.snapshots import Change, Store
 
 TYPES = ("DocumentIngested", "ChunksAdded", "DocumentDeleted", "EntityCreated", "RelationCreated")
 PERMANENT = 3
@@ -71,16 +73,22 @@ class DeadLetters:
         keys = schemas.KEYS["projection_dlq"]
         before = known.select(*keys, F.col("retry_count").alias("__before"))
         rows = failed.join(before, list(keys), "left").withColumn("retry_count", (F.coalesce("__before", F.lit(0)) + 1).cast("int")).withColumn("resolved", F.lit(False)).drop("__before")
-        self.store.commit({"projection_dlq": keyed_merge(known, rows.select(*known.columns), keys)}, "dead letters")
+        self.store.upsert({"projection_dlq": rows}, "dead letters")
+
+    def first(self, failed: DataFrame) -> Change:
+        """The change that records events which are not known yet, once; known ones stay as they are."""
+        return self.store.merge("projection_dlq", failed.withColumn("retry_count", F.lit(1)).withColumn("resolved", F.lit(False)), "ignore")
 
     def unresolved(self, projection: str | None = None) -> DataFrame:
         rows = self.store.table("projection_dlq").filter("not resolved")
         rows = rows if projection is None else rows.filter(F.col("projection_name") == projection)
         return rows.withColumn("permanent", F.col("retry_count") >= PERMANENT).orderBy("created_at", "event_id")
 
-    def resolve(self, event_id: str) -> None:
-        rows = self.store.table("projection_dlq")
-        self.store.commit({"projection_dlq": rows.withColumn("resolved", F.col("resolved") | (F.col("event_id") == event_id))}, f"resolve {event_id}")
+    def resolve(self, event_id: str, projection: str | None = None, tenant: str | None = None) -> None:
+        """Marks an event's records, those of one projection and tenant if they are named."""
+        given = {"event_id": event_id, "projection_name": projection, "tenant_id": tenant}
+        own = reduce(lambda a, b: a & b, (F.col(c) == v for c, v in given.items() if v is not None))
+        self.store.upsert({"projection_dlq": self.store.table("projection_dlq").filter(own).withColumn("resolved", F.lit(True))}, f"resolve {event_id}")
 
 
 def append(spark: SparkSession, log_path: str, rows: list[tuple]) -> None:
@@ -104,9 +112,9 @@ def project_batch(store: Store, batch: DataFrame, embed: Callable[[Column], Colu
         docs = good.filter("event_type = 'DocumentIngested'").select(
             F.col("p.doc_id"), F.coalesce("p.source", "p.doc_id").alias("source"), F.coalesce("p.source_type", F.lit("text")).alias("source_type"), null("string").alias("language"), F.col("p.title"), F.col("p.text"),
             F.length("p.text").cast("long").alias("file_size"), F.lit(0).alias("chunk_count"), null("map<string,string>").alias("metadata"), "tenant_id", now)
-        chunks = good.filter("event_type = 'ChunksAdded'").select("tenant_id", "created_at", F.col("p.doc_id"), F.posexplode("p.chunks").alias("chunk_index", "text"))
-        chunk_id = F.sha2(F.concat_ws("\u001f", "tenant_id", "doc_id", F.col("chunk_index").cast("string")), 256)
-        full = chunks.select(chunk_id.alias("chunk_id"), "doc_id", "chunk_index", "text", "tenant_id", "created_at")
+        lists = good.filter("event_type = 'ChunksAdded'").withColumn("nth", F.row_number().over(Window.partitionBy("tenant_id", "p.doc_id").orderBy(F.desc("created_at"), F.desc("event_id")))).filter("nth = 1")
+        chunks = lists.select("tenant_id", "created_at", F.col("p.doc_id"), F.posexplode("p.chunks").alias("chunk_index", "text"))
+        full = chunks.select(chunk_id_of(F.col("tenant_id"), F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "chunk_index", "text", "tenant_id", "created_at")
         entity = good.filter("event_type = 'EntityCreated'").select(F.sha2(F.concat_ws("\u001f", "tenant_id", "p.name", "p.entity_type"), 256).alias("entity_id"), "tenant_id", F.col("p.name"), F.col("p.entity_type"))
         relation = good.filter("event_type = 'RelationCreated'").select(
             F.sha2(F.concat_ws("\u001f", "tenant_id", "p.source_entity_id", "p.target_entity_id", "p.relation_type"), 256).alias("relation_id"), "tenant_id", F.col("p.source_entity_id"), F.col("p.target_entity_id"), F.col("p.relation_type"), F.lit(1.0).alias("weight"))
@@ -117,17 +125,27 @@ def project_batch(store: Store, batch: DataFrame, embed: Callable[[Column], Colu
             fields = store.spark.createDataFrame([], schemas.TABLES[name]).schema.fields
             return df.select(*[F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
 
-        changed = {n: keyed_merge(store.table(n), shaped(df, n), schemas.KEYS[n], mode) for n, df, mode in (("documents", docs, "update"), ("chunks", full, "update"), ("entities", entity, "ignore"), ("relations", relation, "ignore"))}
-        for n in ("documents", "chunks"):
-            t = changed[n].join(gone.withColumnRenamed("doc_id", "__d").withColumnRenamed("tenant_id", "__t"), (F.col("doc_id") == F.col("__d")) & (F.col("tenant_id") == F.col("__t")) & (F.col("created_at") <= F.col("gone_at")), "left_anti")
-            changed[n] = t
+        def deleted(df: DataFrame, how: str) -> DataFrame:
+            """The rows of df that a delete event of this batch is not older than, or (left_anti) the others."""
+            g = gone.select(F.col("doc_id").alias("__d"), F.col("tenant_id").alias("__t"), "gone_at")
+            return df.join(g, (F.col("doc_id") == F.col("__d")) & (F.col("tenant_id") == F.col("__t")) & (F.col("created_at") <= F.col("gone_at")), how)
+
+        known, own = store.table("chunks"), ["tenant_id", "doc_id"]
+        docs, full = deleted(shaped(docs, "documents"), "left_anti"), deleted(shaped(full, "chunks"), "left_anti")
+        docs_key = list(schemas.KEYS["documents"])
+        dead_docs = deleted(store.table("documents"), "left_semi").select(*docs_key)
+        dropped = lists.select("tenant_id", F.col("p.doc_id").alias("doc_id")).unionByName(deleted(known, "left_semi").select(*own))
+        latest = store.merge("documents", docs)
+        changes = {
+            "documents": Change(latest.rows, latest.gone.unionByName(dead_docs)), "chunks": Change(full, dropped),  # a list of chunks replaces the one before
+            "entities": store.merge("entities", shaped(entity, "entities"), "ignore"), "relations": store.merge("relations", shaped(relation, "relations"), "ignore"),
+        }
         if embed is not None:
             made = full.select("chunk_id", "tenant_id", embed(F.col("text")).alias("vector"), F.lit("projection").alias("embedding_model"), F.col("created_at").alias("embedded_at"))
-            changed["chunk_vectors"] = keyed_merge(store.table("chunk_vectors"), made, schemas.KEYS["chunk_vectors"]).join(changed["chunks"].select("chunk_id"), "chunk_id", "left_semi")
+            old = null_safe(known, dropped, own, "left_semi").select("tenant_id", "chunk_id")
+            changes["chunk_vectors"] = Change(made, old)
         bad = rows.filter("not p_ok").select(F.lit("documents").alias("projection_name"), "tenant_id", "event_id", "event_type", F.lit("the payload can't be read").alias("error_message"), "created_at")
-        store.commit(changed, "projection")
-        if not bad.isEmpty():
-            DeadLetters(store).record(bad)
+        store.change(changes | {"projection_dlq": DeadLetters(store).first(bad)}, "projection")
     finally:
         rows.unpersist()
 

@@ -24,6 +24,8 @@ def test_merge_modes(spark):
     assert sorted((r["id"], r["v"]) for r in relational.keyed_merge(base, delta, ["id", "k"]).collect()) == [(1, "A"), (2, "b"), (3, "C")]
     assert sorted((r["id"], r["v"]) for r in relational.keyed_merge(base, delta, ["id", "k"], "ignore").collect()) == [(1, "a"), (2, "b"), (3, "C")]
     assert {(r["id"], r["v"], r["w"]) for r in relational.keyed_merge(base, delta, ["id", "k"], "coalesce").collect()} == {(1, "A", "x"), (2, "b", "y"), (3, "C", "z")}
+    latest = relational.keyed_merge(base.select("id", F.lit(0).alias("n")), spark.createDataFrame([(1, 9), (1, 10)], "id int, n int"), ["id"])
+    assert {r["id"]: r["n"] for r in latest.collect()} == {1: 10, 2: 0}
     twice = relational.keyed_merge(relational.keyed_merge(base, delta, ["id", "k"]), delta, ["id", "k"])
     assert twice.exceptAll(relational.keyed_merge(base, delta, ["id", "k"])).count() == 0
 
@@ -33,10 +35,24 @@ def test_sql_guard(spark):
     ok = relational.sql_query(spark, "select i, 'DROP TABLE x' as s from t where i > 1 -- DELETE", t, limit=3)
     assert len(ok["rows"]) == 3 and ok["row_count"] == 5
     assert relational.sql_query(spark, "with a as (select 1 as x) select * from a union all select i from t", t)["row_count"] == 8
+    assert relational.sql_query(spark, "select i from t where exists (select 1 from t as u where u.i = t.i) and i in (select max(i) from t)", t)["rows"] == [{"i": 6}]
     for bad in ("drop table t", "insert into t values (1)", "select 1; drop table t", "create table u as select 1", "/**/delete from t", "set spark.x=1", "nonsense"):
         assert "error" in relational.sql_query(spark, bad, t)
 
 
+def test_sql_reads_nothing_but_its_tables(spark, tmp_path):
+    t = {"t": spark.createDataFrame([(1,)], "i int")}
+    spark.range(3).write.parquet(f"{tmp_path}/secret")
+    spark.range(3).createOrReplaceTempView("other")
+    for bad in (
+        f"select * from parquet.`{tmp_path}/secret`", "select * from other", "select * from t where i in (select id from other)", "select (select max(id) from other) as m from t",
+        f"with a as (select * from parquet.`{tmp_path}/secret`) select * from a", "select reflect('java.lang.System', 'getProperty', 'user.home')", "select i from t where java_method('java.lang.System', 'nanoTime') > 0",
+        "with a as (select try_reflect('java.lang.System', 'getProperty', 'user.home') as x) select * from a", "select * from read_files('/etc')",
+    ):
+        assert "error" in relational.sql_query(spark, bad, t), bad
+    assert relational.sql_query(spark, "select id from range(3) where id not in (select i from t)", t)["row_count"] == 2
+
+
 def test_snapshots(spark, tmp_path):
     s = Store(spark, f"file://{tmp_path}/s")
     tag = lambda n: spark.createDataFrame([(n, "t", n, None, None)], schemas.TAGS)
@@ -53,18 +69,40 @@ def test_snapshots(spark, tmp_path):
     assert s.table("tags").count() == 1 and [v["version"] for v in s.versions()] == [4, 3, 2, 1] and s.versions()[-1]["tags"] == ["first"]
     with pytest.raises(KeyError):
         s.table("tags", "nope")
-    other = Store(spark, f"file://{tmp_path}/s")
-    real, reads = s._read, []
+    assert s.size() > 0
 
-    def late():
-        """Another writer commits between the first and the second look."""
-        reads.append(1)
-        return real() | ({"serial": -1} if len(reads) > 1 else {})
 
-    s._read = late
+def test_store_survives_writers_that_stop_or_race(spark, tmp_path):
+    tag = lambda n: spark.createDataFrame([(n, "t", n, None, None)], schemas.TAGS)
+    s, other = Store(spark, f"file://{tmp_path}/s"), Store(spark, f"file://{tmp_path}/s")
+    s.upsert({"tags": tag("a")}, "one")
+    stale = s._read()
+    other.upsert({"tags": tag("b")}, "two")
+    s._read = lambda: json.loads(json.dumps(stale))  # it looked before the other one was done
     with pytest.raises(ConflictError):
-        s.commit({"tags": tag("z")}, "too late")
-    assert other.size() > 0
+        s.upsert({"tags": tag("z")}, "too late")
+    (tmp_path / "s/manifests/new-torn").write_text("{")  # a writer that stopped before its rename
+    again = Store(spark, f"file://{tmp_path}/s")
+    assert {r["name"] for r in again.table("tags").collect()} == {"a", "b"} and len(again.versions()) == 2
+
+
+def test_layers_read_as_whole_tables(spark, tmp_path, monkeypatch):
+    from lexmere.sources import snapshots
+
+    monkeypatch.setattr(snapshots, "MOST_LAYERS", 4)
+    s = Store(spark, f"file://{tmp_path}/s")
+    row = lambda k, v, doc=None, tenant="t": (k, v, doc, tenant)
+    put = lambda *rows, mode="update": s.upsert({"metadata": spark.createDataFrame(list(rows), schemas.METADATA)}, "put", mode)
+    got = lambda version=None: sorted((r["key"], r["value"], r["doc_id"] or "") for r in s.table("metadata", version).collect())
+    put(row("a", "1"), row("b", "1", "d"))
+    put(row("a", "2"), row("c", "1", "d"))  # null doc_ids are one key
+    put(row("a", "3"), row("d", "1"), mode="ignore")
+    assert got() == [("a", "2", ""), ("b", "1", "d"), ("c", "1", "d"), ("d", "1", "")] and len(s._version(s._read(), None)["tables"]["metadata"]) == 3
+    s.change({"metadata": snapshots.Change(gone=spark.createDataFrame([("d",)], "doc_id string"))}, "cut")
+    put(row("b", "9", "d"), mode="coalesce")
+    assert got() == [("a", "2", ""), ("b", "9", "d"), ("d", "1", "")] and len(s._version(s._read(), None)["tables"]["metadata"]) == 1
+    put(row("b", None, "d"), row("d", "4"), mode="coalesce")
+    assert got() == [("a", "2", ""), ("b", "9", "d"), ("d", "4", "")] and got(1) == [("a", "1", ""), ("b", "1", "d")]
 
 
 def test_knowledge_base(spark, tmp_path):
@@ -104,6 +142,7 @@ def test_knowledge_base(spark, tmp_path):
     assert kb.get_metadata("k") == {"k": "newer"} and kb.get_metadata(doc_id=doc["doc_id"]) == {"k": "own"}
     assert kb.sql_query("select count(*) as n from documents")["rows"] == [{"n": 3}] and "error" in kb.sql_query("drop table documents")
     assert kb.sql_execute("tags", delete={"name": "x"}) == {"affected_rows": 1} and "error" in kb.sql_execute("nope")
+    assert "error" in kb.sql_execute("metadata", [("k", "v", None, "other")]) and kb.sql_execute("metadata", [("z", "v", None, "default")]) == {"affected_rows": 1}
     assert kb.query_document_stats()["documents"] == 3 and kb.sync_database()["documents_synced"] == 3 and kb.get_stats()["entities"] >= 3
     kb.create_tag("keep")
     assert kb.delete_document(doc["doc_id"]) and not kb.delete_document(doc["doc_id"])
@@ -124,6 +163,11 @@ def test_events(spark, tmp_path):
     assert store.table("entities").count() == 1
     dead = ev.DeadLetters(store)
     assert [r["event_id"] for r in dead.unresolved().collect()] == ["e3"]
+    batch = spark.read.schema(schemas.EVENTS).parquet(log)
+    ev.project_batch(store, batch)  # the same batch once more changes nothing
+    assert store.table("chunks").count() == 2 and dead.unresolved().head()["retry_count"] == 1
+    ev.project_batch(store, spark.createDataFrame([e(9, "ChunksAdded", {"doc_id": "d1", "chunks": ["only"]}, 1)], schemas.EVENTS))
+    assert [r["text"] for r in store.table("chunks").collect()] == ["only"]
     ev.append(spark, log, [e(5, "DocumentDeleted", {"doc_id": "d1"}, 9)])
     ev.start_projection(spark, log, store, f"{tmp_path}/cp").awaitTermination(120)
     assert store.table("documents").count() == 0 and store.table("chunks").count() == 0
@@ -131,7 +175,9 @@ def test_events(spark, tmp_path):
     dead.record(again), dead.record(again)
     row = dead.unresolved().head()
     assert row["retry_count"] == 3 and row["permanent"]
-    dead.resolve("e3")
+    dead.resolve("e3", "another projection")
+    assert dead.unresolved().count() == 1
+    dead.resolve("e3", tenant="t")
     assert dead.unresolved().count() == 0
     ev.replay(spark, log, store)
     assert store.table("entities").count() == 1 and store.table("documents").count() == 0
@@ -175,7 +221,7 @@ def test_config(tmp_path):
 
 
 def test_detection(spark):
-    rows = [("a.py", ""), ("b.MD", ""), ("run", "#!/usr/bin/env python\n"), ("x.txt", "# hi"), (".bashrc", ""), (None, None)]
+    rows = [("a.py", ""), ("b.MD", ""), ("run", "#!/usr/bin/env Python3\n"), ("x.txt", "# hi"), (".bashrc", ""), (None, None)]
     df = spark.createDataFrame(rows, "p string, t string")
     out = df.select(file_type(F.col("p"), F.col("t")), language(F.col("p"), F.col("t")), raw_text_type(F.col("t"))).collect()
     assert [tuple(r) for r in out] == [("code", "python", "text"), ("markdown", None, "text"), ("code", "python", "markdown"), ("text", None, "markdown"), ("text", None, "text"), ("text", None, "text")]
