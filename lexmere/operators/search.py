@@ -8,12 +8,13 @@ from collections.abc import Callable, Mapping
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexmere.functions import vectors
 from lexmere.functions.text import tokens
+from lexmere.sources.staging import staged
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -48,42 +49,94 @@ def similar_to(table: DataFrame, row_id: Any, k: int, id_col: str, vector_col: s
     return scored.orderBy(F.col("score").desc(), id_col).limit(k)
 
 
-def bm25(docs: DataFrame, terms: list[str], k: int | None, id_col: str, text_col: str = "text") -> DataFrame:
-    """id, score of documents that hold any of the terms, best first.
+def _counted(docs: DataFrame, wanted: list[str], id_col: str, text_col: str) -> DataFrame:
+    """id, dl (tokens) and tf0, tf1, ... of texts with tokens, written to the shared folder: each text is read and cut once."""
+    count_of = lambda ts, t: F.size(F.filter(ts, lambda w: w == F.lit(t)))
+    row = F.transform(F.array(tokens(F.col(text_col))), lambda ts: F.struct(F.size(ts).alias("dl"), *[count_of(ts, t).alias(f"tf{i}") for i, t in enumerate(wanted)]))
+    # A generator's columns are not taken apart: a filter on them does not cut the text again.
+    return staged(docs.select(id_col, F.inline(row)).filter("dl > 0"), "term-counts")
 
-    Term counts are taken inside each row, for query terms only; the corpus statistics are two
-    small aggregates, so no token is shuffled.
+
+def bm25(docs: DataFrame, terms: list[str], k: int | None, id_col: str, text_col: str = "text", every: bool = False) -> DataFrame:
+    """id, score of documents that hold any of the terms (with ``every`` all of them), best first.
+
+    Terms are counted inside each row, for query terms only; no token is shuffled, and the corpus statistics
+    are one small aggregate of the counts. For searches again and again see TextIndex.
     """
     wanted = sorted(set(terms))
-    rows = docs.select(id_col, tokens(F.col(text_col)).alias("__t"))
-    count_of = lambda t: F.size(F.filter("__t", lambda w: w == F.lit(t)))
-    counted = rows.select(id_col, F.size("__t").alias("dl"), *[count_of(t).alias(f"tf{i}") for i, t in enumerate(wanted)])
-    stats = counted.agg(F.count_if(F.col("dl") > 0).alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
-    joined = counted.crossJoin(F.broadcast(stats))
-    parts = [
-        F.when(F.col(f"tf{i}") > 0, F.ln(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
-        for i in range(len(wanted))
-    ]
-    if not parts:
+    if not wanted:
         return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    hit = reduce(lambda a, b: a | b, (F.col(f"tf{i}") > 0 for i in range(len(wanted))))
-    out = joined.filter(hit).select(id_col, F.round(reduce(lambda a, b: a + b, parts), 6).alias("score")).orderBy(F.col("score").desc(), id_col)
-    return out if k is None else out.limit(k)
+    counted = _counted(docs, wanted, id_col, text_col)
+    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
+    scores = [F.when(F.col(f"tf{i}") > 0, _score(F.col(f"tf{i}"), F.col("dl"), F.col(f"df{i}"))).otherwise(0.0) for i in range(len(wanted))]
+    hit = reduce(lambda a, b: a & b if every else a | b, (F.col(f"tf{i}") > 0 for i in range(len(wanted))))
+    out = counted.filter(hit).crossJoin(F.broadcast(stats)).select(id_col, F.round(reduce(lambda a, b: a + b, scores), 6).alias("score"))
+    return _best(out, k, id_col)
+
+
+def _score(tf: Column, dl: Column, df: Column) -> Column:
+    """One term's share of the BM25 score; n and avgdl are columns."""
+    return F.ln(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
+
+
+def _best(scored: DataFrame, k: int | None, id_col: str) -> DataFrame:
+    ordered = scored.orderBy(F.col("score").desc(), id_col)
+    return ordered if k is None else ordered.limit(k)
 
 
 def token_index(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """term, id, tf, dl: an inverted index to store, partitioned by term, for repeated searches."""
-    rows = docs.select(id_col, tokens(F.col(text_col)).alias("__t")).withColumn("dl", F.size("__t"))
-    return rows.select(id_col, "dl", F.explode("__t").alias("term")).groupBy("term", id_col, "dl").agg(F.count("*").alias("tf"))
+    """term, id, tf, dl: the postings of an inverted index, terms counted within each row, so nothing is shuffled."""
+    rows = docs.select(id_col, F.inline(F.transform(F.array(tokens(F.col(text_col))), lambda ts: F.struct(F.size(ts).alias("dl"), F.array_sort(ts).alias("ts")))))
+    starts = lambda ts: F.filter(F.sequence(F.lit(0), F.size(ts)), lambda i: (i == F.size(ts)) | F.coalesce(F.get(ts, i) != F.get(ts, i - 1), F.lit(True)))
+    counts = F.transform(F.array(starts(F.col("ts"))), lambda s: F.transform(F.slice(s, 1, F.size(s) - 1), lambda a, i: F.struct(F.get("ts", a).alias("term"), (F.get(s, i + 1) - a).alias("tf"))))
+    return rows.filter("dl > 0").select(id_col, "dl", F.inline(counts[0])).select("term", id_col, "tf", "dl")
+
+
+class TextIndex:
+    """A stored inverted index: postings in files by a hash of the term, each sorted by term, and the corpus statistics.
+
+    A search reads the bucket folders of its terms, and of these the row groups that can hold them; no text.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, id_col: str) -> None:
+        self.id_col = id_col
+        self.corpus = spark.read.parquet(f"{path}/corpus")
+        about = self.corpus.head()
+        self.buckets = about["buckets"]
+        self.postings = spark.read.schema(about["schema"]).parquet(f"{path}/postings")
+
+    @staticmethod
+    def bucket(term: Column, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, id_col: str, text_col: str = "text", buckets: int = 64) -> TextIndex:
+        """Writes the index of docs under path. Buckets of frequent terms are split over files by size, not kept in one task."""
+        postings = token_index(docs, id_col, text_col).withColumn("bucket", cls.bucket(F.col("term"), buckets))
+        spread = postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", id_col)
+        spread.write.partitionBy("bucket").parquet(f"{path}/postings")
+        schema = f"term string, {id_col} {dict(docs.dtypes)[id_col]}, tf int, dl int, bucket int"
+        made = docs.sparkSession.read.schema(schema).parquet(f"{path}/postings")
+        per_doc = made.agg(F.sum("tf").alias("tokens"), F.sum(F.col("tf") / F.col("dl")).alias("n"))  # each document's shares add up to one
+        n = F.coalesce(F.round("n").cast("long"), F.lit(0))
+        per_doc.select(n.alias("n"), F.try_divide("tokens", n).alias("avgdl"), F.lit(buckets).alias("buckets"), F.lit(schema).alias("schema")).write.parquet(f"{path}/corpus")
+        return cls(docs.sparkSession, path, id_col)
+
+    def search(self, terms: list[str], k: int | None, every: bool = False) -> DataFrame:
+        """id, score of documents that hold any (or every one) of the terms, best first, as bm25() has them."""
+        wanted = sorted(set(terms))
+        spark = self.postings.sparkSession
+        places = sorted({r[0] for r in spark.createDataFrame([(t,) for t in wanted], "t string").select(self.bucket(F.col("t"), self.buckets)).collect()})
+        met = self.postings.filter(F.col("bucket").isin(*places) & F.col("term").isin(*wanted)).select("term", self.id_col, "tf", "dl")
+        counts = met.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(self.corpus))
+        scored = met.join(F.broadcast(counts), "term").select(self.id_col, _score(F.col("tf"), F.col("dl"), F.col("df")).alias("part"))  # a row for each query term
+        out = scored.groupBy(self.id_col).agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("met"))
+        return _best(out.filter(F.col("met") == len(wanted) if every else F.lit(True)).select(self.id_col, "score"), k, self.id_col)
 
 
 def conjunctive(docs: DataFrame, terms: list[str], k: int | None, id_col: str, text_col: str = "text") -> DataFrame:
     """Documents that hold all terms, by BM25."""
-    q = F.array(*[F.lit(t) for t in sorted(set(terms))])
-    have = F.size(F.array_intersect(tokens(F.col(text_col)), q)) == F.size(q)
-    ranked = bm25(docs, terms, None, id_col, text_col)
-    out = docs.filter(have).select(id_col).join(ranked, id_col).orderBy(F.col("score").desc(), id_col)
-    return out if k is None else out.limit(k)
+    return bm25(docs, terms, k, id_col, text_col, every=True)
 
 
 def rrf(lists: list[DataFrame], id_col: str, k: int, rrf_k: int = RRF_K, floor: float | None = None, excluded: tuple[str, ...] = (), type_col: str | None = None) -> DataFrame:
@@ -108,11 +161,23 @@ def rrf(lists: list[DataFrame], id_col: str, k: int, rrf_k: int = RRF_K, floor:
     return best.unionByName(fallback).select(id_col, "score")
 
 
-def hybrid(table: DataFrame, query_vector: Column | list[float], terms: list[str], k: int, id_col: str, vector_col: str, text_col: str = "text", depth: int = 20, filters: Mapping[str, Any] | None = None, floor: float | None = None) -> DataFrame:
-    """Vector and full-text lists of ``depth`` rows each, fused; filters hold for both."""
+def hybrid(
+    table: DataFrame, query_vector: Column | list[float], terms: list[str], k: int, id_col: str, vector_col: str, text_col: str = "text", depth: int = 20,
+    filters: Mapping[str, Any] | None = None, floor: float | None = None, index: TextIndex | None = None,
+) -> DataFrame:
+    """Vector and full-text lists of ``depth`` rows each, fused; filters hold for both. Rows without a vector can be found by their words.
+
+    With an index of the table's texts the words are looked up there, and no text is read.
+    """
     rows = table.filter(compile_filters(filters))
     near = vector_topk(rows.filter(F.col(vector_col).isNotNull()), query_vector, depth, id_col, vector_col)
-    return rrf([near, bm25(rows, terms, depth, id_col, text_col)], id_col, k, floor=floor)
+    if index is None:
+        words = bm25(rows, terms, depth, id_col, text_col)
+    elif not filters:
+        words = index.search(terms, depth)
+    else:
+        words = _best(index.search(terms, None).join(rows.select(id_col), id_col, "left_semi"), depth, id_col)
+    return rrf([near, words], id_col, k, floor=floor)
 
 
 def context(chunks: DataFrame, hits: DataFrame, before: int, after: int, doc_col: str, index_col: str) -> DataFrame:

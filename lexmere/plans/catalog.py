@@ -6,6 +6,7 @@ play chunk vectors, vec_id for doc_id; nations, regions, suppliers and customers
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql.window import Window
 from lexmere.functions import vectors
 from lexmere.operators import chunking, extraction, graph, relational, search
 from lexmere.plans import passthrough
+from lexmere.sources.staging import shared_folder
 from lexmere.streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,7 +90,7 @@ def _lists(spark, d):
     return near, words
 
 
-_FUSE = f"""{_NEAR}, {_bm25_sql(TERMS, 20).replace("from documents)", "from documents where doc_id < 500)")},
+_FUSE = f"""{_NEAR}, {_bm25_sql(TERMS, 20)},
 ranked as (select id, 0 as l, score, row_number() over (order by score desc, id) as r from near union all select id, 1, score, row_number() over (order by score desc, id) from bm)"""
 
 
@@ -104,11 +106,28 @@ def rrf_floor_exclusion(spark, d):
     return search.rrf([x.join(types, "id", "left") for x in _lists(spark, d)], "id", 10, floor=0.3, excluded=("0", "1"), type_col="type")
 
 
-@query(f"with {_FUSE.replace('doc_id < 500', 'doc_id in (select vec_id from embeddings)').replace('from embeddings e,', 'from (select * from embeddings where vec_id in (select doc_id from documents)) e,')}, fused as (select id, round(sum(1 / (60 + r)), 6) as score, min((l, r)) as f from ranked group by id) select id as doc_id, score from fused order by score desc, f, id limit 10")
+_indexes: dict[tuple[str, str], search.TextIndex] = {}
+
+
+def _index(spark, d):
+    """The stored index of the documents' texts: built once for a session and folder, as a knowledge base does when it takes texts in."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        _indexes[key] = search.TextIndex.build(read(spark, d, "documents"), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", "doc_id")
+    return _indexes[key]
+
+
+@query(f"with {_bm25_sql(TERMS, 20)} select id as doc_id, score from bm")
+def fts_index_topk(spark, d):
+    """The search of fts_bm25_topk over the stored index."""
+    return _index(spark, d).search(TERMS, 20)
+
+
+@query(f"with {_FUSE.replace('from embeddings e,', 'from (select * from embeddings where vec_id in (select doc_id from documents)) e,')}, fused as (select id, round(sum(1 / (60 + r)), 6) as score, min((l, r)) as f from ranked group by id) select id as doc_id, score from fused order by score desc, f, id limit 10")
 def hybrid_search(spark, d):
-    """The flagship: documents with their vectors, searched by vector and words."""
+    """The flagship: all documents, those with a vector by vector and all by words, which are looked up in the stored index."""
     own = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return search.hybrid(read(spark, d, "documents").select("doc_id", "text").join(own, "doc_id"), _vector(spark, d), TERMS, 10, "doc_id", "embedding")
+    return search.hybrid(read(spark, d, "documents").select("doc_id").join(own, "doc_id", "left"), _vector(spark, d), TERMS, 10, "doc_id", "embedding", index=_index(spark, d))
 
 
 @query("select c.conv_id, c.turn, h.turn as hit_index from conversations c join conversations h on c.conv_id = h.conv_id and c.turn between h.turn - 1 and h.turn + 2 where h.turn = 2")
@@ -124,10 +143,12 @@ def context_nearest_n(spark, d):
     return search.nearest_context(c.drop("role"), c.filter("role = 'user'"), 2, "conv_id", "turn")
 
 
-@query("""select string_agg('---' || chr(10) || 'Source [' || n || ']: ' || source || chr(10) || left(text, 40), chr(10) || chr(10) order by n) as context from (select source, text, row_number() over (order by doc_id) as n from documents order by doc_id limit 5)""")
+@query(f"""with {_bm25_sql(TERMS, 5)}, top as (select source, text, row_number() over (order by score desc, id) as n from bm join documents on doc_id = id)
+select string_agg('---' || chr(10) || 'Source [' || n || ']: ' || source || chr(10) || text, chr(10) || chr(10) order by n) as context from top""")
 def retrieve_context(spark, d):
-    top = read(spark, d, "documents").orderBy("doc_id").limit(5).select("source", F.substring("text", 1, 40).alias("text"), F.col("doc_id").alias("rank"))
-    return search.context_strings(top)
+    """The whole texts of the five documents that a search over all finds."""
+    found = _index(spark, d).search(TERMS, 5).withColumn("rank", F.struct((-F.col("score")).alias("s"), "doc_id"))
+    return search.context_strings(read(spark, d, "documents").select("doc_id", "source", "text").join(F.broadcast(found), "doc_id"))
 
 
 @query("select doc_id, i - 1 as pos, line, length(line) as char_count from (select doc_id, unnest(range(1, len(l) + 1)) as i, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents))")
@@ -225,8 +246,7 @@ pairs as (select a.doc_id, a.name as source, b.name as target, row_number() over
 select doc_id, source, target, 'MENTIONS' as relation_type, 0.5::double as confidence from pairs where r <= 10""")
 def cooccurrence_relations(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text", F.lit("text").alias("source_type"))
-    found = extraction.entities(docs).withColumn("confidence", F.lit(0.5))
-    return extraction.cooccurrences(found, group="doc_id")
+    return extraction.cooccurrences_within(extraction.entity_lists(docs), confidence=0.5)
 
 
 def _graph(spark, d):
@@ -251,9 +271,9 @@ def graph_neighbors(spark, d):
     return graph.neighbours(edges, nodes, "n3")
 
 
-@query(f"with {_GRAPH} select node, name, type from nodes where contains(lower(name), 'an') order by name, node limit 20")
+@query(f"with {_GRAPH} select node, name, type from nodes where contains(lower(name), 'ion_1') order by name, node limit 20")
 def entity_search(spark, d):
-    return graph.search_entities(_graph(spark, d)[0], "an")
+    return graph.search_entities(_graph(spark, d)[0], "ion_1")
 
 
 @query(f"with {_GRAPH} select src, a.name as src_name, kind, dst, b.name as dst_name from edges join nodes a on a.node = src join nodes b on b.node = dst where src = 'n3' or dst = 'n3'")
@@ -387,7 +407,7 @@ def delete_cascade(spark, d):
     return relational.delete_where(read(spark, d, "labels").select("doc_id", "quality"), gone, ["doc_id"])
 
 
-@query("select doc_id, lang from documents where doc_id % 10 = 0 except all select doc_id, case when doc_id % 20 = 0 then 'xx' else lang end from documents where doc_id % 10 = 0")
+@query("select doc_id, lang from documents except all select doc_id, case when doc_id % 20 = 0 then 'xx' else lang end from documents")
 def version_diff(spark, d):
     old = read(spark, d, "documents").select("doc_id", "lang")
     return old.exceptAll(old.withColumn("lang", F.when(F.col("doc_id") % 20 == 0, "xx").otherwise(F.col("lang"))))
@@ -415,10 +435,10 @@ def pagination(spark, d):
     return relational.page(read(spark, d, "documents").select("doc_id", "source"), [F.desc("source"), "doc_id"], 40, 20)
 
 
-@query("select event_id, user_id from events where user_id not in (select user_id from events where event_type = 'purchase')")
+@query("select event_id, user_id from events where user_id not in (select user_id from events where value > 150)")
 def idempotent_dedup(spark, d):
     e = read(spark, d, "events")
-    keys = e.filter("event_type = 'purchase'").select(F.col("user_id").cast("string").alias("idempotency_key"), F.lit("r").alias("result"), F.lit(None).cast("timestamp").alias("expires_at"))
+    keys = e.filter("value > 150").select(F.col("user_id").cast("string").alias("idempotency_key"), F.lit("r").alias("result"), F.lit(None).cast("timestamp").alias("expires_at"))
     return ev.unseen(e.select("event_id", "user_id", F.col("user_id").cast("string").alias("idempotency_key")), keys).select("event_id", "user_id")
 
 

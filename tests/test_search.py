@@ -2,6 +2,8 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from lexmere.functions import vectors
 from lexmere.operators import search
 from lexmere.plans import catalog
@@ -47,6 +49,21 @@ def test_filters_are_typed(spark):
     assert df.filter(search.compile_filters({"n": [1, 2], "s": "b"})).count() == 1 and df.filter(search.compile_filters({})).count() == 2
 
 
+def test_stored_index_ranks_as_a_scan_does(spark, tmp_path):
+    words = [["cat", "dog"], ["cat"] * 3 + ["bird"], ["dog"] * 2, ["Über", "cat"], []]
+    docs = spark.createDataFrame([(i, " ".join(w) if w else None) for i, w in enumerate(words * 3)], "doc_id long, text string")
+    index = search.TextIndex.build(docs, f"file://{tmp_path}/index", "doc_id", buckets=4)
+    rows = lambda df: [(r["doc_id"], r["score"]) for r in df.collect()]
+    for terms in (["cat"], ["cat", "dog"], ["über", "nothing"], ["nothing"]):
+        assert rows(index.search(terms, 20)) == rows(search.bm25(docs, terms, 20, "doc_id"))
+        assert rows(index.search(terms, 20, every=True)) == rows(search.conjunctive(docs, terms, 20, "doc_id"))
+    own = docs.withColumn("v", F.array(F.lit(1.0), F.col("doc_id").cast("double")))
+    ask = lambda **more: rows(search.hybrid(own, [1.0, 0.0], ["cat"], 5, "doc_id", "v", **more))
+    assert ask() == ask(index=index)
+    empty = search.TextIndex.build(docs.limit(0), f"file://{tmp_path}/empty", "doc_id")
+    assert empty.search(["cat"], 5).count() == 0
+
+
 def test_bm25_of_nothing(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "cat cat dog")], "doc_id long, text string")
     assert [r["doc_id"] for r in search.bm25(docs, ["cat"], 5, "doc_id").collect()] == [3]
