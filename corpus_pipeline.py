@@ -1,7 +1,9 @@
 """A training-data pipeline: quality classifier, line dedup, near-dedup, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept and returns a
-DataFrame; all but the last return the columns of documents.
+DataFrame; all but the last return the columns of documents. Rows are judged one by one: null or repeated
+doc_ids tell nothing apart that its text does not, extra columns of any name come through as they are,
+and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -17,29 +19,43 @@ from lexmere.llm.shared import row_key, stage, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores below 0.5 go. It is fitted as in op9, on labels outside the held-out fold."""
+    """Documents that the classifier scores below 0.5 go. It is fitted as in op9, on labels outside the held-out fold.
+
+    Null and empty texts have the score of a margin of 0.
+    """
     return nbsvm.keep_good(docs, nbsvm.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines inside later occurrences of three-line windows go; documents stay, with n_chars counted anew where lines went."""
-    out = linededup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Lines inside later occurrences of three-line windows go; documents stay, with n_chars counted anew where lines went. Null texts stay null."""
+    names = {c: f"__own_{c}" for c in ("n_lines", "n_removed") if c in docs.columns}  # the operator's counts have these names
+    out = linededup.dedup_lines(docs.withColumnsRenamed(names))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: shingles of five words, similarity of 0.8 or more."""
+    """One document of each group stays, that of the least doc_id: shingles of five words, similarity of 0.8 or more.
+
+    Null and blank texts are in no group and stay.
+    """
     return neardup.keep_one(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go: those with 13-word windows of benchmark items on at least a twentieth of their words."""
+    """Contaminated documents go: those with 13-word windows of benchmark items on at least a twentieth of their words.
+
+    Null and empty texts stay. A document is known by its doc_id and its text.
+    """
     found = decontam.judge(decontam.find(docs, table(spark, sf_dir, "benchmark"), carry_key=True))
-    bad = stage(found.filter("contaminated").select("key").distinct(), "contaminated")
-    return docs.withColumn("key", row_key(F.col("doc_id"), F.col("text"))).join(bad, "key", "left_anti").select(*docs.columns)
+    bad = stage(found.filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("key").alias("__bad")).distinct(), "contaminated")
+    keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
+    return keyed.join(bad, (F.col("__key") == F.col("__bad")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of at most 2048 tokens. Null texts are empty: one piece, the end id."""
     return packing.pack(docs, tokenizer("word_bpe_49k.json"), 0)
 
 

@@ -21,8 +21,9 @@ from lexmere.llm import textscan as ts
 from lexmere.llm.textscan import U
 
 BITS = 18
-#: Labelled rows that the model is fitted on, at most: those whose doc_id hashes least.
-SAMPLE = 12_000
+#: Labelled rows that the model is fitted on, at most: those whose doc_id hashes least. And the features that they
+#: hold in all, at most: the first rows in that order that stay within it.
+SAMPLE, FEATURES = 12_000, 20_000_000
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -99,8 +100,8 @@ def _margins(weights: np.ndarray, ratios: np.ndarray, ids: np.ndarray, bounds: n
 
 
 def log_count_ratios(ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, alpha: float = 1.0) -> np.ndarray:
-    owner = np.repeat(labels, np.diff(bounds))
-    p, q = (alpha + np.bincount(ids[owner == y], minlength=1 << BITS) for y in (1, 0))
+    owner = np.repeat(labels.astype(bool), np.diff(bounds))
+    p, q = (alpha + np.bincount(ids[owner == y], minlength=1 << BITS) for y in (True, False))
     return np.log((p / p.sum()) / (q / q.sum()))
 
 
@@ -152,7 +153,7 @@ def train(ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, cost: float =
     rows = []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         v = ratios[ids[a:b]]
-        rows.append((ids[a:b], v / max(np.sqrt(v @ v), 1e-9)))
+        rows.append((ids[a:b], (v / max(np.sqrt(v @ v), 1e-9)).astype(np.float32)))
     each = np.where(labels == 1, 1.0, labels.sum() / max((1 - labels).sum(), 1)) * cost
     folds = np.arange(len(rows)) % 5 == 0  # margins for the curve come from a model that has not seen the rows
     kept = [r for r, f in zip(rows, folds, strict=True) if not f]
@@ -174,30 +175,46 @@ def _featured(batches: Batches) -> Batches:
         for part in ts.pieces(batch):
             ids, bounds = features(part.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column("label"), lists], ["label", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column("place"), part.column("label"), lists], ["place", "label", "ids"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def _trained(most: int) -> Callable[[Batches], Batches]:
+    """One row, the model. The rows arrive in the sample's order."""
+
+    def run(batches: Batches) -> Batches:
+        ids, sizes, labels, held = [np.zeros(0, np.int32)], [], [], 0
+        for batch in batches:
+            for label, own in zip(batch.column("label").to_pylist(), batch.column("ids"), strict=True):
+                if held + len(own) <= most:
+                    ids.append(own.values.to_numpy())
+                    sizes.append(len(own)), labels.append(label)
+                    held += len(own)
+        m = train(np.concatenate(ids), np.r_[0, np.cumsum(sizes)].astype(np.int64), np.array(labels, np.int64))
+        columns = [pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.ratios.tobytes()], pa.binary()), pa.array([m.slope]), pa.array([m.shift])]
+        yield pa.RecordBatch.from_arrays(columns, ["weights", "ratios", "slope", "shift"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FEATURES) -> Model:
     """Fits on the labelled rows outside fold 1, at most ``sample`` of them: those of the least hashes of doc_id.
 
+    Of these, rows that would bring the features to over ``most`` are passed over. One task of an executor
+    fits; the driver gets the weights only.
     labels: doc_id, quality; null doc_ids and qualities are left out, contradicting rows of one doc_id count as good.
+    Rows of docs with one doc_id are rows of their own. Without labelled rows all scores are 0.5.
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1))
     known = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
+    place = F.xxhash64("doc_id").alias("place")
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "text")
-    made = rows.mapInArrow(_featured, "label int, ids array<int>").toArrow()
-    ids = made.column("ids").combine_chunks()
-    if isinstance(ids, pa.ChunkedArray):
-        ids = pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.list_(pa.int32()))
-    y = np.asarray(made.column("label"), np.int64)
-    bounds = np.r_[0, np.cumsum(np.asarray([len(x) for x in ids], np.int64))].astype(np.int64)
-    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    # Rows arrive in no fixed order; the fit must not depend on it.
-    keys = np.array([int(flat[a:b].sum()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.int64)
-    order = np.lexsort((y, keys))
-    parts = [flat[bounds[i] : bounds[i + 1]] for i in order]
-    return train(np.concatenate(parts) if parts else flat, np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int64), y[order])
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(place, "label", "text")
+    made = rows.mapInArrow(_featured, "place long, label int, ids array<int>")
+    taken = made.orderBy("place", "label", F.xxhash64("ids")).limit(sample)  # rows arrive in no fixed order; the fit must not depend on it
+    got = taken.mapInArrow(_trained(most), "weights binary, ratios binary, slope double, shift double").head()
+    if got is None:
+        return train(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64))
+    return Model(np.frombuffer(got["weights"], np.float32), np.frombuffer(got["ratios"], np.float32), got["slope"], got["shift"])
 
 
 def _scored(model: Model) -> Callable[[Batches], Batches]:
@@ -221,7 +238,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, floor: float = 0.5) -> DataFrame:
-    """The rows of docs with a score of at least floor, columns unchanged."""
+    """The rows of docs with a score of at least floor, columns unchanged, whatever their names.
+
+    Null and empty texts get the score of a margin of 0. Rows that are alike stay or go together; an empty table stays empty.
+    """
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for part in ts.pieces(batch):
