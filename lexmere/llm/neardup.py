@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from lexmere.llm import hyperminhash as hmh
 from lexmere.llm import textscan as ts
-from lexmere.llm.shared import WORD, drop, row_key, stage
+from lexmere.llm.shared import WORD, drop, row_key, small, stage
 
 #: Members of one star, or classes of one block, that are compared in one group, and how many shingles they hold, about.
-GROUP, SHINGLES = 512, 1 << 22
+GROUP, SHINGLES = 256, 1 << 22
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -144,7 +144,7 @@ def _buckets(classes: DataFrame, percent: int) -> DataFrame:
 def _whole(led: DataFrame, classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """node, regs, set of the classes that share a bucket."""
     keys = stage(led.select("node").distinct().join(classes.select("node", "key", "s1"), "node"), "wanted")
-    rows = texts.join(keys, "key").select("node", "s1", "text").mapInArrow(_sets(size), "node long, regs binary, set binary")
+    rows = texts.join(small(keys, F.lit(48)), "key").select("node", "s1", "text").mapInArrow(_sets(size), "node long, regs binary, set binary")
     return stage(rows.groupBy("node").agg(F.first("regs").alias("regs"), F.first("set").alias("set")), "sets")  # a row that is repeated has one key
 
 

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 
+#: A side of a join of at most so many bytes in memory is broadcast, a larger one is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
 _local: dict[str, str] = {}
 
 
@@ -52,6 +55,11 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(df: DataFrame, width: Column) -> DataFrame:
+    """df, to be broadcast if its rows, of so many bytes each, have BROADCAST_BYTES at most in all."""
+    return F.broadcast(df) if (df.agg(F.sum(width)).head()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def words(text: Column, pattern: str = WORD) -> Column:
     """The words of a text in order; none for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
