@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -104,15 +106,19 @@ class Scanner:
         """Spans of high entropy that no base span and no span of an earlier class holds."""
         held, found = [(a, b) for _, a, b in base], []
         for c, runs in zip(self.classes, self.runs, strict=True):
+            held.sort()
+            starts, reach = [a for a, _ in held], list(accumulate((b for _, b in held), max))  # the farthest end of the spans that start by then
+            own = []
             for m in runs.finditer(text):
                 run = m[0]
                 if not (any(x.isdigit() for x in run) and any(x.isalpha() for x in run)) or any(p.fullmatch(run) for p in self.allowed):
                     continue
-                for a, b in ((x + at, y + at) for at, part in _between(run) for x, y in entropy_spans(part, c.window, c.bits)):
-                    a, b = a + m.start(), b + m.start()
-                    if not any(x <= a and b <= y for x, y in held):
-                        found.append((c.kind, a, b))
-                        held.append((a, b))
+                for a, b in ((x + at + m.start(), y + at + m.start()) for at, part in _between(run) for x, y in entropy_spans(part, c.window, c.bits)):
+                    before = bisect_right(starts, a)
+                    if not before or reach[before - 1] < b:
+                        own.append((a, b))
+            found += [(c.kind, a, b) for a, b in own]
+            held += own
         return found
 
     def triggered(self, texts: pa.Array) -> np.ndarray:
