@@ -1,6 +1,6 @@
 """Recurring passages, found with repeated-phrase automata.
 
-Documents are dealt into shards of about SHARD_ROWS rows by a hash. Then:
+Documents are dealt into shards of about SHARD_ROWS rows or SHARD_BYTES bytes by a hash of doc_id and text. Then:
 
 1. Each shard hashes the 8-word phrases of its documents and keeps, for each window of
    ``window`` words, the phrase with the least hash: equal windows keep equal phrases, so a
@@ -14,7 +14,8 @@ Documents are dealt into shards of about SHARD_ROWS rows by a hash. Then:
 
 An owner gets at most one entry (two, for "more than once") per hash and shard, however
 often a shard repeats a passage, and hashes are even, so no task depends on how frequent a
-passage is.
+passage is. A shard's entries for one owner are one row, so there are never more rows than entries,
+which are in proportion to the words.
 """
 
 from __future__ import annotations
@@ -29,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmere.llm import textscan as ts
+from lexmere.llm.shared import row_key
 from lexmere.llm.textscan import U
 
 WINDOW = 35
 PHRASE = 8
-SHARD_ROWS = 2048
+SHARD_ROWS, SHARD_BYTES = 2048, 4 << 20
 
 _BLOBS = "owner int, shard int, keys binary, checks binary, places binary, phrases string"
 _BACK = "shard int, keys binary, places binary, phrases string"
@@ -226,8 +228,9 @@ def remove_recurring(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     """
     if window < phrase:
         raise ValueError("a window must hold a phrase")
-    shards = max(1, math.ceil(docs.count() / shard_rows))
-    dealt = docs.select("doc_id", "text").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    held = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).head()
+    shards = max(1, math.ceil(held["n"] / shard_rows), math.ceil(held["b"] / SHARD_BYTES))
+    dealt = docs.select("doc_id", "text").withColumn("shard", F.pmod(row_key(F.col("doc_id"), F.col("text")), F.lit(shards)).cast("int"))
     by = dealt.groupBy("shard")
     offered = by.applyInArrow(_offer(shards, window, phrase), _BLOBS)
     recurring = offered.groupBy("owner").applyInArrow(_recurring, _BACK)
