@@ -28,10 +28,21 @@ bw as (select item_id, least(len(w), 13) as n, unnest(list_transform(range(1, le
 dw as (select doc_id, n, unnest(range(1, len(w) - n + 2)) as i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(list_slice(w, i, i + n - 1), ' '))) as phrase from d, lens where len(w) >= n),
 hits as (select distinct doc_id, item_id, i, dw.n from dw join bw on dw.phrase = bw.phrase and dw.n = bw.n),
 covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by 1),
-found as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from hits group by 1)
+found as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from hits group by 1),
+items as (select row_number() over (order by item_id, w) as k, * from (select distinct item_id, w from b where len(w) > 0)),
+spread as (select doc_id, unnest(range(len(w))) as pos, unnest(w) as term from d where w is not null),
+counts as (select term, count(*) as n from spread group by 1),
+placed as (select k, item_id, len(w) as size, least(len(w), 13) as span, unnest(range(len(w))) as o, unnest(w) as term from items),
+ranked as (select k, p.term, row_number() over (partition by k, s order by coalesce(n, 0), o) as r from (select *, unnest(range(greatest(0, o - span + 1), least(o, size - span) + 1)) as s from placed) p left join counts using (term)),
+rare as (select k, term, count(*) over (partition by k) as terms from (select distinct k, term from ranked where r <= 3)),
+occ as (select doc_id, k, terms, len(w) + 8 as reach, pos, term from spread join rare using (term) join items using (k)),
+near as (select doc_id, count(distinct item_id) as n_near from (
+  select x.doc_id, x.k from occ x join occ y on x.doc_id = y.doc_id and x.k = y.k and y.pos between x.pos and x.pos + x.reach - 1
+  group by x.doc_id, x.k, x.pos, x.terms having count(distinct y.term) = x.terms) join items using (k) group by 1)
 select d.doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
-  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) as contaminated
-from d left join covered using (doc_id) left join found using (doc_id)
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) as contaminated,
+  coalesce(n_near, 0)::bigint as n_near
+from d left join covered using (doc_id) left join found using (doc_id) left join near using (doc_id)
 """
 
 def _tree(shards: int, base: int = 40) -> str:
@@ -73,8 +84,8 @@ judged as (
   select doc_id, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n,
     regexp_matches(line, '[.!?:;,…。！？][\[\]"''”»)]*[\x20\x09-\x0D]*$') as ended,
     len(regexp_extract_all(line, '[#*$%&<>]{2,}|[!?]{2,}')) as marks,
-    regexp_matches(lower(line), '(\|[^|]*){3,}|(»[^»]*){2,}|( > [^>]*){2,}|^(home|menu|login|log in|sign up|next|previous|back to top|contact us|about us)\W*$') as nav,
-    regexp_matches(lower(line), 'all rights reserved|privacy policy|terms of (use|service)|cookie|enable javascript|lorem ipsum|subscribe to our|click here|©') as boiler
+    regexp_matches(lower(line), '(\|[^|]*){3,}|(»[^»]*){2,}|( > [^>]*){2,}|^(home|menu|login|log in|sign up|next|previous|back to top|contact us|about us|startseite|anmelden|impressum|weiter|accueil|connexion|suivant|inicio|iniciar sesión|siguiente)\W*$') as nav,
+    regexp_matches(lower(line), 'all rights reserved|privacy policy|terms of (use|service)|cookie|enable javascript|lorem ipsum|subscribe to our|click here|©|alle rechte vorbehalten|datenschutzerklärung|tous droits réservés|politique de confidentialité|todos los derechos reservados|política de privacidad') as boiler
   from lined
 ), good as (select *, n > 0 and (ended or n >= 12) and marks < 0.4 * n and not nav and not boiler as ok from judged),
 lines as (
