@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexmere import schemas
 from lexmere.config import DEFAULT_ONTOLOGY, Ontology, load_config
 from lexmere.functions.text import tokens
-from lexmere.functions.vectors import Embedder, SeededEmbedder, degraded
+from lexmere.functions.vectors import Embedder, SeededEmbedder, checked, degraded, embed_texts
 from lexmere.operators import chunking, extraction, graph, relational, search
 from lexmere.sources import files
 from lexmere.sources.snapshots import Change, Store
@@ -40,7 +40,7 @@ class KnowledgeBase:
         docs = staged(docs.dropDuplicates(["doc_id"]), "ingest")
         good = docs.filter("error is null")
         chunks = staged(chunking.chunk_documents(good, s["max_size"]), "chunks")
-        vectors = staged(chunks.select("chunk_id", "tenant_id", self.embedder.column(F.col("text")).alias("vector"), F.lit(self.embedder.model).alias("embedding_model"), F.current_timestamp().alias("embedded_at")), "vectors")
+        vectors, cache = self._embedded(chunks)
         found = extraction.with_ontology(extraction.extractor(self.config["extraction"]["backend"])(chunks, "chunk_id"), self.ontology)
         of = chunks.select("chunk_id", "doc_id", "tenant_id")
         entity = found.join(of, "chunk_id").select(
@@ -59,12 +59,32 @@ class KnowledgeBase:
         own = good.select("tenant_id", "doc_id")
         old_vectors = self.store.table("chunks").join(own, ["tenant_id", "doc_id"], "left_semi").select("tenant_id", "chunk_id")
         self.store.change({
-            "documents": self.store.merge("documents", rows), "chunks": Change(chunks, own), "chunk_vectors": Change(vectors, old_vectors),
+            "documents": self.store.merge("documents", rows), "chunks": Change(chunks, own), "chunk_vectors": Change(vectors, old_vectors), "embedding_cache": cache,
             "entities": self.store.merge("entities", entity, "ignore"), "relations": self.store.merge("relations", rel, "ignore"),
         }, operation)
         errors = [{"source": r["source"], "error": r["error"]} for r in docs.filter("error is not null").select("source", "error").toLocalIterator()]
         return {"documents": good.count(), "chunks": chunks.count(), "entities": entity.select("entity_id").distinct().count(), "errors": errors, "embedding_degraded": bool(degraded(vectors).head()[0])}
 
+    def _embedded(self, chunks: DataFrame) -> tuple[DataFrame, Change]:
+        """The chunks' vectors, checked for their dimension, and what is new of them for the cache; a text is embedded once, now or earlier."""
+        model = self.embedder.model
+        known = self._table("embedding_cache").filter(F.col("embedding_model") == model).select("sha", "vector")
+        made = staged(embed_texts(chunks, self.embedder, "chunk_id", cache=known).withColumn("vector", checked(F.col("vector"), self.embedder.dimensions)), "embedded")
+        vectors = made.select("chunk_id", F.lit(self.tenant).alias("tenant_id"), "vector", F.lit(model).alias("embedding_model"), F.current_timestamp().alias("embedded_at"))
+        fresh = chunks.select("chunk_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).join(made, "chunk_id").filter(F.exists("vector", lambda x: x != 0))  # failures are tried again
+        rows = fresh.select("sha", F.lit(model).alias("embedding_model"), F.lit(self.tenant).alias("tenant_id"), "vector")
+        return vectors, self.store.merge("embedding_cache", rows, "ignore")
+
+    def replace_chunks(self, doc_id: str, given: DataFrame) -> None:
+        """Puts ready chunks (doc_id, chunk_index, text, metadata) in place of a document's."""
+        own = self.spark.createDataFrame([(self.tenant, doc_id)], "tenant_id string, doc_id string")
+        old = relational.null_safe(self.store.table("chunks"), own, ["tenant_id", "doc_id"], "left_semi").select("tenant_id", "chunk_id")
+        have = given.select(chunking.chunk_id_of(F.lit(self.tenant), F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "chunk_index", "text", F.lit("text").alias("source_type"), F.lit("given").alias("chunk_type"), "metadata", F.lit(self.tenant).alias("tenant_id"), F.current_timestamp().alias("created_at"))
+        blank = self.spark.createDataFrame([], schemas.TABLES["chunks"])
+        chunks = staged(blank.unionByName(have, allowMissingColumns=True), "chunks")
+        vectors, cache = self._embedded(chunks)
+        self.store.change({"chunks": Change(chunks, own), "chunk_vectors": Change(vectors, old), "embedding_cache": cache}, f"chunks of {doc_id}")
+
     def ingest_file(self, path: str, strict: bool = False) -> dict[str, Any]:
         return self._ingest(files.read_files(self.spark, path, self.tenant, extensions=None, strict=strict), f"ingest {path}")
 
@@ -121,6 +141,13 @@ class KnowledgeBase:
             h["context"] = [r["text"] for r in sorted((r for r in near if (r["doc_id"], r["hit_index"]) == (h["doc_id"], h["chunk_index"])), key=lambda r: r["chunk_index"])]
         return hits
 
+    def retrieve(self, query: str, top_k: int, filters: dict[str, Any] | None = None) -> list[dict]:
+        """The chunks whose vectors are nearest to the query's: chunk_id, doc_id, text, score, metadata."""
+        rows = self._searchable().filter(search.compile_filters(filters)).filter("vector is not null")
+        best = search.vector_topk(rows, self.embedder.vector(query), top_k, "chunk_id", "vector")
+        full = best.join(self._table("chunks").select("chunk_id", "doc_id", "text", "metadata"), "chunk_id").orderBy(F.desc("score"), "chunk_id")
+        return [r.asDict(recursive=True) for r in full.collect()]
+
     def search_similar(self, chunk_id: str, k: int = 10, exclude_self: bool = True) -> list[dict]:
         rows = self._table("chunk_vectors").select("chunk_id", "vector")
         best = search.similar_to(rows, chunk_id, min(k, 20), "chunk_id", "vector", exclude_self)
@@ -148,8 +175,13 @@ class KnowledgeBase:
         edges = self._table("relations").select(F.col("source_entity_id").alias("src"), F.col("target_entity_id").alias("dst"), F.col("relation_type").alias("kind"), "weight")
         return nodes, edges
 
-    def add_entity(self, name: str, entity_type: str) -> str:
-        """The id of the entity, which may have been there."""
+    def add_entity(self, name: str, entity_type: str, always_new: bool = False) -> str:
+        """The id of the entity, which may have been there; with always_new another entity of the same name and type."""
+        if always_new:
+            key = uuid.uuid4().hex
+            row = self.spark.createDataFrame([(key, self.tenant, name, entity_type, None, None, None, None, None, "manual", None)], schemas.ENTITIES)
+            self.store.change({"entities": Change(row)}, f"entity {name}")
+            return key
         key = self.spark.range(1).select(F.sha2(F.concat_ws("\u001f", F.lit(self.tenant), F.lit(name), F.lit(entity_type)), 256)).head()[0]
         row = self.spark.createDataFrame([(key, self.tenant, name, entity_type, None, None, None, None, None, "manual", None)], schemas.ENTITIES)
         self.store.upsert({"entities": row}, f"entity {name}", "ignore")
@@ -188,8 +220,8 @@ class KnowledgeBase:
     def _views(self) -> dict[str, DataFrame]:
         return {n: self._table(n) for n in schemas.TABLES}
 
-    def sql_query(self, query: str, limit: int = 100) -> dict[str, Any]:
-        return relational.sql_query(self.spark, query, self._views(), limit)
+    def sql_query(self, query: str, limit: int = 100, args: dict[str, Any] | list[Any] | None = None) -> dict[str, Any]:
+        return relational.sql_query(self.spark, query, self._views(), limit, args=args)
 
     def sql_execute(self, table: str, rows: list[tuple] | None = None, mode: str = "update", delete: dict[str, Any] | None = None) -> dict[str, Any]:
         """Writes by value, not by SQL text: rows to merge by the natural key, or values to delete by."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -80,6 +80,30 @@ class SeededEmbedder:
         return embed(text)
 
 
+class CallableEmbedder:
+    """Vectors of a Python function, such as a model server's client; a text on which it fails, or gives another length, gets the zero vector."""
+
+    def __init__(self, embed: Callable[[str], list[float]], dimensions: int, model: str) -> None:
+        self.embed, self.dimensions, self.model = embed, dimensions, model
+
+    def vector(self, text: str) -> list[float]:
+        try:
+            got = [float(x) for x in self.embed(text or "")]
+        except Exception:  # noqa: BLE001  whatever the model's client raises, the text stays searchable by its words
+            got = []
+        return got if len(got) == self.dimensions else [0.0] * self.dimensions
+
+    def column(self, text: Column) -> Column:
+        vector = self.vector
+
+        @F.pandas_udf("array<float>")
+        def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                yield texts.map(vector)
+
+        return embed(text)
+
+
 class HashingEmbedder:
     """Unit-length counts of hashed words: similar texts get similar vectors, all in the JVM."""
 

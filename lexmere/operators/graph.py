@@ -88,6 +88,13 @@ def bfs_paths(edges: DataFrame, start: object, depth: int) -> DataFrame:
     return seen
 
 
+def relations_among(edges: DataFrame, visited: DataFrame, relation_types: tuple[str, ...] | None = None) -> DataFrame:
+    """The edges whose two ends a search has visited; of the named kinds only, if any: they don't change what is visited."""
+    own = edges if relation_types is None else edges.filter(F.col("kind").isin(*relation_types))
+    ends = visited.select("node").distinct()
+    return own.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
+
+
 def shortest_path(edges: DataFrame, start: object, goal: object, max_depth: int = 10) -> list | None:
     """Nodes of a shortest undirected path, the least of equally short ones; None if there is none within max_depth edges."""
     hit = bfs_paths(edges, start, max_depth).filter(F.col("node") == F.lit(goal)).select("path").head()

@@ -146,13 +146,16 @@ def check_query(spark: SparkSession, query: str, tables: Iterable[str]) -> None:
             raise ValueError(f"no such table: {name}")
 
 
-def sql_query(spark: SparkSession, query: str, tables: dict[str, DataFrame], limit: int = 100, cap: int = 5000) -> dict[str, Any]:
-    """columns, rows (at most min(limit, cap)) and row_count (of the whole result); errors come back as {"error": ...}."""
+def sql_query(spark: SparkSession, query: str, tables: dict[str, DataFrame], limit: int = 100, cap: int = 5000, args: dict[str, Any] | list[Any] | None = None) -> dict[str, Any]:
+    """columns, rows (at most min(limit, cap)) and row_count (of the whole result); errors come back as {"error": ...}.
+
+    args are values for the markers of the query (:name, or ? in order); they are never spliced into its text.
+    """
     try:
         check_query(spark, query, tables)
         for name, df in tables.items():
             df.createOrReplaceTempView(name)
-        result = spark.sql(query)
+        result = spark.sql(query, args=args)
         rows = [r.asDict(recursive=True) for r in result.limit(min(limit, cap)).collect()]
         return {"columns": result.columns, "rows": rows, "row_count": result.count() if len(rows) == min(limit, cap) else len(rows)}
     except Exception as e:  # noqa: BLE001  callers get errors as data

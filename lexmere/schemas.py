@@ -9,6 +9,7 @@ CHUNKS = (
     "file_path string, start_line int, end_line int, start_char int, end_char int, metadata map<string,string>, tenant_id string, created_at timestamp"
 )
 VECTORS = "chunk_id string, tenant_id string, vector array<float>, embedding_model string, embedded_at timestamp"
+CACHE = "sha string, embedding_model string, tenant_id string, vector array<float>"
 ENTITIES = "entity_id string, tenant_id string, name string, entity_type string, source_document_id string, chunk_id string, start_char int, end_char int, confidence double, extractor_id string, metadata map<string,string>"
 RELATIONS = "relation_id string, tenant_id string, source_entity_id string, target_entity_id string, relation_type string, weight double, confidence double, chunk_id string"
 TAGS = "tag_id string, tenant_id string, name string, color string, description string"
@@ -19,12 +20,13 @@ DLQ = "projection_name string, tenant_id string, event_id string, event_type str
 IDEMPOTENCY = "idempotency_key string, tenant_id string, command_type string, command_payload string, result string, created_at timestamp, expires_at timestamp"
 
 TABLES = {
-    "documents": DOCUMENTS, "chunks": CHUNKS, "chunk_vectors": VECTORS, "entities": ENTITIES, "relations": RELATIONS, "tags": TAGS,
+    "documents": DOCUMENTS, "chunks": CHUNKS, "chunk_vectors": VECTORS, "embedding_cache": CACHE, "entities": ENTITIES, "relations": RELATIONS, "tags": TAGS,
     "document_tags": DOCUMENT_TAGS, "metadata": METADATA, "events": EVENTS, "projection_dlq": DLQ, "idempotency_keys": IDEMPOTENCY,
 }
 #: Natural keys, by which upserts and insert-ignores tell rows apart.
 KEYS = {
     "documents": ("tenant_id", "source"), "chunks": ("tenant_id", "doc_id", "chunk_index"), "chunk_vectors": ("tenant_id", "chunk_id"),
+    "embedding_cache": ("tenant_id", "embedding_model", "sha"),
     "entities": ("tenant_id", "name", "entity_type"), "relations": ("tenant_id", "source_entity_id", "target_entity_id", "relation_type"),
     "tags": ("tenant_id", "name"), "document_tags": ("tenant_id", "doc_id", "tag_id"), "metadata": ("tenant_id", "key", "doc_id"),
     "events": ("tenant_id", "event_id"), "projection_dlq": ("projection_name", "tenant_id", "event_id"), "idempotency_keys": ("tenant_id", "idempotency_key"),

@@ -154,6 +154,48 @@ def test_knowledge_base(spark, tmp_path):
     assert other.list_documents() == [] and other.search("AuthManager") == []
 
 
+def test_backend_cache_and_failing_models(spark, tmp_path):
+    from lexmere.backend import RetrievalBackend, StoreBackend
+    from lexmere.functions.vectors import CallableEmbedder
+
+    asked = tmp_path / "asked"
+
+    def model(text):
+        with asked.open("a") as f:
+            f.write(text + "\n")
+        if "bad" in text:
+            raise OSError
+        return [1.0, float(len(text))]
+
+    kb = KnowledgeBase(spark, f"file://{tmp_path}/kb", embedder=CallableEmbedder(model, 2, "m"))
+    backend = StoreBackend(kb)
+    assert isinstance(backend, RetrievalBackend) and backend.health()
+    backend.initialize()
+    backend.ingest("s", [{"text": "aaaa", "metadata": {"page": 1}}, {"text": "aaaa"}, {"text": "bad"}, {"text": "b"}])
+    assert sorted(asked.read_text().split()) == ["aaaa", "b", "bad"]
+    assert [(r["source_id"], r["text"]) for r in backend.retrieve("aaaa", 2)] == [("s", "aaaa")] * 2 and backend.retrieve("x", 9, {"chunk_index": 0})[0]["metadata"] == {"page": "1"}
+    backend.ingest("s", [{"text": "b"}, {"text": "bad"}])
+    assert sorted(asked.read_text().split()) == ["aaaa", "aaaa", "b", "bad", "bad", "x"] and len(backend.retrieve("b", 9)) == 2  # the queries, and the failed text once more
+    backend.delete_source("s")
+    assert backend.retrieve("b", 9) == []
+    assert kb.add_entity("A", "Person", always_new=True) != kb.add_entity("A", "Person", always_new=True)
+    assert kb.sql_query("select count(*) as n from entities where name = :who", args={"who": "A"})["rows"] == [{"n": 2}]
+
+
+def test_sql_functions(spark):
+    from lexmere.functions.tables import register
+    from lexmere.operators import graph
+
+    register(spark, 4)
+    rows = spark.sql("select d.i, c.chunk_index, c.heading_path from (select 1 as i, '# A\n' || repeat('t ', 80) || '\n## B\nx' as t union all select 2, null) d, lateral chunk_markdown(d.t) c order by 2").collect()
+    assert [(r["i"], r["heading_path"]) for r in rows] == [(1, ["A"]), (1, ["A", "B"])]
+    assert spark.sql("select entity_name from chunk_code('def f():\n    pass\n', 'python')").head()[0] == "f" and spark.sql("select count(*) from chunk_text('a b')").head()[0] == 1
+    assert len(spark.sql("select seeded_embed('a') as v").head()["v"]) == 4
+    edges = spark.createDataFrame([("a", "b", "X"), ("b", "c", "Y"), ("c", "d", "X")], "src string, dst string, kind string")
+    seen = graph.bfs_paths(edges, "a", 2)
+    assert [r["kind"] for r in graph.relations_among(edges, seen, ("Y",)).collect()] == ["Y"] and graph.relations_among(edges, seen).count() == 2
+
+
 def test_events(spark, tmp_path):
     log, store = f"file://{tmp_path}/log", Store(spark, f"file://{tmp_path}/store")
     e = lambda i, kind, body, at=0: (f"e{i}", "d1", "t", kind, i, json.dumps(body) if body is not None else "{", NOW + dt.timedelta(seconds=at))
