@@ -175,9 +175,64 @@ def chunk_paragraph_pack(spark, d):
     return chunking.pack_lines(read(spark, d, "documents"), 800)
 
 
+def _sources(spark, d, kind, text, language=None):
+    """Benchmark items as files of a kind, with ``text`` made of i, the item's id, and t, its words on one line."""
+    items = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("i"), F.regexp_replace("text", r"\s+", " ").alias("t"))
+    return items.select(F.col("i").alias("doc_id"), F.lit("made").alias("source"), F.lit(kind).alias("source_type"), F.lit(language).cast("string").alias("language"), text.alias("text"), F.lit("t").alias("tenant_id"))
+
+
+_ITEMS = r"items as (select item_id::varchar as i, regexp_replace(text, '\s+', ' ', 'g') as t from benchmark)"
+
+
+def _markdown(spark, d):
+    return _sources(spark, d, "markdown", F.concat(F.lit("# Item "), "i", F.lit("\n"), "t", F.lit("\n## Its Notes\n"), "t"))
+
+
+@query(f"""with {_ITEMS} select i as doc_id, 0 as chunk_index, 'Item ' || i as path, '# Item ' || i || chr(10) || t as text from items
+union all select i, 1, 'Item ' || i || ' > Its Notes', '## Its Notes' || chr(10) || t from items""")
+def chunk_markdown(spark, d):
+    """Each item as a file of two sections, which the markdown chunker tells apart with their paths."""
+    return chunking.chunk_documents(_markdown(spark, d), 100_000).select("doc_id", "chunk_index", F.array_join("heading_path", " > ").alias("path"), "text")
+
+
+@query(f"""with {_ITEMS} select i as doc_id, 0 as chunk_index, 'function' as chunk_type, 'step_' || i as entity_name, 'def step_' || i || '():' || chr(10) || '    return "' || translate(t, '"\\', '  ') || '"' as text from items
+union all select i, 1, 'class', 'Part' || i, 'class Part' || i || ':' || chr(10) || '    pass' from items""")
+def chunk_code(spark, d):
+    """Each item as a Python file of a function and a class."""
+    body = F.concat(F.lit("def step_"), "i", F.lit('():\n    return "'), F.translate("t", '"\\', "  "), F.lit('"\n\n\nclass Part'), "i", F.lit(":\n    pass\n"))
+    made = chunking.chunk_documents(_sources(spark, d, "code", body, "python"), 100_000)
+    return made.select("doc_id", "chunk_index", "chunk_type", "entity_name", "text")
+
+
+@query(f"with {_ITEMS} select i as doc_id, 0 as pos, 'Item ' || i as name, 1 as level, 'Concept' as entity_type from items union all select i, 1, 'Its Notes', 2, 'Concept' from items")
+def markdown_entities(spark, d):
+    """The entities that headings give; CamelCase words are those of camelcase_entities."""
+    found = extraction.with_ontology(extraction.entities(_markdown(spark, d)))
+    return found.filter("pattern = 'heading'").select("doc_id", "pos", "name", "level", "entity_type")
+
+
+_HALVES = "c as (select user_id::varchar as k, max(event_id) as v from events group by 1), d as (select user_id::varchar as k, max(event_id) as v from events where event_id % 2 = 0 group by 1)"
+
+
+@query(f"with {_HALVES} select 1 as version, k as key, v::varchar as value from c union all select 2, c.k, coalesce(d.v + 1000000, c.v)::varchar from c left join d using (k) union all select 3, k, v::varchar from c")
+def stored_versions(spark, d):
+    """Three versions of a stored table: written, merged into, restored; each read back."""
+    from lexmere.sources.snapshots import Store
+
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    last = lambda e, more: e.groupBy(F.col("user_id").cast("string").alias("key")).agg((F.max("event_id") + more).cast("string").alias("value"))
+    rows = lambda e, more: last(e, more).select("key", "value", F.lit(None).cast("string").alias("doc_id"), F.lit("t").alias("tenant_id"))
+    e = read(spark, d, "events")
+    store.upsert({"metadata": rows(e, 0)}, "all")
+    store.upsert({"metadata": rows(e.filter("event_id % 2 = 0"), 1_000_000)}, "even")
+    store.restore(1)
+    reads = [store.table("metadata", v).select(F.lit(v).alias("version"), "key", "value") for v in (1, 2, 3)]
+    return reads[0].unionByName(reads[1]).unionByName(reads[2])
+
+
 @query()
 def chunk_documents(spark, d):
-    """Pages through the markdown chunker, documents through the text chunker."""
+    """Documents through the paragraph chunker."""
     docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source"), F.lit("text").alias("source_type"), F.lit(None).cast("string").alias("language"), "text", F.lit("t").alias("tenant_id"))
     return chunking.chunk_documents(docs, 800).drop("created_at")
 
