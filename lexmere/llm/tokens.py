@@ -2,37 +2,30 @@
 
 A text is cut at ASCII white space where the tokenizer's own rules always cut, so a text's ids are
 the ids of its segments in order. Distinct segments of a batch are found by hash with numpy;
-only new ones go through the library's normalizer, pre-tokenizer and model. Texts with white
+only new ones go through the library, many in a call. Texts with white
 space beyond ASCII, where the cut could matter, or with the string of an added token (such as
 <|endoftext|>, one id) go through the library whole.
 """
 
 from __future__ import annotations
 
-import json
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from tokenizers import Tokenizer
 
 from lexmere.llm import textscan as ts
 from lexmere.llm.textscan import U
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Python worker has one core
+
 #: UTF-8 forms of white space beyond ASCII.
 WIDE_SPACE = re.compile(rb"\xc2\x85|\xc2\xa0|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-#: The pattern by which a byte-level pre-tokenizer cuts a text (public, of the GPT-2 vocabulary).
-BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Segments of printable characters below this one are cut here, others by the library.
-PLAIN_BELOW = "\u0250"
 #: Segments whose ids a worker remembers.
 REMEMBERED = 2_000_000
-#: Pieces of segments that it remembers.
-PIECES = 400_000
-#: Characters of a piece that is remembered.
-LONGEST = 64
 
 
 class Encoder:
@@ -44,45 +37,13 @@ class Encoder:
         self.added = [x.content.encode().lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
         # A byte-level tokenizer without a normalizer keeps white space and joins a single space to the word after it.
         self.keeps_space = self.tokenizer.normalizer is None
-        self.model = self.tokenizer.model
-        self.cut = self._pattern()
-        # Byte-level alphabets write printable Latin-1 bytes as themselves and the n-th other byte as U+0100 + n.
-        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        others = [b for b in range(256) if b not in plain]
-        self.alphabet = {b: chr(0x100 + i) for i, b in enumerate(others)}
         self._forget()
 
-    def _pattern(self):
-        """The pre-tokenizer's pattern, if it is one of the two kinds that are cut here: byte-level, or split at a pattern and then byte-level."""
-        rules = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
-        if rules.get("type") == "ByteLevel" and rules["use_regex"] and not rules["add_prefix_space"]:
-            return regex.compile(BYTE_LEVEL)
-        if rules.get("type") == "Sequence" and [x["type"] for x in rules["pretokenizers"]] == ["Split", "ByteLevel"]:
-            split, level = rules["pretokenizers"]
-            if split["behavior"] == "Removed" and split["invert"] and not level["use_regex"] and not level["add_prefix_space"]:
-                return regex.compile(split["pattern"]["Regex"])
-        return None
-
-    def _pieces(self, text: str) -> list[str]:
-        """The pieces of a segment as the model takes them."""
-        t = self.tokenizer
-        if self.cut is not None and max(text) < PLAIN_BELOW:
-            if t.normalizer is not None:
-                text = text.lower() if text.isascii() else t.normalizer.normalize_str(text)
-            if text.isascii():
-                return [x.replace(" ", "\u0120") for x in self.cut.findall(text)] if text.isprintable() else self._library(text)
-            return [x.encode().decode("latin-1").translate(self.alphabet) for x in self.cut.findall(text)]
-        return self._library(text if t.normalizer is None else t.normalizer.normalize_str(text))
-
-    def _library(self, text: str) -> list[str]:
-        return [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-
     def _forget(self) -> None:
         self.known = np.zeros(0, U)
         self.first = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
-        self.pieces: dict[str, list[int]] = {}
 
     def _apart(self, data: np.ndarray) -> list[int]:
         """Byte places of what sends a text through the library whole."""
@@ -98,17 +59,6 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _segment(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in self._pieces(text):
-            got = self.pieces.get(piece)
-            if got is None:
-                got = [x.id for x in self.model.tokenize(piece)]
-                if len(piece) <= LONGEST and len(self.pieces) < PIECES:
-                    self.pieces[piece] = got
-            out += got
-        return out
-
     def _segments(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """start, end (byte places) and hash of the segments of all texts in order."""
         w = ts.scan(pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())))
@@ -155,7 +105,8 @@ class Encoder:
         new, at = distinct[fresh], at[fresh]
         if not len(new):
             return
-        got = [self._segment(data[a:b].tobytes().decode("utf-8")) for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+        segments = [data[a:b].tobytes().decode("utf-8") for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
         size = np.array([len(x) for x in got], np.int64)
         first = len(self.ids) + np.cumsum(size) - size
         self.ids = np.concatenate([self.ids, np.array([y for x in got for y in x], np.uint32)])
