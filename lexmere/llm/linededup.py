@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmere.llm.shared import row_key
+from lexmere.llm.shared import row_key, stage
 
 WINDOW = 3
 
@@ -49,7 +49,8 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", tex
         .select("id", "__key", "at", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(size), "w").alias("h2"))
     )
     first = F.min(F.struct("id", "__key", "at"))
-    repeated = windows.groupBy("h1", "h2").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
+    # Written first: the join below is then of two plain shuffles, and the partition of a window that very many texts share can be split.
+    repeated = stage(windows.groupBy("h1", "h2").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first"), "repeated")
     later = (
         windows.join(repeated, ["h1", "h2"]).filter(F.struct("id", "__key", "at") > F.col("first"))
         .groupBy("__key").agg(F.array_sort(F.collect_set("at")).alias("__starts"))
