@@ -99,7 +99,7 @@ def rrf_fusion(spark, d):
     return search.rrf(list(_lists(spark, d)), "id", 10)
 
 
-@query(f"""with {_FUSE}, kept as (select r.* from ranked r join embeddings on vec_id = id where label not in (0, 1) and (l = 1 or score >= 0.3)),
+@query(f"""with {_FUSE}, kept as (select r.* from ranked r left join embeddings on vec_id = id where (label is null or label not in (0, 1)) and (l = 1 or score >= 0.3)),
 fused as (select id, round(sum(1 / (60 + r)), 6) as score, min((l, r)) as f from kept group by id) select id, score from fused order by score desc, f, id limit 10""")
 def rrf_floor_exclusion(spark, d):
     types = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("type"))
