@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmere.llm import decontam, linededup, linequality, nbsvm, neardup, packing, phrases, secrets, sharding, tokenstore
+from lexmere.llm import decontam, linededup, linequality, nbsvm, neardup, packing, periodic, phrases, secrets, sharding, tokenstore, urlfilter, whitening
 from lexmere.llm.shared import table
 
 
@@ -63,10 +63,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[c for c in out.columns if c != "clean_text"], F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
+#: The rules of the contract.
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+#: Words that make a host a listed one.
+URL_WORDS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam")
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judge(pages, rules, urlfilter.hosts_with(pages, URL_WORDS))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find_runs(table(spark, sf_dir, "documents"), edit=periodic.repeated_tail)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 32)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_sharding, op2_rans_tokens, op3_near_dedup, op4_repeated_phrases, op5_line_dedup,
         op6_best_fit_packing, op7_decontamination, op8_secret_scan, op9_quality_classifier, op10_quality_rules,
+        op11_url_filter, op12_periodic_runs, op13_whitening,
     )
     return {f.__name__: f for f in every}
 

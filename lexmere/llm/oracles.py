@@ -124,4 +124,13 @@ least_ as (select u as doc_id, min(v) as component_id from reach group by 1)
 select doc_id, len(s)::bigint as n_shingles, component_id, doc_id = component_id as kept from sets join least_ using (doc_id)
 """
 
-SQL = {"op3_near_dedup": OP3, "op4_repeated_phrases": OP4, "op1_sharding": OP1, "op10_quality_rules": OP10, "op5_line_dedup": OP5, "op7_decontamination": OP7}
+OP11 = r"""
+with p as (select page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path from pages),
+rules as (select * from (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) t(rh, rp, v)),
+named as (select *, list_has_any(string_split_regex(host, '[.-]'), ['ads', 'adult', 'bets', 'casino', 'pills', 'porn', 'spam']) as listed from p)
+select page_id, host, path, best.rule as rule, coalesce(best.v, case when listed then 'block' else 'allow' end) as verdict, listed
+from (select *, (select max_by({'rule': rh || rp, 'v': v}, length(rh || rp)) from rules where (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp)) as best from named)
+"""
+
+SQL = {"op11_url_filter": OP11, "op3_near_dedup": OP3, "op4_repeated_phrases": OP4, "op1_sharding": OP1, "op10_quality_rules": OP10, "op5_line_dedup": OP5, "op7_decontamination": OP7}
