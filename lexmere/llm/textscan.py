@@ -1,13 +1,13 @@
 """Words, word hashes and k-gram hashes of whole Arrow batches of texts, with numpy.
 
-Texts are scanned as one run of bytes: a table tells separators, prefix sums of
-byte * P**position give each word's polynomial hash (P is odd, so P**-start exists modulo
-2**64), and k-gram hashes are put together by doubling. UTF-8 keeps multi-byte letters
-above 0x7F, so ASCII separators are safe on bytes.
+Texts are scanned as one run of bytes: a table tells separators, words are hashed eight bytes at a
+time by a mixing function that no pattern of letters undoes, words of over 64 bytes by BLAKE2b, and k-gram
+hashes are put together by doubling. UTF-8 keeps multi-byte letters above 0x7F, so ASCII separators are safe on bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,6 +49,28 @@ def _power(kind: str, n: int) -> np.ndarray:
     return _powers[kind][:n]
 
 
+#: Words of more bytes are hashed one by one.
+LONG = 64
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits for each word, by its bytes; words of at most eight bytes and the same length never share them."""
+    size = end - start
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    out = mix(size.astype(U) * U(P))
+    which, at = np.arange(len(start)), 0
+    while len(which):
+        lane = eight[start[which] + at] & _FIRST[np.minimum(size[which] - at, 8)]
+        out[which] = mix((out[which] * U(GRAM)) ^ lane)
+        at += 8
+        which = which[(size[which] > at) & (size[which] <= LONG)]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 @dataclass
 class Words:
     """start, end: byte places in data; first[i]: index of document i's first word; hash: by content."""
@@ -103,10 +125,7 @@ def scan(texts: pa.Array | pa.ChunkedArray, separators: np.ndarray = SPACES, low
     begin[edges] = inside[edges + 1]
     stop[edges - 1] |= inside[edges]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    sums = np.zeros(n + 1, U)
-    np.cumsum(BYTE[data] * _power("up", n), out=sums[1:])
-    raw = (sums[end] - sums[start]) * _power("down", n + 1)[start]
-    return Words(data, start, end, np.searchsorted(start, off), mix(raw + (end - start).astype(U) * U(GRAM)))
+    return Words(data, start, end, np.searchsorted(start, off), word_hashes(data, start, end))
 
 
 def pieces(table: pa.Table | pa.RecordBatch, column: str = "text", limit: int = PIECE) -> Iterator[pa.Table | pa.RecordBatch]:

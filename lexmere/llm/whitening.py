@@ -215,8 +215,8 @@ def identity_error(rows: DataFrame, vector_col: str, model: Whitener) -> float:
     schema = "n long, mean array<double>, products array<double>"
     tasks = rows.select(F.col(vector_col).alias("v")).mapInArrow(_moments(model), schema)
     state = None
-    # one row a task: folded in 64 tasks, then here
-    for r in tasks.repartition(64).mapInArrow(_folded, schema).collect():
+    # one row a task: folded in a few tasks, then here
+    for r in tasks.repartition(8).mapInArrow(_folded, schema).collect():
         state = _merged(state, (r["n"], np.array(r["mean"]), np.array(r["products"]).reshape(len(r["mean"]), -1)))
     return float(np.abs(state[2] / state[0] - np.eye(len(state[1]))).max())
 

@@ -54,6 +54,27 @@ def test_scan_finds_words(texts):
     assert len(set(seen.values())) == len(seen)
 
 
+def thue_morse(n):
+    """A word of n letters and the one with the letters changed about: equal under any polynomial modulo 2**64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse(spark):
+    for n in (16, 64, 65, 512, 1024, 4096):
+        a, b = thue_morse(n)
+        assert len(set(ts.scan(pa.array([f"{a} {b} {a}"])).hash.tolist())) == 2
+    a, b = thue_morse(1024)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        plain = Tokenizer.from_file(tokenizer(name))
+        ids, bounds = tk.Encoder(tokenizer(name)).encode(pa.array([a, f"{b} {a}", b]), 7)
+        assert [ids[x:y].tolist() for x, y in zip(bounds[:-1], bounds[1:], strict=True)] == [[*plain.encode(t, add_special_tokens=False).ids, 7] for t in (a, f"{b} {a}", b)]
+    filler = " ".join(f"f{i}" for i in range(34))
+    apart = frame(spark, [f"{filler} {a}", f"{filler} {b}"])
+    assert {r["n_removed"] for r in phrases.remove_recurring(apart).collect()} == {0}
+    assert all(r["kept"] for r in neardup.near_duplicates(frame(spark, [f"x {a} y", f"x {b} y"]), 2, 80).collect())
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=40), st.integers(1, 12))
 def test_grams_are_equal_where_words_are(words, k):
