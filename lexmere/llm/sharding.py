@@ -85,24 +85,23 @@ def shard_documents(docs: DataFrame, shards: int = 40, slot_group: int = SLOT_GR
     Null or empty text: size 16, checksum 0. Null doc_id: all such rows share one shard.
     Repeated doc_ids: the same shard, slots of their own. Empty table: no rows. Columns
     other than doc_id and text are not read. Slots run from 0 without gaps in each shard;
-    they are counted in groups of about ``slot_group`` rows (doc_id hash within shard), so
-    no task holds a whole shard.
+    they are counted in groups of about ``slot_group`` rows (a hash of doc_id, checksum and size within the
+    shard), so no task holds a whole shard, nor all rows of one doc_id.
     """
-    rows = docs.select("doc_id", "text")
     groups = max(1, math.ceil(docs.count() / shards / slot_group))
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")
+    sized = docs.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+    bucket = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(groups)).cast("int")
     tree = topology(shards)
-    ids = assign(docs.select("doc_id"), tree, "doc_id").withColumn("bucket", bucket)
+    ids = assign(sized, tree, "doc_id").withColumn("bucket", bucket)
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ids.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
         .select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     )
-    sized = rows.select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-    )
     placed = assign(assign(sized, tree, "doc_id"), topology(shards + 1), "doc_id", "grown_").withColumn("bucket", bucket)
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
     return (

@@ -113,7 +113,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str | None =
     """Encodes every whole text of docs (doc_id, text), end_id after each, and returns the store's folder.
 
     Null texts are empty. Rows are stored in ascending order of doc_id, null first; equal doc_ids
-    in order of their ids. Empty table: a store without frames. Other columns aren't read.
+    in order of their ids' checksum, then their ids, so that many rows of one doc_id spread over files. Empty table: a store without frames. Other columns aren't read.
     """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex[:12]}"
@@ -124,7 +124,8 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str | None =
     made = spark.read.schema(made.schema).parquet(raw)
     counts = made.select("ids").mapInArrow(_counted(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts.coalesce(1).write.parquet(f"{path}/table")
-    ordered = made.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    order = [F.col("doc_id").asc_nulls_first(), F.crc32("ids").asc()]
+    ordered = made.repartitionByRange(*order).sortWithinPartitions(*order, "ids")
     frames = ordered.mapInArrow(_framed(*_table(spark, path), width), "shard int, first long, n_ids long, frame binary")
     frames.write.option("compression", "uncompressed").parquet(f"{path}/frames")
     folder = spark._jvm.org.apache.hadoop.fs.Path(raw)

@@ -105,6 +105,14 @@ def test_sharding_laws(spark):
         sharding.topology(0)
 
 
+def test_slots_of_one_doc_id_spread_over_groups(spark):
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    plan = sharding.shard_documents(docs, 4, slot_group=50)
+    assert sorted(r["slot"] for r in plan.collect()) == list(range(3000))
+    groups = spark.range(3000).select(F.pmod(F.xxhash64(F.lit(None).cast("long"), F.crc32(F.col("id").cast("string").cast("binary")), (F.length(F.col("id").cast("string")) + 16).cast("long")), F.lit(15)).alias("g"))
+    assert max(r["count"] for r in groups.groupBy("g").count().collect()) < 300
+
+
 def test_sharding_moves_only_into_changed_subtrees(spark):
     ids = spark.range(4000).withColumnRenamed("id", "doc_id")
     old = sharding.topology(16, base=16)
