@@ -14,9 +14,9 @@ from lexmere import schemas
 from lexmere.config import DEFAULT_ONTOLOGY, Ontology, load_config
 from lexmere.functions.text import tokens
 from lexmere.functions.vectors import Embedder, SeededEmbedder, checked, degraded, embed_texts
-from lexmere.operators import chunking, extraction, graph, relational, search
+from lexmere.operators import chunking, extraction, graph, relational, search, sql
 from lexmere.sources import files
-from lexmere.sources.snapshots import Change, Store
+from lexmere.sources.snapshots import Change, ConflictError, Store
 from lexmere.sources.staging import staged
 
 
@@ -221,22 +221,48 @@ class KnowledgeBase:
         return {n: self._table(n) for n in schemas.TABLES}
 
     def sql_query(self, query: str, limit: int = 100, args: dict[str, Any] | list[Any] | None = None) -> dict[str, Any]:
-        return relational.sql_query(self.spark, query, self._views(), limit, args=args)
+        return sql.sql_query(self.spark, query, self._views(), limit, args=args)
+
+    def sql_execute(self, statement: str, args: dict[str, Any] | list[Any] | None = None) -> dict[str, Any]:
+        """Runs one INSERT, UPDATE, DELETE or MERGE on the tenant's rows, in one commit: affected_rows, or the error.
+
+        UPDATE and DELETE need a WHERE; a key that is taken is an error; args are values for :name or ? markers.
+        """
+        defaults = {
+            "tags": {"tag_id": relational.tag_id_of(F.col("tenant_id"), F.col("name"))}, "chunks": {"chunk_id": chunking.chunk_id_of(F.col("tenant_id"), F.col("doc_id"), F.col("chunk_index"))},
+            "entities": {"entity_id": F.sha2(F.concat_ws("\u001f", "tenant_id", "name", "entity_type"), 256)},
+            "relations": {"relation_id": F.sha2(F.concat_ws("\u001f", "tenant_id", "source_entity_id", "target_entity_id", "relation_type"), 256)},
+            "documents": {"doc_id": F.lit(None)},
+        }
+        try:
+            writer = sql.Writer(self.spark, self._views(), {t: schemas.KEYS[t] for t in schemas.WRITABLE}, {"tenant_id": self.tenant}, defaults, {"metadata": ["doc_id"]})
+            write, n = writer.compile(statement, args)
+            if n:
+                self.store.change({write.table: Change(write.rows, write.gone)}, statement)
+            return {"affected_rows": n}
+        except ConflictError:
+            raise
+        except Exception as e:  # noqa: BLE001  callers get errors as data
+            return {"error": (str(e).strip() or type(e).__name__).splitlines()[0]}
 
-    def sql_execute(self, table: str, rows: list[tuple] | None = None, mode: str = "update", delete: dict[str, Any] | None = None) -> dict[str, Any]:
-        """Writes by value, not by SQL text: rows to merge by the natural key, or values to delete by."""
+    def merge_rows(self, table: str, rows: list[tuple], mode: str = "update") -> dict[str, Any]:
+        """Merges rows by the table's natural key."""
         if table not in schemas.TABLES:
             return {"error": f"no such table: {table}"}
-        if delete:
-            gone = self._table(table).filter(search.compile_filters(delete))
-            n = gone.count()
-            self.store.change({table: Change(gone=gone.select(*schemas.KEYS[table]))}, f"delete from {table}")
-            return {"affected_rows": n}
-        given = self.spark.createDataFrame(rows or [], schemas.TABLES[table])
+        given = self.spark.createDataFrame(rows, schemas.TABLES[table])
         if not given.filter(~F.col("tenant_id").eqNullSafe(F.lit(self.tenant))).isEmpty():
             return {"error": "rows of another tenant"}
         self.store.upsert({table: given}, f"merge into {table}", mode)
-        return {"affected_rows": len(rows or [])}
+        return {"affected_rows": len(rows)}
+
+    def delete_rows(self, table: str, values: dict[str, Any]) -> dict[str, Any]:
+        """Deletes the rows with these values."""
+        if table not in schemas.TABLES or not values:
+            return {"error": f"no such table: {table}" if values else "nothing named"}
+        gone = self._table(table).filter(search.compile_filters(values))
+        n = gone.count()
+        self.store.change({table: Change(gone=gone.select(*schemas.KEYS[table]))}, f"delete from {table}")
+        return {"affected_rows": n}
 
     def sql_tables(self) -> dict[str, list[dict[str, str]]]:
         return relational.describe(self._views())

@@ -1,13 +1,12 @@
-"""Keyed merges, deletes, statistics, tags, metadata, pagination, guarded SQL."""
+"""Keyed merges, deletes, statistics, tags, metadata, pagination."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 from typing import Any
 
-from py4j.java_gateway import is_instance_of
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -85,82 +84,18 @@ def tags_of(document_tags: DataFrame, tags: DataFrame, doc_id: Any) -> DataFrame
     return document_tags.filter(F.col("doc_id") == F.lit(doc_id)).join(tags, ["tag_id", "tenant_id"]).select("name", "color", "description").orderBy("name")
 
 
+def tag_id_of(tenant: Column, name: Column) -> Column:
+    """The version-5 UUID of tenant/name in the namespace of object identifiers, without hyphens."""
+    digest = F.sha1(F.concat(F.unhex(F.lit("6ba7b8129dad11d180b400c04fd430c8")), F.concat(tenant, F.lit("/"), name).cast("binary")))
+    variant = F.lower(F.hex(F.conv(F.substring(digest, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
+    return F.concat(F.substring(digest, 1, 12), F.lit("5"), F.substring(digest, 14, 3), variant, F.substring(digest, 18, 15))
+
+
 def metadata_of(metadata: DataFrame, key: str | None = None, doc_id: Any = None) -> DataFrame:
     """Entries by key and document; without a document the global ones (null doc_id)."""
     scope = F.col("doc_id").eqNullSafe(F.lit(doc_id).cast("string"))
     return metadata.filter(scope if key is None else scope & (F.col("key") == key)).select("key", "value", "doc_id").orderBy("key")
 
 
-_ALLOWED = {
-    "Project", "Filter", "Join", "LateralJoin", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Deduplicate", "Union", "Intersect", "Except",
-    "SubqueryAlias", "UnresolvedRelation", "UnresolvedInlineTable", "UnresolvedWith", "UnresolvedHaving", "OneRowRelation", "LocalRelation", "Generate", "Window", "WithWindowDefinition",
-    "Pivot", "Unpivot", "Expand", "UnresolvedTableValuedFunction", "Range", "Values", "UnresolvedSubqueryColumnAliases", "WithCTE", "CTERelationDef", "CTERelationRef", "Sample", "UnresolvedOrdinal",
-    "UnionLoop", "Hint", "UnresolvedHint", "UnresolvedTVFAliases", "GroupingSets", "BaseGroupingSets", "AsOfJoin", "Tail", "ParameterizedQuery", "NameParameterizedQuery", "PosParameterizedQuery",
-}
-
-
-_SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"}
-#: Functions that run code or read outside the tables.
-_REFUSED = {"reflect", "java_method", "try_reflect"}
-#: Table functions that make rows from their arguments alone.
-_GENERATORS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple", "variant_explode", "variant_explode_outer"}
-
-
-def _each(seq: Any) -> list[Any]:
-    return [seq.apply(i) for i in range(seq.size())]
-
-
-def check_query(spark: SparkSession, query: str, tables: Iterable[str]) -> None:
-    """Raises ValueError unless Spark's parser reads the text as one query over the named tables.
-
-    Commands, writes, other relations (files by path too) and functions that run code are refused, in subqueries and
-    common tables as well; literals and comments don't matter.
-    """
-    try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
-    except Exception as e:
-        raise ValueError(f"not a query: {str(e).splitlines()[0]}") from None
-    known, named, todo = {t.lower() for t in tables}, [], [plan]
-    while todo:
-        node = todo.pop()
-        kind = node.getClass().getSimpleName()
-        if is_instance_of(spark.sparkContext._gateway, node, "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan"):
-            if node.nodeName() not in _ALLOWED:
-                raise ValueError(f"only queries are allowed, not {node.nodeName()}")
-            if kind == "UnresolvedRelation":
-                named.append(node.tableName())
-            if kind == "UnresolvedTableValuedFunction" and node.name().mkString(".").lower() not in _GENERATORS:
-                raise ValueError(f"no such table function: {node.name().mkString('.')}")
-            if kind == "UnresolvedWith":
-                commons = [x._2() for x in _each(node.cteRelations())]
-                known |= {x.alias().lower() for x in commons}
-                todo += commons
-            todo += _each(node.expressions())
-        elif kind == "UnresolvedFunction" and node.nameParts().last().lower() in _REFUSED:
-            raise ValueError(f"not allowed: {node.nameParts().last()}")
-        elif kind in _SUBQUERIES:
-            todo.append(node.plan())
-        todo += _each(node.children())
-    for name in named:
-        if name.lower() not in known:
-            raise ValueError(f"no such table: {name}")
-
-
-def sql_query(spark: SparkSession, query: str, tables: dict[str, DataFrame], limit: int = 100, cap: int = 5000, args: dict[str, Any] | list[Any] | None = None) -> dict[str, Any]:
-    """columns, rows (at most min(limit, cap)) and row_count (of the whole result); errors come back as {"error": ...}.
-
-    args are values for the markers of the query (:name, or ? in order); they are never spliced into its text.
-    """
-    try:
-        check_query(spark, query, tables)
-        for name, df in tables.items():
-            df.createOrReplaceTempView(name)
-        result = spark.sql(query, args=args)
-        rows = [r.asDict(recursive=True) for r in result.limit(min(limit, cap)).collect()]
-        return {"columns": result.columns, "rows": rows, "row_count": result.count() if len(rows) == min(limit, cap) else len(rows)}
-    except Exception as e:  # noqa: BLE001  callers get errors as data
-        return {"error": str(e).splitlines()[0]}
-
-
 def describe(tables: dict[str, DataFrame]) -> dict[str, list[dict[str, str]]]:
     return {n: [{"name": f.name, "type": f.dataType.simpleString()} for f in df.schema.fields] for n, df in tables.items()}

@@ -31,3 +31,5 @@ KEYS = {
     "tags": ("tenant_id", "name"), "document_tags": ("tenant_id", "doc_id", "tag_id"), "metadata": ("tenant_id", "key", "doc_id"),
     "events": ("tenant_id", "event_id"), "projection_dlq": ("projection_name", "tenant_id", "event_id"), "idempotency_keys": ("tenant_id", "idempotency_key"),
 }
+#: Tables that SQL statements may write.
+WRITABLE = ("documents", "chunks", "entities", "relations", "tags", "document_tags", "metadata")

@@ -9,7 +9,7 @@ from lexmere.api import KnowledgeBase
 from lexmere.config import Ontology, load_config, load_ontology
 from lexmere.functions.text import file_type, language, raw_text_type
 from lexmere.functions.vectors import SeededEmbedder
-from lexmere.operators import extraction, relational
+from lexmere.operators import extraction, relational, sql
 from lexmere.sources import files
 from lexmere.sources.snapshots import ConflictError, Store
 from lexmere.streaming import events as ev
@@ -32,12 +32,12 @@ def test_merge_modes(spark):
 
 def test_sql_guard(spark):
     t = {"t": spark.createDataFrame([(i,) for i in range(7)], "i int")}
-    ok = relational.sql_query(spark, "select i, 'DROP TABLE x' as s from t where i > 1 -- DELETE", t, limit=3)
+    ok = sql.sql_query(spark, "select i, 'DROP TABLE x' as s from t where i > 1 -- DELETE", t, limit=3)
     assert len(ok["rows"]) == 3 and ok["row_count"] == 5
-    assert relational.sql_query(spark, "with a as (select 1 as x) select * from a union all select i from t", t)["row_count"] == 8
-    assert relational.sql_query(spark, "select i from t where exists (select 1 from t as u where u.i = t.i) and i in (select max(i) from t)", t)["rows"] == [{"i": 6}]
+    assert sql.sql_query(spark, "with a as (select 1 as x) select * from a union all select i from t", t)["row_count"] == 8
+    assert sql.sql_query(spark, "select i from t where exists (select 1 from t as u where u.i = t.i) and i in (select max(i) from t)", t)["rows"] == [{"i": 6}]
     for bad in ("drop table t", "insert into t values (1)", "select 1; drop table t", "create table u as select 1", "/**/delete from t", "set spark.x=1", "nonsense"):
-        assert "error" in relational.sql_query(spark, bad, t)
+        assert "error" in sql.sql_query(spark, bad, t)
 
 
 def test_sql_reads_nothing_but_its_tables(spark, tmp_path):
@@ -49,8 +49,8 @@ def test_sql_reads_nothing_but_its_tables(spark, tmp_path):
         f"with a as (select * from parquet.`{tmp_path}/secret`) select * from a", "select reflect('java.lang.System', 'getProperty', 'user.home')", "select i from t where java_method('java.lang.System', 'nanoTime') > 0",
         "with a as (select try_reflect('java.lang.System', 'getProperty', 'user.home') as x) select * from a", "select * from read_files('/etc')",
     ):
-        assert "error" in relational.sql_query(spark, bad, t), bad
-    assert relational.sql_query(spark, "select id from range(3) where id not in (select i from t)", t)["row_count"] == 2
+        assert "error" in sql.sql_query(spark, bad, t), bad
+    assert sql.sql_query(spark, "select id from range(3) where id not in (select i from t)", t)["row_count"] == 2
 
 
 def test_snapshots(spark, tmp_path):
@@ -141,8 +141,8 @@ def test_knowledge_base(spark, tmp_path):
     kb.set_metadata("k", "global"), kb.set_metadata("k", "own", doc["doc_id"]), kb.set_metadata("k", "newer")
     assert kb.get_metadata("k") == {"k": "newer"} and kb.get_metadata(doc_id=doc["doc_id"]) == {"k": "own"}
     assert kb.sql_query("select count(*) as n from documents")["rows"] == [{"n": 3}] and "error" in kb.sql_query("drop table documents")
-    assert kb.sql_execute("tags", delete={"name": "x"}) == {"affected_rows": 1} and "error" in kb.sql_execute("nope")
-    assert "error" in kb.sql_execute("metadata", [("k", "v", None, "other")]) and kb.sql_execute("metadata", [("z", "v", None, "default")]) == {"affected_rows": 1}
+    assert kb.delete_rows("tags", {"name": "x"}) == {"affected_rows": 1} and "error" in kb.delete_rows("nope", {"name": "x"})
+    assert "error" in kb.merge_rows("metadata", [("k", "v", None, "other")]) and kb.merge_rows("metadata", [("z", "v", None, "default")]) == {"affected_rows": 1}
     assert kb.query_document_stats()["documents"] == 3 and kb.sync_database()["documents_synced"] == 3 and kb.get_stats()["entities"] >= 3
     kb.create_tag("keep")
     assert kb.delete_document(doc["doc_id"]) and not kb.delete_document(doc["doc_id"])
