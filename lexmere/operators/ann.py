@@ -169,6 +169,43 @@ def _candidates(model: Any, asked: Any, keep: int) -> Callable[[Iterator[pa.Reco
     return run
 
 
+def _scored(asked: Any, k: int, metric: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = asked.value
+        own = Quantizer(np.zeros((0, 0)), [], metric)
+        q = own.shaped(queries)
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = own.shaped(_matrix(batch.column(1)))
+            near = x @ q.T - ((x * x).sum(axis=1, keepdims=True) / 2 if metric == "l2" else 0)
+            best = np.argpartition(-near, min(k, len(x)) - 1, axis=0)[:k].T
+            place = pa.array(best.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q), dtype=np.int32), best.shape[1])), batch.column(0).take(place), batch.column(1).take(place)], ["query", "id", "vector"])
+
+    return run
+
+
+def exact_topk(table: DataFrame, queries: Sequence[Sequence[float]], k: int, id_col: str, vector_col: str, metric: str = "cosine") -> DataFrame:
+    """query, id, score, rank as VectorIndex.search() has them, by all rows: queries in blocks, each compared in matrix products with a few rows more than k kept a batch."""
+    spark, out = table.sparkSession, None
+    rows = table.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
+    for at in range(0, len(queries), BLOCK):
+        block = [list(map(float, q)) for q in queries[at : at + BLOCK]]
+        near = rows.mapInArrow(_scored(spark.sparkContext.broadcast(np.array(block)), k + 10, metric), f"query int, id {dict(rows.dtypes)['id']}, vector array<float>")
+        part = _ranked(near, spark.createDataFrame(list(enumerate(block)), "query int, asked array<double>"), k, metric).select((F.col("query") + at).alias("query"), F.col("id").alias(id_col), "score", "rank")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _ranked(rows: DataFrame, asked: DataFrame, k: int, metric: str) -> DataFrame:
+    """query, id, score, rank from query, id, vector: the k best of each query by their whole vectors; ``asked`` has at most BLOCK rows."""
+    measure = vectors.cosine(F.col("vector"), F.col("asked")) if metric == "cosine" else vectors.l2(F.col("vector"), F.col("asked"))
+    order = F.desc("score") if metric == "cosine" else F.asc("score")
+    scored = rows.join(F.broadcast(asked), "query").select("query", "id", F.round(measure, 6).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(order, "id"))).filter(F.col("rank") <= k)
+
+
 class VectorIndex:
     """The index under ``path``. Vectors have one length; rows with null vectors are not in it; ids are unique, and not null."""
 
@@ -260,10 +297,6 @@ class VectorIndex:
         near = self._live(self.probed(sorted(asking), filters).select("id", "code", "cell")).mapInArrow(_candidates(self.shared, asked, among), f"query int, id {kind}, cell int, near double")
         w = Window.partitionBy("query").orderBy(F.desc("near"), "id")
         best = near.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= among).select("query", "id", "cell")
-        given = self.spark.createDataFrame([(i, v) for i, v in enumerate(queries)], "query int, asked array<double>")
-        whole = self.probed(sorted(asking), filters).select("cell", "id", "vector").join(F.broadcast(best), ["cell", "id"]).join(F.broadcast(given), "query")  # at most CANDIDATES and BLOCK rows
-        measure = vectors.cosine(F.col("vector"), F.col("asked")) if self.metric == "cosine" else vectors.l2(F.col("vector"), F.col("asked"))
-        score = F.round(measure, 6).alias("score")
-        order = F.desc("score") if self.metric == "cosine" else F.asc("score")
-        ranked = whole.select("query", "id", score).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(order, "id")))
-        return ranked.filter(F.col("rank") <= k).select((F.col("query") + first).alias("query"), F.col("id").alias(self.id_col), "score", "rank")
+        whole = self.probed(sorted(asking), filters).select("cell", "id", "vector").join(F.broadcast(best), ["cell", "id"])  # at most CANDIDATES rows
+        ranked = _ranked(whole, self.spark.createDataFrame(list(enumerate(queries)), "query int, asked array<double>"), k, self.metric)
+        return ranked.select((F.col("query") + first).alias("query"), F.col("id").alias(self.id_col), "score", "rank")

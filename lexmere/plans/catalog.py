@@ -7,22 +7,20 @@ play chunk vectors, vec_id for doc_id; nations, regions, suppliers and customers
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexmere.functions import vectors
 from lexmere.operators import chunking, extraction, graph, relational, search
 from lexmere.plans import passthrough
+from lexmere.plans.registry import QUERIES as _QUERIES
+from lexmere.plans.registry import SQL as _SQL
+from lexmere.plans.registry import Query, query, read
 from lexmere.sources.staging import shared_folder
 from lexmere.streaming import events as ev
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
 TERMS = ["the", "thand", "oner", "tion"]
 COMMON = ["the", "and", "of"]
 
@@ -37,10 +35,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
     """A query comes with its vector; here it is that of one stored row."""
     return [float(x) for x in read(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).head()["embedding"]]
@@ -521,6 +515,8 @@ def ev_previous(spark, d):
     return read(spark, d, "events").select("user_id", "event_id", F.lag("event_id").over(w).alias("previous"), F.row_number().over(w).alias("n"))
 
 
+from lexmere.plans import analytics  # noqa: E402, F401  registers its queries
+
 for _name, _text in passthrough.SQL.items():
     _QUERIES[_name] = passthrough.runner(_text)
     _SQL[_name] = _text
