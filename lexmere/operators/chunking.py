@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmere.operators.codelex import code_only
+
 MAX_SIZE = 2000
 SMALL = 100
 #: Words whose full stop does not end a sentence.
@@ -209,12 +211,15 @@ def _python_entities(text: str) -> tuple[list[tuple[str, str, int, int]], list[i
 
 
 def _braced_entities(text: str, language: str) -> tuple[list[tuple[str, str, int, int]], list[int]]:
-    """Definitions that begin at the start of a line and end with their closing brace, or their own line without one."""
-    define, load = (re.compile(p) for p in _DEFINITIONS[language])
-    lines, found, imports, at = text.split("\n"), [], [], 0
+    """The topmost definitions, each from the line that it begins to its closing brace, or its own line without one. Braces in literals and comments don't count."""
+    define, load = (re.compile(r"\s*" + p) for p in _DEFINITIONS[language])
+    lines, found, imports, at = code_only(text, language).split("\n"), [], [], 0
     while at < len(lines):
-        if load.match(lines[at]):
+        if load.match(lines[at]) and not found:
             imports.append(at)
+            while "(" in lines[at] and ")" not in lines[imports[-1]] and imports[-1] + 1 < len(lines):
+                imports.append(imports[-1] + 1)
+            at = imports[-1]
         elif m := define.match(lines[at]):
             depth, end, opened = 0, at, False
             for end in range(at, len(lines)):
@@ -222,7 +227,8 @@ def _braced_entities(text: str, language: str) -> tuple[list[tuple[str, str, int
                 opened |= "{" in lines[end]
                 if (opened and depth <= 0) or (not opened and lines[end].rstrip().endswith(";")):
                     break
-            found.append((m[2], _TYPES.get(m[1], m[1]), at, end))
+            kind = "method" if language == "go" and re.match(r"\s*func\s*\(", lines[at]) else _TYPES.get(m[1], m[1])
+            found.append((m[2], kind, at, end))
             at = end
         at += 1
     return found, imports

@@ -204,6 +204,35 @@ def markdown_entities(spark, d):
     found = extraction.with_ontology(extraction.entities(_markdown(spark, d)))
     return found.filter("pattern = 'heading'").select("doc_id", "pos", "name", "level", "entity_type")
 
+#: A function and a type of each brace language, with braces where they don't count; {i}: the item's id, {t}: its words.
+_BRACED = {
+    "javascript": ("export async function step_{i}(x) {\n  const s = \"}} {t}\", r = /[}/]{2}\\}/g; // }\n  return `a ${ {k: `}${x}`} } {`;\n}", "class Part{i} {\n  run() { return '{'; } /* } */\n}"),
+    "typescript": ("function step_{i}<T>(x: T): string {\n  return '}' + `${x}}` + \"{t}\"; // {\n}", "interface Part{i} {\n  a: { b: string }; /* {{ */\n}"),
+    "go": ("func step_{i}(x int) string {\n\treturn `} {t} \\` + string('{') // }\n}", "type Part{i} struct {\n\tA struct{ B int } // }\n}"),
+    "rust": ("pub fn step_{i}<'a>(x: &'a str) -> char {\n    let s = r#\"} {t} \" }\"#; /* } /* { */ } */\n    '}'\n}", "struct Part{i}<'a> {\n    a: &'a str, // }\n}"),
+    "java": ("public class Step{i} {\n  String s = \"\"\"\n    } {t} \\\"\"\" }\n    \"\"\"; char c = '}';\n}", "interface Part{i} {\n  /* } */ void run();\n}"),
+}
+_CODE_WORDS = r"items as (select item_id::varchar as i, regexp_replace(regexp_replace(text, '[\"`\\\\$]', ' ', 'g'), '\s+', ' ', 'g') as t from benchmark)"
+
+
+def _braced_sql(language, n, kind, name):
+    text = _BRACED[language][n].replace("'", "''")
+    return f"select i || '-{language}' as doc_id, {n} as chunk_index, '{kind}' as chunk_type, '{name}' || i as entity_name, replace(replace('{text}', '{{i}}', i), '{{t}}', t) as text from items"
+
+
+_KINDS = {"javascript": ("function", "class"), "typescript": ("function", "interface"), "go": ("function", "type"), "rust": ("function", "struct"), "java": ("class", "interface")}
+
+
+@query(f"with {_CODE_WORDS} " + " union all ".join(_braced_sql(k, n, _KINDS[k][n], "Part" if n else "Step" if k == "java" else "step_") for k in _BRACED for n in (0, 1)))
+def chunk_code_braces(spark, d):
+    """Each item as files of five languages whose strings, templates, regular expressions and comments hold braces: one definition a chunk."""
+    items = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("i"), F.regexp_replace(F.regexp_replace("text", r'["`\\$]', " "), r"\s+", " ").alias("t"))
+    files = F.array(*[F.struct(F.lit(k).alias("language"), F.lit("\n\n".join(v)).alias("body")) for k, v in _BRACED.items()])
+    made = items.select("i", "t", F.inline(files)).select(
+        F.concat("i", F.lit("-"), "language").alias("doc_id"), F.lit("made").alias("source"), F.lit("code").alias("source_type"), "language",
+        F.replace(F.replace("body", F.lit("{i}"), F.col("i")), F.lit("{t}"), F.col("t")).alias("text"), F.lit("t").alias("tenant_id"))
+    return chunking.chunk_documents(made, 100_000).select("doc_id", "chunk_index", "chunk_type", "entity_name", "text")
+
 
 _HALVES = "c as (select user_id::varchar as k, max(event_id) as v from events group by 1), d as (select user_id::varchar as k, max(event_id) as v from events where event_id % 2 = 0 group by 1)"
 
