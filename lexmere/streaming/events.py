@@ -99,11 +99,35 @@ def append(spark: SparkSession, log_path: str, rows: list[tuple]) -> None:
 _PAYLOAD = "doc_id string, source string, source_type string, title string, text string, name string, entity_type string, source_entity_id string, target_entity_id string, relation_type string, chunks array<string>"
 
 
-def project_batch(store: Store, batch: DataFrame, embed: Callable[[Column], Column] | None = None) -> None:
+def checkpoint_of(store: Store, projection: str, tenant: str, stream: str | None = None) -> dict | None:
+    """How far a projection has come for a tenant: the last event, how many, and the batch; of several streams the one that went farthest."""
+    rows = store.table("projection_checkpoints").filter((F.col("projection_name") == projection) & (F.col("tenant_id") == tenant))
+    rows = rows if stream is None else rows.filter(F.col("stream") == stream)
+    row = rows.orderBy(F.desc("last_event_at"), F.desc("last_event_id")).head()
+    return None if row is None else row.asDict()
+
+
+def _advanced(store: Store, batch: DataFrame, projection: str, stream: str, batch_id: int) -> Change:
+    """The change that moves the checkpoints of a batch's tenants on."""
+    last = F.max(F.struct("created_at", "event_id"))
+    rows = batch.groupBy("tenant_id").agg(last.alias("last"), F.count("*").alias("more"))
+    known = store.table("projection_checkpoints").filter((F.col("projection_name") == projection) & (F.col("stream") == stream)).select("tenant_id", F.col("events").alias("before"), F.struct(F.col("last_event_at").alias("created_at"), F.col("last_event_id").alias("event_id")).alias("known"))
+    rows = rows.join(known, "tenant_id", "left").withColumn("last", F.greatest("last", F.coalesce("known", "last")))
+    return store.merge("projection_checkpoints", rows.select(
+        F.lit(projection).alias("projection_name"), "tenant_id", F.lit(stream).alias("stream"), F.lit(batch_id).cast("long").alias("batch_id"), F.col("last.event_id").alias("last_event_id"),
+        F.col("last.created_at").alias("last_event_at"), (F.coalesce("before", F.lit(0)) + F.col("more")).alias("events"), F.current_timestamp().alias("updated_at")))
+
+
+def project_batch(store: Store, batch: DataFrame, embed: Callable[[Column], Column] | None = None, stream: str | None = None, batch_id: int | None = None) -> None:
     """One batch of events applied to the stored tables in one commit; events that can't be read become dead letters.
 
-    Offsets advance for every event, whatever its type. Applying a batch twice changes nothing more.
+    Offsets advance for every event, whatever its type. Applying a batch twice changes nothing more. With a stream's name and batch number
+    the checkpoints move in the same commit, and a batch that is in them already is passed over.
     """
+    if stream is not None:
+        done = store.table("projection_checkpoints").filter((F.col("projection_name") == "documents") & (F.col("stream") == stream)).agg(F.max("batch_id")).head()[0]
+        if done is not None and batch_id <= done:
+            return
     rows = batch.withColumn("p", F.from_json("payload", _PAYLOAD)).withColumn("p_ok", F.col("p").isNotNull() & F.col("event_type").isin(*TYPES) & F.coalesce(F.col("p.doc_id"), F.col("p.name"), F.col("p.source_entity_id")).isNotNull()).cache()
     try:
         good = rows.filter("p_ok")
@@ -145,6 +169,8 @@ def project_batch(store: Store, batch: DataFrame, embed: Callable[[Column], Colu
             old = null_safe(known, dropped, own, "left_semi").select("tenant_id", "chunk_id")
             changes["chunk_vectors"] = Change(made, old)
         bad = rows.filter("not p_ok").select(F.lit("documents").alias("projection_name"), "tenant_id", "event_id", "event_type", F.lit("the payload can't be read").alias("error_message"), "created_at")
+        if stream is not None:
+            changes["projection_checkpoints"] = _advanced(store, rows, "documents", stream, batch_id)
         store.change(changes | {"projection_dlq": DeadLetters(store).first(bad)}, "projection")
     finally:
         rows.unpersist()
@@ -154,7 +180,7 @@ def start_projection(spark: SparkSession, log_path: str, store: Store, checkpoin
     """Reads new event files in order of arrival and applies them batch by batch; ends when all are read. Repeated event ids are taken once."""
     stream = spark.readStream.schema(schemas.EVENTS).option("maxFilesPerTrigger", files).parquet(log_path)
     once = stream.withWatermark("created_at", "1 day").dropDuplicatesWithinWatermark(["tenant_id", "event_id"])
-    return once.writeStream.foreachBatch(lambda batch, _: project_batch(store, batch, embed)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return once.writeStream.foreachBatch(lambda batch, number: project_batch(store, batch, embed, checkpoint, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(stream: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
