@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from lexmere import schemas
 from lexmere.config import DEFAULT_ONTOLOGY, Ontology, load_config
 from lexmere.functions.text import tokens
-from lexmere.functions.vectors import Embedder, SeededEmbedder, checked, degraded, embed_texts
+from lexmere.functions.vectors import Embedder, HashingEmbedder, checked, degraded, embed_texts
 from lexmere.operators import chunking, extraction, graph, relational, search, sql
+from lexmere.operators.segments import MOST_SEGMENTS, SegmentIndex
 from lexmere.sources import files
 from lexmere.sources.snapshots import Change, ConflictError, Store
 from lexmere.sources.staging import staged
@@ -27,7 +29,8 @@ class KnowledgeBase:
         self.spark, self.tenant, self.ontology, self.ask = spark, tenant, ontology, ask
         self.config = config or load_config()
         self.store = Store(spark, path)
-        self.embedder = embedder or SeededEmbedder(self.config["embedding"]["dimensions"])
+        self.embedder = embedder or HashingEmbedder(self.config["embedding"]["dimensions"])
+        self.index = SegmentIndex(spark, f"{path.rstrip('/')}/text-index/{hashlib.sha256(tenant.encode()).hexdigest()[:16]}", "chunk_id")
 
     def _table(self, name: str, version: int | str | None = None) -> DataFrame:
         return relational.for_tenant(self.store.table(name, version), self.tenant)
@@ -59,7 +62,7 @@ class KnowledgeBase:
         own = good.select("tenant_id", "doc_id")
         old_vectors = self.store.table("chunks").join(own, ["tenant_id", "doc_id"], "left_semi").select("tenant_id", "chunk_id")
         self.store.change({
-            "documents": self.store.merge("documents", rows), "chunks": Change(chunks, own), "chunk_vectors": Change(vectors, old_vectors), "embedding_cache": cache,
+            "documents": self.store.merge("documents", rows), "chunks": Change(chunks, own), "chunk_vectors": Change(vectors, old_vectors), "embedding_cache": cache, "indexed_chunks": Change(self._entries(chunks), old_vectors),
             "entities": self.store.merge("entities", entity, "ignore"), "relations": self.store.merge("relations", rel, "ignore"),
         }, operation)
         errors = [{"source": r["source"], "error": r["error"]} for r in docs.filter("error is not null").select("source", "error").toLocalIterator()]
@@ -83,7 +86,26 @@ class KnowledgeBase:
         blank = self.spark.createDataFrame([], schemas.TABLES["chunks"])
         chunks = staged(blank.unionByName(have, allowMissingColumns=True), "chunks")
         vectors, cache = self._embedded(chunks)
-        self.store.change({"chunks": Change(chunks, own), "chunk_vectors": Change(vectors, old), "embedding_cache": cache}, f"chunks of {doc_id}")
+        self.store.change({"chunks": Change(chunks, own), "chunk_vectors": Change(vectors, old), "embedding_cache": cache, "indexed_chunks": Change(self._entries(chunks), old)}, f"chunks of {doc_id}")
+
+    def _entries(self, chunks: DataFrame) -> DataFrame:
+        return self.index.add(chunks.select("chunk_id", "text")).withColumn("tenant_id", F.lit(self.tenant))
+
+    def refresh_index(self) -> None:
+        """Brings the full-text index up to the chunks, whoever wrote them, in one commit; nothing to do is nothing written."""
+        if self.store.stamp("chunks") == self.store.stamp("indexed_chunks"):
+            return
+        have, want = self._table("indexed_chunks"), self._table("chunks").select("chunk_id", "tenant_id", "text", F.xxhash64("text").alias("sha"))
+        missing = staged(relational.null_safe(want, have, ["chunk_id", "sha"], "left_anti"), "unindexed")
+        dead = relational.null_safe(have, want, ["chunk_id", "sha"], "left_anti").select("tenant_id", "chunk_id")
+        self.store.change({"chunks": Change(gone=dead.limit(0)), "indexed_chunks": Change(self._entries(missing), dead.unionByName(missing.select("tenant_id", "chunk_id")))}, "index")
+
+    def optimize_index(self) -> None:
+        """Puts the index's segments together when there are many; older versions keep theirs."""
+        entries = self._table("indexed_chunks")
+        if entries.select("segment").distinct().count() > MOST_SEGMENTS:
+            made = staged(self.index.merge(staged(entries, "entries")), "entries")
+            self.store.change({"chunks": Change(gone=made.select("tenant_id", "chunk_id").limit(0)), "indexed_chunks": Change(made, made.select("tenant_id", "chunk_id"))}, "optimize index")
 
     def ingest_file(self, path: str, strict: bool = False) -> dict[str, Any]:
         return self._ingest(files.read_files(self.spark, path, self.tenant, extensions=None, strict=strict), f"ingest {path}")
@@ -106,7 +128,7 @@ class KnowledgeBase:
         if gone.isEmpty():
             return False
         changes = {n: Change(gone=gone) for n in ("documents", "chunks", "document_tags", "metadata")}
-        changes["chunk_vectors"] = Change(gone=t("chunks").select("tenant_id", "chunk_id"))
+        changes["chunk_vectors"] = changes["indexed_chunks"] = Change(gone=t("chunks").select("tenant_id", "chunk_id"))
         left = self._table("entities").filter(F.col("source_document_id") == doc_id).withColumn("source_document_id", F.lit(None).cast("string"))
         self.store.change(changes | {"entities": self.store.merge("entities", left)}, f"delete {doc_id}")
         return True
@@ -117,17 +139,24 @@ class KnowledgeBase:
         return self._table("chunks", version).join(self._table("chunk_vectors", version).select("chunk_id", "vector"), "chunk_id", "left")
 
     def search(self, query: str, k: int = 10, filters: dict[str, Any] | None = None, version: int | str | None = None) -> list[dict]:
-        """Hybrid search; k is at most 50; noise types are left out."""
+        """Hybrid search; k is at most 50; noise types are left out. Words are looked up in the index; of the chunks only the hits are read."""
         s, k = self.config["search"], max(1, min(k, 50))
-        rows = self._searchable(version).filter(search.compile_filters(filters))
+        depth = max(20, 2 * k)
+        if version is None:
+            self.refresh_index()
+        entries, vectors = self._table("indexed_chunks", version), self._table("chunk_vectors", version).select("chunk_id", "vector")
+        if filters:
+            own = self._table("chunks", version).filter(search.compile_filters(filters)).select("chunk_id")
+            entries, vectors = (x.join(own, "chunk_id", "left_semi") for x in (entries, vectors))
         words = self.spark.createDataFrame([(query,)], "q string").select(tokens(F.col("q"))).head()[0]
-        near = search.vector_topk(rows.filter("vector is not null"), self.embedder.vector(query), max(20, 2 * k), "chunk_id", "vector")
-        text = search.bm25(rows, words, max(20, 2 * k), "chunk_id")
-        types = rows.select("chunk_id", "chunk_type")
-        fused = search.rrf([near.join(types, "chunk_id"), text.join(types, "chunk_id")], "chunk_id", k, s["rrf_k"], s["floor"], tuple(s["excluded_types"]), "chunk_type")
-        out = fused.join(rows.drop("vector", "created_at"), "chunk_id").orderBy(F.desc("score"), "chunk_id")
-        found = [r.asDict(recursive=True) | {"score": round(r["score"], 4)} for r in out.collect()]
-        return search.rerank(found, query, k, self.ask)
+        near = search.vector_topk(vectors, self.embedder.vector(query), depth, "chunk_id", "vector")
+        text = self.index.search(entries, words, depth)
+        lists = [[tuple(r) for r in df.collect()] for df in (near, text)]
+        ids = sorted({i for rows in lists for i, _ in rows})
+        found = {r["chunk_id"]: r.asDict(recursive=True) for r in self._table("chunks", version).filter(F.col("chunk_id").isin(*ids)).drop("created_at").collect()}
+        typed = [self.spark.createDataFrame([(i, float(v), found[i]["chunk_type"]) for i, v in rows if i in found], "chunk_id string, score double, chunk_type string") for rows in lists]
+        fused = search.rrf(typed, "chunk_id", k, s["rrf_k"], s["floor"], tuple(s["excluded_types"]), "chunk_type").orderBy(F.desc("score"), "chunk_id").collect()
+        return search.rerank([found[r["chunk_id"]] | {"score": round(r["score"], 4)} for r in fused], query, k, self.ask)
 
     def search_context(self, query: str, k: int = 5, before: int = 1, after: int = 1) -> list[dict]:
         """Hits (at most 20) with their neighbours (at most 5 each way) in order."""

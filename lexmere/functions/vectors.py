@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import re
+import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,25 +108,39 @@ class CallableEmbedder:
         return embed(text)
 
 
+def hashed(text: str | None, dimensions: int) -> list[float]:
+    """Of unit length: lower-cased words and their pieces of three signs, each with a sign at a hashed place, words twice as heavy, repeats by the root of their number; zeros without words."""
+    counts: dict[str, float] = {}
+    for word in re.findall(r"\w+", (text or "").lower()):
+        for sign, weight in [(word, 2.0), *((f"#{p}", 1.0) for p in map("".join, zip(f"<{word}>", word + ">", word[1:] + ">", strict=False)))]:
+            counts[sign] = counts.get(sign, 0.0) + weight
+    out = np.zeros(dimensions)
+    for sign, weight in counts.items():
+        h = zlib.crc32(sign.encode())
+        out[h % dimensions] += math.sqrt(weight) * (1 if h >> 31 else -1)
+    size = float(np.linalg.norm(out))
+    return (out / size if size else out).tolist()
+
+
 class HashingEmbedder:
-    """Unit-length counts of hashed words: similar texts get similar vectors, all in the JVM."""
+    """Vectors of hashed words and their pieces: texts with words, or forms of words, in common are near. Needs no model; the default."""
 
     def __init__(self, dimensions: int = 256) -> None:
         self.dimensions = dimensions
         self.model = f"hashing-{dimensions}"
 
+    def vector(self, text: str) -> list[float]:
+        return hashed(text, self.dimensions)
+
     def column(self, text: Column) -> Column:
-        words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-        at = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(self.dimensions)).cast("int"))
-        counts = F.transform(F.sequence(F.lit(0), F.lit(self.dimensions - 1)), lambda i: F.size(F.filter(at, lambda a: a == i)).cast("double"))
-        size = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-        return F.transform(counts, lambda c: F.when(size > 0, c / size).otherwise(F.lit(0.0)).cast("float"))
+        dimensions = self.dimensions
 
-    def vector(self, text: str) -> list[float]:
-        from pyspark.sql import SparkSession
+        @F.pandas_udf("array<float>")
+        def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                yield texts.map(lambda t: hashed(t, dimensions))
 
-        spark = SparkSession.getActiveSession()
-        return list(spark.createDataFrame([(text,)], "text string").select(self.column(F.col("text"))).head()[0])
+        return embed(text)
 
 
 def embed_texts(texts: DataFrame, embedder: Embedder, key: str, text: str = "text", cache: DataFrame | None = None) -> DataFrame:

@@ -18,11 +18,12 @@ METADATA = "key string, value string, doc_id string, tenant_id string"
 EVENTS = "event_id string, aggregate_id string, tenant_id string, event_type string, version long, payload string, created_at timestamp"
 DLQ = "projection_name string, tenant_id string, event_id string, event_type string, error_message string, retry_count int, resolved boolean, created_at timestamp"
 IDEMPOTENCY = "idempotency_key string, tenant_id string, command_type string, command_payload string, result string, created_at timestamp, expires_at timestamp"
+INDEXED = "chunk_id string, tenant_id string, segment string, dl int, sha long"
 CHECKPOINTS = "projection_name string, tenant_id string, stream string, batch_id long, last_event_id string, last_event_at timestamp, events long, updated_at timestamp"
 
 TABLES = {
     "documents": DOCUMENTS, "chunks": CHUNKS, "chunk_vectors": VECTORS, "embedding_cache": CACHE, "entities": ENTITIES, "relations": RELATIONS, "tags": TAGS,
-    "document_tags": DOCUMENT_TAGS, "metadata": METADATA, "events": EVENTS, "projection_dlq": DLQ, "idempotency_keys": IDEMPOTENCY, "projection_checkpoints": CHECKPOINTS,
+    "document_tags": DOCUMENT_TAGS, "metadata": METADATA, "events": EVENTS, "projection_dlq": DLQ, "idempotency_keys": IDEMPOTENCY, "projection_checkpoints": CHECKPOINTS, "indexed_chunks": INDEXED,
 }
 #: Natural keys, by which upserts and insert-ignores tell rows apart.
 KEYS = {
@@ -31,7 +32,7 @@ KEYS = {
     "entities": ("tenant_id", "name", "entity_type"), "relations": ("tenant_id", "source_entity_id", "target_entity_id", "relation_type"),
     "tags": ("tenant_id", "name"), "document_tags": ("tenant_id", "doc_id", "tag_id"), "metadata": ("tenant_id", "key", "doc_id"),
     "events": ("tenant_id", "event_id"), "projection_dlq": ("projection_name", "tenant_id", "event_id"), "idempotency_keys": ("tenant_id", "idempotency_key"),
-    "projection_checkpoints": ("projection_name", "tenant_id", "stream"),
+    "projection_checkpoints": ("projection_name", "tenant_id", "stream"), "indexed_chunks": ("tenant_id", "chunk_id"),
 }
 #: Tables that SQL statements may write.
 WRITABLE = ("documents", "chunks", "entities", "relations", "tags", "document_tags", "metadata")

@@ -135,6 +135,11 @@ class Store:
         version = self._version(self._read(), version_as_of)
         return self._merged(name, (version or {"tables": {}})["tables"].get(name, []))
 
+    def stamp(self, name: str, ref: int | str | None = None) -> str | None:
+        """Which commit wrote a table's last layer: the same for all tables that it changed; None for a table that was never written."""
+        layers = (self._version(self._read(), ref) or {"tables": {}})["tables"].get(name)
+        return None if not layers else re.search(r"/(?:rows|gone|whole)-(.*)", layers[-1].get("rows") or layers[-1]["gone"])[1]
+
     def change(self, changes: dict[str, Change], operation: str) -> int:
         """Writes the layers and adds one version that has all of them or none."""
         before = self._read()
