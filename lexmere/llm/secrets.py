@@ -8,6 +8,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -24,27 +25,51 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 @dataclass(frozen=True)
 class CharClass:
-    """Candidates are runs of ``signs`` of at least ``window`` characters with a digit and a letter;
-    windows with at least ``bits`` of entropy are secrets."""
+    """Candidates are runs of ``signs`` with a digit and a letter; a window of a width is a secret if its entropy is at
+    least that which all but a share of strings drawn at random from ``signs`` have; widths: pairs of width and share."""
 
     kind: str
     signs: str
-    window: int
-    bits: float
+    widths: tuple[tuple[int, float], ...] = ((20, 0.1), (32, 0.02))
 
+    @property
+    def least(self) -> int:
+        return min(w for w, _ in self.widths)
 
-#: 20 signs drawn evenly have about 3.4 bits in hexadecimal and 4.1 bits in base64.
+    def bits(self) -> list[tuple[int, float]]:
+        return [(w, threshold(len(self.signs), w, share)) for w, share in self.widths]
+
+
+@lru_cache
+def threshold(signs: int, width: int, share: float, draws: int = 4_000) -> float:
+    """The entropy that a share of random strings stays below: of ``draws`` drawn with a fixed seed."""
+    drawn = np.random.default_rng(signs * 1_000 + width).integers(0, signs, (draws, width))
+    counts = (drawn[:, :, None] == np.arange(signs)).sum(axis=1)
+    p = counts / width
+    return float(np.quantile(-(p * np.log2(p, out=np.zeros_like(p), where=p > 0)).sum(axis=1), share))
+
+
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: From wide to narrow: fewer signs need less entropy; what a wider class holds, a narrower one does not find again.
 CLASSES = (
-    CharClass("hex_entropy", "0123456789abcdefABCDEF", 20, 3.0),
-    CharClass("base64_entropy", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.9),
+    CharClass("base64_entropy", _UPPER + _LOWER + _DIGITS + "+/_=-"),
+    CharClass("alnum_entropy", _UPPER + _LOWER + _DIGITS),
+    CharClass("lower_entropy", _LOWER + _DIGITS),
+    CharClass("base32_entropy", _UPPER + "234567"),
+    CharClass("hex_entropy", _DIGITS + "ABCDEF"),
 )
-#: Candidates that look random and are not secrets: UUIDs, word lists joined by signs.
+#: Parts of candidates, between separators, that are names and not secrets: words in any case with few numbers among them, numbers, capitals, single letters.
 ALLOWED = (
-    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"[A-Za-z]+([_/=+-]+[A-Za-z]+)*[_/=+-]*",
+    r"(?:[A-Z][a-z]++|[a-z]{2,}+)++(?:\d{1,8}+(?:[A-Z][a-z]++|[a-z]{2,}+)++){0,2}\d{0,8}",
+    r"[A-Z]{1,12}\d{0,8}",
+    r"[A-Za-z]?\d{1,18}[A-Za-z]?",
+    r"[a-z]{1,3}\d{0,8}",
+)
+SEPARATORS = "/_=+-"
+#: What no window may meet: alphabets and placeholders, UUIDs, dates.
+PLACEHOLDER = re.compile(
+    "0123456789|abcdefghijklm|example|placeholder|changeme|xxxx|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}", re.I
 )
-#: Alphabets and placeholders inside candidates: no window that meets one counts, all others do.
-PLACEHOLDER = re.compile("0123456789|abcdefghijklm|example|placeholder|changeme|xxxx", re.I)
 KINDS = ("assign", "access", "hex", *(c.kind for c in CLASSES))
 
 
@@ -96,27 +121,45 @@ def entropy_spans(run: str, window: int, bits: float) -> list[tuple[int, int]]:
     return spans
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 class Scanner:
     def __init__(self, classes: tuple[CharClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> None:
-        self.classes = classes
-        self.allowed = [re.compile(p) for p in allowed]
-        self.runs = [re.compile(f"[{re.escape(c.signs)}]{{{c.window},}}") for c in classes]
+        self.classes = [(c, re.compile(f"[{re.escape(c.signs)}]{{{c.least},}}"), c.bits()) for c in classes]
+        self.allowed = re.compile("|".join(f"(?:{p})" for p in allowed))
+        self.parts = re.compile(f"[^{re.escape(SEPARATORS)}]+")
+
+    def core(self, run: str) -> tuple[int, int]:
+        """From the first part of a candidate that is no name to the last; empty if all are."""
+        odd = [m.span() for m in self.parts.finditer(run) if not self.allowed.fullmatch(m[0])]
+        return (odd[0][0], odd[-1][1]) if odd else (0, 0)
 
     def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         """Spans of high entropy that no base span and no span of an earlier class holds."""
         held, found = [(a, b) for _, a, b in base], []
-        for c, runs in zip(self.classes, self.runs, strict=True):
+        for c, runs, widths in self.classes:
             held.sort()
             starts, reach = [a for a, _ in held], list(accumulate((b for _, b in held), max))  # the farthest end of the spans that start by then
             own = []
             for m in runs.finditer(text):
-                run = m[0]
-                if not (any(x.isdigit() for x in run) and any(x.isalpha() for x in run)) or any(p.fullmatch(run) for p in self.allowed):
+                begin, stop = self.core(m[0])
+                run = m[0][begin:stop]
+                if len(run) < c.least or not (any(x.isdigit() for x in run) and any(x.isalpha() for x in run)):
                     continue
-                for a, b in ((x + at + m.start(), y + at + m.start()) for at, part in _between(run) for x, y in entropy_spans(part, c.window, c.bits)):
-                    before = bisect_right(starts, a)
-                    if not before or reach[before - 1] < b:
-                        own.append((a, b))
+                begin += m.start()
+                spans = sorted((x + at, y + at) for at, part in _between(run) for width, bits in widths for x, y in entropy_spans(part, width, bits))
+                for a, b in _joined(spans):
+                    before = bisect_right(starts, begin + a)
+                    if not before or reach[before - 1] < begin + b:
+                        own.append((begin + a, begin + b))
             found += [(c.kind, a, b) for a, b in own]
             held += own
         return found
@@ -127,7 +170,7 @@ class Scanner:
         low = ts.LOWER[data].tobytes()
         at = [m.start() for k in KEYWORDS for m in re.finditer(re.escape(k), low)]
         at += [m.start() for m in re.finditer(b"AKIA", data.tobytes())]
-        for signs, least in [("0123456789abcdef", 16), *((c.signs, c.window) for c in self.classes)]:
+        for signs, least in [("0123456789abcdef", 16), *((c.signs, c.least) for c, _, _ in self.classes)]:
             inside = np.zeros(len(data) + 2, bool)
             inside[1:-1] = _table(signs)[data]
             begin, stop = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
@@ -175,7 +218,8 @@ def scan_secrets(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, allo
 
     spans lists kind:start:end (code points, end exclusive) by start, then kind: all base matches,
     whole matches that is, and the entropy spans that no other span holds. Null and empty texts:
-    none. Repeated rows get equal results; columns but doc_id and text aren't read.
+    none. An empty table gives no rows; null doc_ids pass through; repeated rows get equal results; texts are taken whole,
+    however long; columns but doc_id and text aren't read.
     """
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(_scanned(classes, allowed), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

@@ -466,12 +466,58 @@ def test_placeholders_hide_only_what_they_touch():
     rand = "q7Zp2Kx9Lm4Rt8Wv3Bn6"
     added = lambda text: secrets.Scanner().added(text, [])
     for word in ("example", "EXAMPLE", "changeme", "0123456789"):
-        assert added(f"{word}_key={rand}") == [("base64_entropy", len(word), len(word) + 25)]
+        assert added(f"{word}_key={rand}") == [("base64_entropy", len(word) + 5, len(word) + 25)]
     assert added(f"{rand}/xxxx/{rand}") == [("base64_entropy", 0, 21), ("base64_entropy", 25, 46)]
     assert added(rand * 100 + "xxxx" + rand * 100) == [("base64_entropy", 0, 2000), ("base64_entropy", 2004, 4004)]
     assert added("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") == added("example_0123456789_placeholder") == []
 
 
+def drawn(rng, signs, n):
+    while True:
+        word = "".join(rng.choice(signs) for _ in range(n))
+        if re.search(r"\d", word) and re.search("[A-Za-z]", word):
+            return word
+
+
+def test_random_secrets_are_found_and_look_alikes_are_not():
+    """Recall on strings drawn at random, in texts and outside assignments; precision beside names, paths, dates, versions and UUIDs."""
+    rng, scanner = random.Random(29), secrets.Scanner()
+    up, low, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {"hex": digits + "ABCDEF", "base32": up + "234567", "lower": low + digits, "alnum": up + low + digits, "base64": up + low + digits + "+/", "url": up + low + digits + "_-"}
+    found = total = hits = spans = 0
+    for name, signs in kinds.items():
+        for n in (20, 24, 32, 40, 64):
+            for _ in range(40):
+                secret = drawn(rng, signs, n)
+                text = f"Words before {secret} and after, then more."
+                got = scanner.added(text, [])
+                covered = {i for _, a, b in got for i in range(a, b)} & set(range(13, 13 + n))
+                total, found = total + 1, found + (len(covered) >= 0.6 * n)
+                spans, hits = spans + len(got), hits + sum(a < 13 + n and b > 13 for _, a, b in got)
+    assert found >= 0.9 * total and hits == spans
+    words = ["parser", "Config", "numpy", "holiday", "park", "lake", "Service", "index", "cache", "python3", "lib", "core", "site", "packages", "build", "Release", "data", "HTTP", "user"]
+    pick = lambda: rng.choice(words)
+    number = lambda n: "".join(rng.choice(digits) for _ in range(n))
+    some_hex = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    makers = [
+        lambda: "/" + "/".join(pick() for _ in range(6)), lambda: f"img/2023-04-{10 + rng.randrange(18)}_{pick()}-{pick()}-{number(2)}", lambda: f"{pick()}-v{number(1)}-{number(2)}-{number(1)}-{pick()}-{pick()}",
+        lambda: f"urn-{some_hex(8)}-{some_hex(4)}-4{some_hex(3)}-a{some_hex(3)}-{some_hex(12)}", lambda: f"{pick().title()}{pick().title()}{pick().title()}{number(2)}By{pick().title()}{pick().title()}",
+        lambda: f"report_20{number(2)}_{number(8)}_{pick()}_{pick()}_final", lambda: f"{pick().upper()}_{pick().upper()}_{number(4)}_{pick().upper()}_MAX", lambda: "ab1" * 12, lambda: f"{number(30)}a", lambda: f"{pick()}=1+{pick()}=2+{pick()}=3_{pick()}",
+    ]
+    wrong = [t for _ in range(100) for make in makers if scanner.added(f"see {(t := make())} there", [])]
+    assert len(wrong) <= 0.01 * 100 * len(makers), wrong[:5]
+    assert not scanner.added("/usr/lib/python3/dist-packages/numpy/core and img/2023-04-17_holiday-park-lake-99", [])
+
+
+def test_thresholds_are_those_of_random_draws():
+    for signs, width, share in ((16, 20, 0.1), (64, 32, 0.02)):
+        rng = random.Random(3)
+        least = secrets.threshold(signs, width, share)
+        words = [[rng.randrange(signs) for _ in range(width)] for _ in range(3000)]
+        below = sum(-sum(c / width * math.log2(c / width) for c in collections.Counter(w).values()) < least for w in words)
+        assert abs(below / 3000 - share) < 0.03
+
+
 def test_classifier_learns_and_keeps_its_folds(spark):
     rng = random.Random(17)
     good = [" ".join(rng.choice(["the", "of", "cat", "dog", "runs", "home."]) for _ in range(40)) for _ in range(150)]

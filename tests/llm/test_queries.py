@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lexmere.llm import catalog, decontam, nbsvm, neardup, oracles
+from lexmere.llm import catalog, decontam, nbsvm, neardup, oracles, secrets
 from lexmere.llm.catalog import tokenizer
 from lexmere.llm.shared import stage, table
 
@@ -75,36 +76,46 @@ def entropy(part):
 
 
 def test_secrets_of_a_whole_table(spark, sf_dir, texts):
-    """Base spans by plain patterns; added spans by the entropy of every window, counted anew."""
-    signs = [("hex_entropy", r"[0-9a-fA-F]{20,}", 3.0), ("base64_entropy", r"[A-Za-z0-9+/_=-]{20,}", 3.9)]
-    kinds = ["assign", "access", "hex", "hex_entropy", "base64_entropy"]
+    """Base spans by plain patterns; added spans by the entropy of every window, counted anew; strings drawn at random are put into some texts."""
+    kinds = ["assign", "access", "hex", *(c.kind for c in secrets.CLASSES)]
+    rng = random.Random(31)
+    signs = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", "ABCDEF0123456789"]
+    planted = {i: f"{t} {''.join(rng.choice(rng.choice(signs)) for _ in range(3))} x/{''.join(rng.choice(signs[i % 4]) for _ in range(rng.randrange(18, 70)))}/é {t[:200]}" for i, t in texts.items() if i % 3 == 0}
+    planted |= {-1 - i: t for i, t in texts.items()}
     rows = {r["doc_id"]: r for r in catalog.op8_secret_scan(spark, sf_dir).collect()}
     assert rows.keys() == texts.keys()
-    for doc_id, text in texts.items():
+    more = spark.createDataFrame(list(planted.items()), "doc_id long, text string").repartition(4)
+    rows |= {r["doc_id"]: r for r in secrets.scan_secrets(more).collect() if r["doc_id"] not in rows or r["doc_id"] % 3 == 0}
+    met = set()
+    for doc_id, text in ((texts | planted) if rows else {}).items():
         low = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
         base = [("assign", *m.span()) for m in low.finditer(text) if len(m[2]) >= 12]
         base += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 18]
         base += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 16]
         held = [(a, b) for _, a, b in base]
         added = []
-        for kind, run, bits in signs:
+        for c in secrets.CLASSES:
             own = []
-            for m in re.finditer(run, text):
-                if not re.search(r"\d", m[0]) or not re.search("[A-Za-z]", m[0]) or re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", m[0]) or re.fullmatch(r"[A-Za-z]+([_/=+-]+[A-Za-z]+)*[_/=+-]*", m[0]):
+            for m in re.finditer(f"[{re.escape(c.signs)}]{{20,}}", text):
+                odd = [p.span() for p in re.finditer("[^/_=+-]+", m[0]) if not any(re.fullmatch(x, p[0]) for x in secrets.ALLOWED)]
+                run = m[0][odd[0][0] : odd[-1][1]] if odd else ""
+                if not re.search(r"\d", run) or not re.search("[A-Za-z]", run):
                     continue
-                hidden = {i for x in re.finditer("0123456789|abcdefghijklm|example|placeholder|changeme|xxxx", m[0], re.I) for i in range(*x.span())}
-                inside = sorted({j for i in range(len(m[0]) - 19) if not hidden & set(range(i, i + 20)) and entropy(m[0][i : i + 20]) >= bits - 1e-9 for j in range(i, i + 20)})
+                hidden = {i for x in secrets.PLACEHOLDER.finditer(run) for i in range(*x.span())}
+                inside = sorted({j for w, share in c.widths for i in range(len(run) - w + 1) if not hidden & set(range(i, i + w)) and entropy(run[i : i + w]) >= secrets.threshold(len(c.signs), w, share) - 1e-9 for j in range(i, i + w)})
                 for i, j in enumerate(inside):
                     if not i or inside[i - 1] != j - 1:
-                        own.append([m.start() + j, 0])
-                    own[-1][1] = m.start() + j + 1
+                        own.append([m.start() + odd[0][0] + j, 0])
+                    own[-1][1] = m.start() + odd[0][0] + j + 1
             own = [(a, b) for a, b in own if not any(x <= a and b <= y for x, y in held)]
             held += own
-            added += [(kind, a, b) for a, b in own]
+            added += [(c.kind, a, b) for a, b in own]
+        met |= {k for k, _, _ in added}
         written = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], kinds.index(s[0]), s[2])))
         r = rows[doc_id]
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for k, _, _ in base) for x in kinds[:3]]
         assert r["base_sha256"] == hashlib.sha256(written(base).encode()).hexdigest() and r["spans"] == written(base + added)
+    assert len(met) >= 4
 
 
 def test_classifier_on_labels_it_has_not_seen(spark):
