@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
 import itertools
 from collections import defaultdict
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,17 +141,22 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> D
     return ranks
 
 
-def distances(edges: DataFrame, start: object, max_rounds: int | None = None) -> DataFrame:
-    """node, distance: least sum of (non-negative) weights along outgoing edges, by rounds of relaxation until nothing gets shorter.
+def distances(edges: DataFrame, start: object, max_rounds: int | None = None, goal: object | None = None) -> DataFrame:
+    """node, distance, via: least sum of (non-negative) weights along outgoing edges, and the node before (null at the start; of equal ones the least).
 
-    A path of n edges takes n rounds and one more; with ``max_rounds``, an error if something still gets shorter in the last.
+    Rounds of relaxation until nothing gets shorter: a path of n edges takes n rounds and one more; with ``max_rounds``, an error if something still gets shorter
+    in the last. With a goal, what is farther than the goal by then is not followed.
     """
-    best = edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.lit(0.0).alias("distance"))
+    kind = edges.schema["src"].dataType
+    best = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(0.0).alias("distance"), F.lit(None).cast(kind).alias("via"))
     moved = best
     for n in itertools.count(1):
-        offers = moved.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min(F.col("distance") + F.col("weight")).alias("offer"))
-        better = offers.join(best, F.col("dst") == F.col("node"), "left").filter("distance is null or offer < distance")
-        moved = staged(better.select(F.col("dst").alias("node"), F.col("offer").alias("distance")), "relaxed")
+        offers = moved.join(edges, F.col("node") == F.col("src")).select("dst", F.struct((F.col("distance") + F.col("weight")).alias("offer"), F.col("src").alias("by")).alias("o")).groupBy("dst").agg(F.min("o").alias("o"))
+        better = offers.join(best, F.col("dst") == F.col("node"), "left").filter("distance is null or o.offer < distance")
+        if goal is not None:
+            limit = best.filter(F.col("node") == F.lit(goal)).agg(F.min("distance").alias("limit"))
+            better = better.crossJoin(F.broadcast(limit)).filter("limit is null or o.offer < limit")
+        moved = staged(better.select(F.col("dst").alias("node"), F.col("o.offer").alias("distance"), F.col("o.by").alias("via")), "relaxed")
         if moved.isEmpty():
             return best
         if n == max_rounds:
@@ -161,65 +164,70 @@ def distances(edges: DataFrame, start: object, max_rounds: int | None = None) ->
         best = staged(best.join(moved.select("node"), "node", "left_anti").unionByName(moved), "distances")
 
 
-def communities(edges: DataFrame, bound: int = 2_000_000, rounds: int = 20) -> dict[object, int]:
-    """Louvain's local moves on an undirected weighted graph of at most ``bound`` edges, level by level, on the driver."""
-    rows = edges.select("src", "dst", "weight").limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"more than {bound} edges")
-    near: dict = defaultdict(lambda: defaultdict(float))
-    for s, d, w in rows:
-        near[s][d] += w
-        if s != d:
-            near[d][s] += w
-    member = {v: v for v in near}
-    graph = near
-    for _ in range(rounds):
-        of = {v: v for v in graph}
-        strength = {v: sum(graph[v].values()) + graph[v].get(v, 0.0) for v in graph}
-        total = dict(strength)
-        all_ = sum(strength.values()) or 1.0
-        moved_any, moved = False, True
-        while moved:
-            moved = False
-            for v in sorted(graph, key=str):
-                links: dict = defaultdict(float)
-                for u, w in graph[v].items():
-                    if u != v:
-                        links[of[u]] += w
-                total[of[v]] -= strength[v]
-                gain = lambda c, v=v, links=links: links.get(c, 0.0) - strength[v] * total.get(c, 0.0) / all_
-                best = max([of[v], *sorted(links, key=str)], key=gain)
-                if best != of[v] and gain(best) > gain(of[v]) + 1e-12:
-                    of[v], moved, moved_any = best, True, True
-                total[of[v]] = total.get(of[v], 0.0) + strength[v]
-        if not moved_any:
-            break
-        member = {v: of[c] for v, c in member.items()}
-        merged: dict = defaultdict(lambda: defaultdict(float))
-        for v, out in graph.items():
-            for u, w in out.items():
-                merged[of[v]][of[u]] += w if of[v] != of[u] else w / 2 if u != v else w
-        graph = merged
-    numbers = {c: i for i, c in enumerate(sorted(set(member.values()), key=str))}
-    return {v: numbers[c] for v, c in member.items()}
-
-
-def dijkstra(edges: DataFrame, start: object, goal: object, bound: int = 1_000_000) -> tuple[float, Sequence] | None:
-    """Distance and path to one goal, on the driver over the edges that can lie on it (at most ``bound``)."""
-    rows = edges.select("src", "dst", "weight").limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"more than {bound} edges; distances() has no bound")
-    out_of = defaultdict(list)
-    for s, d, w in rows:
-        out_of[s].append((d, w))
-    todo, done = [(0.0, [start])], set()
-    while todo:
-        far, path = heapq.heappop(todo)
-        if path[-1] == goal:
-            return far, path
-        if path[-1] not in done:
-            done.add(path[-1])
-            for d, w in out_of[path[-1]]:
-                if d not in done:
-                    heapq.heappush(todo, (far + w, [*path, d]))
-    return None
+def lightest_path(edges: DataFrame, start: object, goal: object) -> tuple[float, list] | None:
+    """Distance and nodes of a path of least weight to one goal, or None: the distances' predecessors, followed back from the goal by a look-up a step."""
+    best = distances(edges, start, goal=goal)
+    at = best.filter(F.col("node") == F.lit(goal)).head()
+    if at is None:
+        return None
+    far, path = at["distance"], [goal]
+    while at["via"] is not None:
+        path.append(at["via"])
+        at = best.filter(F.col("node") == F.lit(at["via"])).head()
+    return far, path[::-1]
+
+
+def modularity(links: DataFrame, of: DataFrame) -> float:
+    """Of links (u, v, w: each edge both ways, loops once with twice their weight) and communities (node, community)."""
+    name = lambda c: of.select(F.col("node").alias(c), F.col("community").alias(f"c{c}"))
+    held = links.join(name("u"), "u").join(name("v"), "v").groupBy("cu").agg(F.sum("w").alias("total"), F.sum(F.when(F.col("cu") == F.col("cv"), F.col("w")).otherwise(0.0)).alias("inside"))
+    all_ = F.broadcast(held.agg(F.sum("total").alias("all")))
+    return held.crossJoin(all_).agg(F.coalesce(F.sum(F.col("inside") / F.col("all") - F.pow(F.col("total") / F.col("all"), 2)), F.lit(0.0))).head()[0]
+
+
+def _level(links: DataFrame, patience: int) -> tuple[DataFrame, float]:
+    """Moves nodes to the neighbouring community that gains most, half of them a round, while modularity grows: the best (node, community) met, and its modularity."""
+    strength = staged(links.groupBy("u").agg(F.sum("w").alias("k")).withColumnRenamed("u", "node"), "strength")
+    total = strength.agg(F.sum("k")).head()[0]
+    state = strength.select("node", "k", F.col("node").alias("community"))
+    best, score, idle = state, modularity(links, state), 0
+    for n in itertools.count():
+        sums = state.groupBy("community").agg(F.sum("k").alias("held"))
+        near = links.filter("u != v").join(state.select(F.col("node").alias("v"), "community"), "v").groupBy(F.col("u").alias("node"), "community").agg(F.sum("w").alias("w"))
+        own = state.select("node", "community").withColumn("w", F.lit(0.0))
+        options = near.unionByName(own).groupBy("node", "community").agg(F.sum("w").alias("w")).join(sums, "community")
+        mine = state.select("node", "k", F.col("community").alias("now"))
+        gain = F.col("w") - F.col("k") * (F.col("held") - F.when(F.col("community") == F.col("now"), F.col("k")).otherwise(0.0)) / total
+        ranked = options.join(mine, "node").select("node", "k", "now", F.struct(F.round(gain, 9).alias("gain"), F.when(F.col("community") == F.col("now"), 1).otherwise(0).alias("stays"), F.col("community").alias("to")).alias("g"))
+        chosen = ranked.groupBy("node", "k", "now").agg(F.max("g").alias("g"))
+        turn = F.pmod(F.xxhash64("node", F.lit(n // 2)), F.lit(2)) == n % 2
+        state = staged(chosen.select("node", "k", F.when(turn, F.col("g.to")).otherwise(F.col("now")).alias("community"), (F.col("g.to") != F.col("now")).alias("wants")), "communities")
+        wanted = state.filter("wants").limit(1).count()
+        state = state.drop("wants")
+        now = modularity(links, state)
+        if now > score + 1e-9:
+            best, score, idle = state, now, 0
+        else:
+            idle += 1
+        if not wanted or idle >= patience:
+            return best, score
+
+
+def communities(edges: DataFrame, patience: int = 4) -> DataFrame:
+    """node, community: groups of an undirected weighted graph by modularity; a community is named by one of its nodes.
+
+    Local moves in parallel rounds, then communities become the nodes of the next level, while modularity grows: it ends when no
+    node wants to move, or after ``patience`` rounds without growth. Every round is joins and sums over the edges; nothing comes to the driver but a number.
+    """
+    ways = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("weight").cast("double").alias("w"))
+    ways = ways.filter("u != v").unionByName(ways.filter("u != v").select(F.col("v").alias("u"), F.col("u").alias("v"), "w")).unionByName(ways.filter("u = v").withColumn("w", F.col("w") * 2))
+    links = staged(ways.groupBy("u", "v").agg(F.sum("w").alias("w")), "links")
+    member, score = None, None
+    while True:
+        level, now = _level(links, patience)
+        if member is not None and now <= score + 1e-9:
+            return member
+        level, score = level.select("node", "community"), now
+        member = level if member is None else staged(member.select("node", F.col("community").alias("c")).join(level.select(F.col("node").alias("c"), "community"), "c").select("node", "community"), "members")
+        name = lambda c, level=level: level.select(F.col("node").alias(c), F.col("community").alias(f"c{c}"))
+        links = staged(links.join(name("u"), "u").join(name("v"), "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")), "links")

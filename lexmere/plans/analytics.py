@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lexmere.operators import ann, sketches, temporal
+from lexmere.operators import ann, graph, sketches, temporal, trigrams
 from lexmere.plans.registry import query, read
 from lexmere.sources.staging import shared_folder, staged
 
@@ -128,3 +128,30 @@ def lateral_chunks(spark, d):
     tables.register(spark)
     read(spark, d, "documents").select("doc_id", "text").createOrReplaceTempView("docs")
     return spark.sql("select d.doc_id, count(*) as paragraphs, sum(length(c.text)) as chars from docs d, lateral chunk_text(d.text, 1) c group by d.doc_id")
+
+
+@query("select 's' || s_suppkey as node, s_name as name, 'supplier' as type from supplier where contains(lower(s_name), '0001') or contains(lower(s_name), 'ier#00000009') order by name, node limit 100")
+def entity_search_index(spark, d):
+    """Suppliers by parts of their names, through the index of three-letter pieces."""
+    names = read(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.col("s_name").alias("name"), F.lit("supplier").alias("type"))
+    index = trigrams.NameIndex.build(names, f"{shared_folder(spark)}/names-{uuid.uuid4().hex}", 8)
+    return index.search("0001", limit=100).unionByName(index.search("IER#00000009", "supplier", limit=100)).distinct().orderBy("name", "node").limit(100)
+
+
+@query()
+def graph_communities(spark, d):
+    """Groups of regions, nations and suppliers, by modularity."""
+    from lexmere.plans.catalog import _graph
+
+    return graph.communities(_graph(spark, d)[1])
+
+
+@query("select 'found' as way, 3 as nodes from supplier join nation on s_nationkey = n_nationkey where s_suppkey = 1")
+def graph_lightest_path(spark, d):
+    """The lightest way from a supplier to its region, by the distances' predecessors."""
+    from lexmere.plans.catalog import _graph
+
+    _, edges = _graph(spark, d)
+    s = read(spark, d, "supplier").filter("s_suppkey = 1").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).head()
+    found = graph.lightest_path(edges, "s1", f"r{s['n_regionkey']}")
+    return spark.createDataFrame([("found" if found and found[1][1] == f"n{s['s_nationkey']}" else "lost", len(found[1]))], "way string, nodes int")

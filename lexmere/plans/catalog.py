@@ -401,7 +401,7 @@ def graph_pagerank(spark, d):
 
 @query(f"with recursive {_GRAPH}, w as (select 's1' as node, 0.0::double as distance union all select dst, distance + weight from w join edges on node = src) select node, min(distance) as distance from w group by 1")
 def graph_distances(spark, d):
-    return graph.distances(_graph(spark, d)[1], "s1")
+    return graph.distances(_graph(spark, d)[1], "s1").select("node", "distance")
 
 
 
