@@ -544,7 +544,7 @@ def ev_previous(spark, d):
     return read(spark, d, "events").select("user_id", "event_id", F.lag("event_id").over(w).alias("previous"), F.row_number().over(w).alias("n"))
 
 
-from lexmere.plans import analytics  # noqa: E402, F401  registers its queries
+from lexmere.plans import analytics, knowledge  # noqa: E402, F401  register their queries
 
 for _name, _text in passthrough.SQL.items():
     _QUERIES[_name] = passthrough.runner(_text)
