@@ -20,6 +20,7 @@ from lexmere.operators.segments import MOST_SEGMENTS, SegmentIndex
 from lexmere.sources import files
 from lexmere.sources.snapshots import Change, ConflictError, Store
 from lexmere.sources.staging import staged
+from lexmere.streaming import aggregates
 
 
 class KnowledgeBase:
@@ -60,14 +61,25 @@ class KnowledgeBase:
         rows = good.join(many, "doc_id", "left").select(
             "doc_id", "source", "source_type", "language", "title", "text", "file_size", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.lit(None).cast("map<string,string>").alias("metadata"), "tenant_id", F.current_timestamp().alias("created_at"))
         own = good.select("tenant_id", "doc_id")
+        lists = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("x")).select("doc_id", F.col("x.text").alias("chunks"))
         old_vectors = self.store.table("chunks").join(own, ["tenant_id", "doc_id"], "left_semi").select("tenant_id", "chunk_id")
+        new_entities, new_relations = self.store.merge("entities", entity, "ignore"), self.store.merge("relations", rel, "ignore")
+        events = self._emitted(
+            aggregates.facts(good, "doc_id", "DocumentIngested", ["doc_id", "source", "source_type", "title", "text"]), aggregates.facts(lists, "doc_id", "ChunksAdded", ["doc_id", "chunks"], 2),
+            aggregates.facts(new_entities.rows, "entity_id", "EntityCreated", ["name", "entity_type"]), aggregates.facts(new_relations.rows, "relation_id", "RelationCreated", ["source_entity_id", "target_entity_id", "relation_type"]))
         self.store.change({
-            "documents": self.store.merge("documents", rows), "chunks": Change(chunks, own), "chunk_vectors": Change(vectors, old_vectors), "embedding_cache": cache, "indexed_chunks": Change(self._entries(chunks), old_vectors),
-            "entities": self.store.merge("entities", entity, "ignore"), "relations": self.store.merge("relations", rel, "ignore"),
+            "events": events, "documents": self.store.merge("documents", rows), "chunks": Change(chunks, own), "chunk_vectors": Change(vectors, old_vectors), "embedding_cache": cache, "indexed_chunks": Change(self._entries(chunks), old_vectors),
+            "entities": new_entities, "relations": new_relations,
         }, operation)
         errors = [{"source": r["source"], "error": r["error"]} for r in docs.filter("error is not null").select("source", "error").toLocalIterator()]
         return {"documents": good.count(), "chunks": chunks.count(), "entities": entity.select("entity_id").distinct().count(), "errors": errors, "embedding_degraded": bool(degraded(vectors).head()[0])}
 
+    def _emitted(self, *facts: DataFrame) -> Change:
+        made = facts[0]
+        for f in facts[1:]:
+            made = made.unionByName(f)
+        return aggregates.emitted(self.store, self.tenant, made)
+
     def _embedded(self, chunks: DataFrame) -> tuple[DataFrame, Change]:
         """The chunks' vectors, checked for their dimension, and what is new of them for the cache; a text is embedded once, now or earlier."""
         model = self.embedder.model
@@ -86,7 +98,9 @@ class KnowledgeBase:
         blank = self.spark.createDataFrame([], schemas.TABLES["chunks"])
         chunks = staged(blank.unionByName(have, allowMissingColumns=True), "chunks")
         vectors, cache = self._embedded(chunks)
-        self.store.change({"chunks": Change(chunks, own), "chunk_vectors": Change(vectors, old), "embedding_cache": cache, "indexed_chunks": Change(self._entries(chunks), old)}, f"chunks of {doc_id}")
+        lists = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("x")).select("doc_id", F.col("x.text").alias("chunks"))
+        events = self._emitted(aggregates.facts(lists, "doc_id", "ChunksAdded", ["doc_id", "chunks"]))
+        self.store.change({"events": events, "chunks": Change(chunks, own), "chunk_vectors": Change(vectors, old), "embedding_cache": cache, "indexed_chunks": Change(self._entries(chunks), old)}, f"chunks of {doc_id}")
 
     def _entries(self, chunks: DataFrame) -> DataFrame:
         return self.index.add(chunks.select("chunk_id", "text")).withColumn("tenant_id", F.lit(self.tenant))
@@ -130,6 +144,7 @@ class KnowledgeBase:
         changes = {n: Change(gone=gone) for n in ("documents", "chunks", "document_tags", "metadata")}
         changes["chunk_vectors"] = changes["indexed_chunks"] = Change(gone=t("chunks").select("tenant_id", "chunk_id"))
         left = self._table("entities").filter(F.col("source_document_id") == doc_id).withColumn("source_document_id", F.lit(None).cast("string"))
+        changes["events"] = self._emitted(aggregates.facts(gone, "doc_id", "DocumentDeleted", ["doc_id"]))
         self.store.change(changes | {"entities": self.store.merge("entities", left)}, f"delete {doc_id}")
         return True
 
@@ -209,11 +224,11 @@ class KnowledgeBase:
         if always_new:
             key = uuid.uuid4().hex
             row = self.spark.createDataFrame([(key, self.tenant, name, entity_type, None, None, None, None, None, "manual", None)], schemas.ENTITIES)
-            self.store.change({"entities": Change(row)}, f"entity {name}")
+            self.store.change({"entities": Change(row), "events": self._emitted(aggregates.facts(row, "entity_id", "EntityCreated", ["name", "entity_type"]))}, f"entity {name}")
             return key
         key = self.spark.range(1).select(F.sha2(F.concat_ws("\u001f", F.lit(self.tenant), F.lit(name), F.lit(entity_type)), 256)).head()[0]
         row = self.spark.createDataFrame([(key, self.tenant, name, entity_type, None, None, None, None, None, "manual", None)], schemas.ENTITIES)
-        self.store.upsert({"entities": row}, f"entity {name}", "ignore")
+        self._create("entities", row, "entity_id", "EntityCreated", ["name", "entity_type"])
         return key
 
     def add_relation(self, source: str, target: str, relation_type: str, weight: float = 1.0) -> str:
@@ -223,9 +238,15 @@ class KnowledgeBase:
         for end in ("source_entity_id", "target_entity_id"):
             if not relational.missing_parents(row, self._table("entities"), end, "entity_id").isEmpty():
                 raise ValueError(f"{end} is unknown")
-        self.store.upsert({"relations": row}, f"relation {relation_type}", "ignore")
+        self._create("relations", row, "relation_id", "RelationCreated", ["source_entity_id", "target_entity_id", "relation_type"])
         return key
 
+    def _create(self, table: str, row: DataFrame, key: str, event: str, payload: list[str]) -> None:
+        """Adds a row with its event, in one commit; a row that is there stays, without one."""
+        new = self.store.merge(table, row, "ignore")
+        if not new.rows.isEmpty():
+            self.store.change({table: new, "events": self._emitted(aggregates.facts(new.rows, key, event, payload))}, f"add to {table}")
+
     def search_graph(self, text: str, entity_type: str | None = None, limit: int = 20) -> list[dict]:
         return [r.asDict() for r in graph.search_entities(self._graph()[0], text, entity_type, limit).collect()]
 
