@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmere.llm.shared import lower_ascii, row_key, small, stage, words
+from lexmere.llm.shared import drop, lower_ascii, row_key, small, stage, words
 
 #: Runs of letters and digits, all characters beyond ASCII included, after A-Z are lower-cased.
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -83,8 +83,8 @@ def alignments(index: DataFrame, places: DataFrame) -> DataFrame:
     return met.groupBy("key", "item_key").agg(F.collect_set("align").alias("aligns"))
 
 
-def proximity(index: DataFrame, places: DataFrame, slop: int = SLOP) -> DataFrame:
-    """key, item_key: documents that hold all indexed terms of an item within its length plus ``slop`` words, in any order.
+def proximity(index: DataFrame, places: DataFrame, slop: int = SLOP) -> tuple[DataFrame, list[DataFrame]]:
+    """The staged tables that are read, and key, item_key: documents that hold all indexed terms of an item within its length plus ``slop`` words, in any order.
 
     Pairs that lack a term go first, by a count. Then each pair's postings are folded in order: the last place of each
     term is kept, and the least of these tells whether all stand close together.
@@ -93,14 +93,15 @@ def proximity(index: DataFrame, places: DataFrame, slop: int = SLOP) -> DataFram
     numbered = stage(own.select("item_key", "reach", F.size("ts").alias("k"), F.posexplode("ts").alias("t", "term")), "item-terms")
     found = index.join(numbered, "term").select("key", "item_key", "reach", "k", "pos", "t")
     every = found.groupBy("key", "item_key").agg(F.count_distinct("t").alias("kinds"), F.first("k").alias("k")).filter("kinds = k").select("key", "item_key")
-    lists = found.join(stage(every, "holders"), ["key", "item_key"]).groupBy("key", "item_key", "reach", "k").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("at"))
+    holders = stage(every, "holders")
+    lists = found.join(holders, ["key", "item_key"]).groupBy("key", "item_key", "reach", "k").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("at"))
     none = F.struct(F.transform(F.sequence(F.lit(1), F.col("k")), lambda _: F.lit(-(1 << 30))).alias("last"), F.lit(False).alias("close"))
 
     def step(s: Column, x: Column) -> Column:
         last = F.transform(s["last"], lambda v, j: F.when(j == x["t"], x["pos"]).otherwise(v))
         return F.when(s["close"], s).otherwise(F.struct(last.alias("last"), (F.array_min(last) > x["pos"] - F.col("reach")).alias("close")))
 
-    return lists.filter(F.aggregate("at", none, step, lambda s: s["close"])).select("key", "item_key")
+    return lists.filter(F.aggregate("at", none, step, lambda s: s["close"])).select("key", "item_key"), [numbered, holders]
 
 
 def _hits(doc: Column, aligned: Column, window: int) -> Column:
@@ -120,21 +121,26 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry_key:
 
     hits are exact phrases, windows of items; near lists the items of proximity matches.
     Null or empty text: no words. Items without words are left out; null item_ids take part.
-    Rows equal in doc_id and text are one document and get equal results. Other columns aren't read.
+    Rows equal in doc_id and text are one document and get equal results. An empty table of documents gives no rows, one of items no hits;
+    texts are taken whole, however long. Other columns aren't read.
     """
     items = stage(items_of(benchmark.select("item_id", "text")), "items")
-    rows = stage(corpus_terms(docs.select("doc_id", "text")), "terms")
+    rows = terms = stage(corpus_terms(docs.select("doc_id", "text")), "terms")
     counts = stage(frequencies(rows, items.select(F.explode("item").alias("term")).distinct()), "term-counts")
     places = stage(anchors(items, counts, window), "anchors")
     index = stage(postings(rows, places.select("term").distinct()), "postings")
     few = small(items, F.aggregate("item", F.lit(64), lambda s, w: s + _wide(w)))
     exact = alignments(index, places).join(few, "item_key").select("key", F.struct("item_id", "item", "aligns").alias("a"), F.lit(None).cast(items.select(F.struct("item_id")).schema[0].dataType).alias("x"))
-    near = proximity(index, places).join(few, "item_key").select("key", F.lit(None).cast(exact.schema["a"].dataType).alias("a"), F.struct("item_id").alias("x"))
+    close, held_by = proximity(index, places)
+    near = close.join(few, "item_key").select("key", F.lit(None).cast(exact.schema["a"].dataType).alias("a"), F.struct("item_id").alias("x"))
     cands = stage(exact.unionByName(near).groupBy("key").agg(F.collect_list("a").alias("aligned"), F.collect_list("x").alias("near")), "candidates")
+    drop(items, counts, places, index, *held_by)
     held = F.aggregate("aligned", F.lit(128), lambda s, a: s + 64 + 16 * F.size(a["item"]) + 8 * F.size(a["aligns"]))
     rows = rows.join(small(cands, held + 16 * F.size("near")), "key", "left")
     hits = F.when(F.col("aligned").isNotNull(), _hits(F.col("w"), F.col("aligned"), window))
-    return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), hits.alias("hits"), "near", *["key"] * carry_key)
+    out = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), hits.alias("hits"), "near", *["key"] * carry_key)
+    out.reads = (terms, cands)  # staged tables that the result still reads
+    return out
 
 
 def judge(found: DataFrame) -> DataFrame:

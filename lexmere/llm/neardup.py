@@ -145,7 +145,9 @@ def _whole(led: DataFrame, classes: DataFrame, texts: DataFrame, size: int) -> D
     """node, regs, set of the classes that share a bucket."""
     keys = stage(led.select("node").distinct().join(classes.select("node", "key", "s1"), "node"), "wanted")
     rows = texts.join(small(keys, F.lit(48)), "key").select("node", "s1", "text").mapInArrow(_sets(size), "node long, regs binary, set binary")
-    return stage(rows.groupBy("node").agg(F.first("regs").alias("regs"), F.first("set").alias("set")), "sets")  # a row that is repeated has one key
+    sets = stage(rows.groupBy("node").agg(F.first("regs").alias("regs"), F.first("set").alias("set")), "sets")  # a row that is repeated has one key
+    drop(keys)
+    return sets
 
 
 def _parts(classes: str, shingles: str) -> F.Column:
@@ -180,16 +182,19 @@ def _across(led: DataFrame, comps: DataFrame, sizes: DataFrame, sets: DataFrame,
     mixed = stage(placed.join(several, "band", "left_semi").select("lead", "node", "comp").distinct().join(sizes, "node"), "mixed")
     drop(placed, several)
     if mixed.isEmpty():
+        drop(mixed)
         return None
     each = mixed.groupBy("lead", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("held"))
     stars = each.groupBy("lead").agg(F.max(F.struct("m", "held", "comp")).alias("top"), F.sum("m").alias("every"), F.sum("held").alias("all_held")).select(
         "lead", F.col("top.comp").alias("main"), "every", "all_held", (F.col("every") - F.col("top.m")).alias("rest"), (F.col("all_held") - F.col("top.held")).alias("rest_held"))
     stars = stage(stars.filter("rest > 0").select("lead", "main", _parts("every", "all_held").alias("parts"), _parts("rest", "rest_held").alias("minors")), "stars")
-    mixed = mixed.join(stars, "lead")
-    every = mixed.select("lead", "node", "comp", F.lit(False).alias("minor"), _part("parts").alias("x"), _each("minors").alias("y"))
-    minor = mixed.filter("comp != main").select("lead", "node", "comp", F.lit(True).alias("minor"), _each("parts").alias("x"), _part("minors").alias("y"))
+    all_ = mixed.join(stars, "lead")
+    every = all_.select("lead", "node", "comp", F.lit(False).alias("minor"), _part("parts").alias("x"), _each("minors").alias("y"))
+    minor = all_.filter("comp != main").select("lead", "node", "comp", F.lit(True).alias("minor"), _each("parts").alias("x"), _part("minors").alias("y"))
     rows = every.unionByName(minor).join(sets, "node")
-    return stage(rows.groupBy("lead", "x", "y").applyInArrow(_crossed(percent), "a long, b long"), "links")
+    links = stage(rows.groupBy("lead", "x", "y").applyInArrow(_crossed(percent), "a long, b long"), "links")
+    drop(mixed, stars)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -212,6 +217,7 @@ def components(links: DataFrame) -> DataFrame:
         drop(was)
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    drop(edges)
     ends = maps.pop()
     while maps:
         joined = maps.pop()
@@ -230,7 +236,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, carry_key
     shingle. Null, empty and blank texts have none and are linked with nothing. component_id is the
     least doc_id reachable over links, the own one included; kept is doc_id = component_id (null
     doc_ids count as equal and as larger than all others). Rows with one doc_id are documents
-    of their own; equal rows share a class. One row per input row; other columns aren't read.
+    of their own; equal rows share a class. One row per input row, none of an empty table; texts are taken whole, however
+    long; other columns aren't read.
     """
     texts = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("key"))
     kind = dict(docs.dtypes)["doc_id"]
@@ -243,24 +250,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, carry_key
     sets = _whole(led, classes, texts, size)
     links = _to_leaders(led, sizes, sets, percent)
     comps = components(links)
-    across = _across(led, comps, sizes, sets, percent)
+    across, further, own = _across(led, comps, sizes, sets, percent), None, comps
     if across is not None:  # a component's number is one of its nodes, a class without links has its own
         further = components(across)
         ends = further.select(F.col("node").alias("comp"), F.col("comp").alias("end"))
         comps = comps.join(ends, "comp", "left").select("node", F.coalesce("end", "comp").alias("comp")).unionByName(further).distinct()
-    drop(led, sets)
+    drop(led, sets, links, across)
 
-    linked = stage(comps.join(classes.select("node", "least"), "node"), "linked")
-    least = stage(linked.groupBy("comp").agg(F.min("least").alias("component_id")), "least")
-    linked = stage(linked.select("node", "comp").join(least, "comp"), "components")
+    joined = stage(comps.join(classes.select("node", "least"), "node"), "linked")
+    drop(own, further)
+    least = stage(joined.groupBy("comp").agg(F.min("least").alias("component_id")), "least")
+    linked = stage(joined.select("node", "comp").join(least, "comp"), "components")
+    drop(joined, least)
     named = classes.join(linked, "node", "left").select(
         "s1", "s2", F.when(F.col("comp").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("comp", "node").alias("comp"))
     more = ["comp"] * carry_key
     named = stage(named.select("s1", "s2", "component_id", *more), "named")
+    drop(classes, linked)
     more = ["key"] * carry_key + more
     out = rows.join(named, ["s1", "s2"], "left").select("doc_id", "n", "component_id", *more)
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *more)
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *more)
+    out.reads = (rows, named)  # staged tables that the result still reads
+    return out
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -270,9 +282,10 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Documents without words are linked with nothing and all stay. An empty table stays empty; columns
     are unchanged, whatever their names.
     """
-    found = near_duplicates(docs, size, percent, carry_key=True).filter("n_shingles > 0")
-    first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
+    found = near_duplicates(docs, size, percent, carry_key=True)
+    first = found.filter("n_shingles > 0").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
     first = stage(first.select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__first")), "first")
+    drop(*found.reads)
     worded = F.coalesce("text", F.lit("")).rlike(WORD)
     keyed = docs.filter(worded).withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
     one = keyed.join(first, (F.col("__key") == F.col("__first")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")

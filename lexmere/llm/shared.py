@@ -48,11 +48,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Deletes staged tables that nothing reads any more."""
+    """Deletes staged tables that nothing reads any more; others, such as columns of one, are passed over."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if (at := getattr(df, "staged_at", None)) is not None:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, width: Column) -> DataFrame:

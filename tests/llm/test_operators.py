@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexmere.llm import decontam, hyperminhash, linededup, linequality, nbsvm, neardup, packing, phrases, rans, secrets, sharding, tokenstore
+from lexmere.llm import decontam, hyperminhash, linededup, linequality, nbsvm, neardup, packing, phrases, rans, secrets, sharding, shared, tokenstore
 from lexmere.llm import textscan as ts
 from lexmere.llm import tokens as tk
 from lexmere.llm.catalog import tokenizer
@@ -575,3 +575,15 @@ def test_line_rules(spark):
     rows = sorted(linequality.measure(frame(spark, texts)).collect(), key=lambda r: r["doc_id"])
     assert [r["kept"] for r in rows] == [True, False, True, False]
     assert rows[0]["clean_text"] == prose + "\n" + more and rows[2]["clean_text"] == prose
+
+
+def test_only_what_a_result_reads_is_left(spark, tmp_path, monkeypatch):
+    """Staged tables go as soon as nothing reads them."""
+    docs = frame(spark, [f"{' '.join(f'w{j}' for j in range(60))} {i % 7}" for i in range(30)] + [None, "x y z"])
+    items = spark.createDataFrame([(1, " ".join(f"w{j}" for j in range(20))), (2, "w3")], "item_id long, text string")
+    monkeypatch.setitem(shared._local, spark.sparkContext.applicationId, str(tmp_path))
+    for run, left in ((lambda: neardup.near_duplicates(docs, 2, 80), {"sketches", "named"}), (lambda: neardup.keep_one(docs), {"first"}), (lambda: decontam.find(docs, items), {"terms", "candidates"})):
+        before = set(os.listdir(tmp_path))
+        out = run()
+        assert out.count() > 0
+        assert {n.rsplit("-", 1)[0] for n in set(os.listdir(tmp_path)) - before} == left
