@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lexmere.llm import decontam, linededup, nbsvm, neardup, packing
 from lexmere.llm.catalog import tokenizer
-from lexmere.llm.shared import row_key, stage, table
+from lexmere.llm.shared import drop, row_key, stage, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null and empty texts stay. A document is known by its doc_id and its text.
     """
-    found = decontam.judge(decontam.find(docs, table(spark, sf_dir, "benchmark"), carry_key=True))
-    bad = stage(found.filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("key").alias("__bad")).distinct(), "contaminated")
+    found = decontam.find(docs, table(spark, sf_dir, "benchmark"), carry_key=True)
+    bad = stage(decontam.judge(found).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("key").alias("__bad")).distinct(), "contaminated")
+    drop(*found.reads)
     keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
     return keyed.join(bad, (F.col("__key") == F.col("__bad")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
 
@@ -72,10 +73,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on documents, each one's result written and read again."""
+    """The stages on documents, each one's result written and read again, and deleted once the next one's is written."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
