@@ -577,13 +577,14 @@ def test_line_rules(spark):
     assert rows[0]["clean_text"] == prose + "\n" + more and rows[2]["clean_text"] == prose
 
 
-def test_only_what_a_result_reads_is_left(spark, tmp_path, monkeypatch):
+def test_only_what_a_result_reads_is_left(spark):
     """Staged tables go as soon as nothing reads them."""
     docs = frame(spark, [f"{' '.join(f'w{j}' for j in range(60))} {i % 7}" for i in range(30)] + [None, "x y z"])
     items = spark.createDataFrame([(1, " ".join(f"w{j}" for j in range(20))), (2, "w3")], "item_id long, text string")
-    monkeypatch.setitem(shared._local, spark.sparkContext.applicationId, str(tmp_path))
+    folder = shared.shared_dir(spark).removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
     for run, left in ((lambda: neardup.near_duplicates(docs, 2, 80), {"sketches", "named"}), (lambda: neardup.keep_one(docs), {"first"}), (lambda: decontam.find(docs, items), {"terms", "candidates"})):
-        before = set(os.listdir(tmp_path))
+        before = set(os.listdir(folder))
         out = run()
         assert out.count() > 0
-        assert {n.rsplit("-", 1)[0] for n in set(os.listdir(tmp_path)) - before} == left
+        assert {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before} == left
