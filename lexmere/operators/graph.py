@@ -8,7 +8,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmere.sources.staging import staged
+from lexmere.sources.staging import drop, staged
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -129,7 +129,8 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> D
     links = staged(edges.select("src", "dst").distinct(), "links")
     nodes = staged(links.select(F.col("src").alias("node")).union(links.select("dst")).distinct(), "nodes")
     degree = links.groupBy("src").agg(F.count("*").alias("degree"))
-    links = staged(links.join(degree, "src"), "links")
+    plain, links = links, staged(links.join(degree, "src"), "links")
+    drop(plain)
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for _ in range(iterations):
@@ -137,7 +138,11 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> D
         kept = F.broadcast(given.agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("kept")))
         new = nodes.join(given, F.col("node") == F.col("dst"), "left").crossJoin(kept)
         rank = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + (1 - F.col("kept")) / n)
-        ranks = staged(new.select("node", rank.alias("rank")), "ranks")
+        was, ranks = ranks, staged(new.select("node", rank.alias("rank")), "ranks")
+        drop(was)
+    if iterations:
+        drop(nodes)
+    drop(links)
     return ranks
 
 
@@ -156,12 +161,15 @@ def distances(edges: DataFrame, start: object, max_rounds: int | None = None, go
         if goal is not None:
             limit = best.filter(F.col("node") == F.lit(goal)).agg(F.min("distance").alias("limit"))
             better = better.crossJoin(F.broadcast(limit)).filter("limit is null or o.offer < limit")
-        moved = staged(better.select(F.col("dst").alias("node"), F.col("o.offer").alias("distance"), F.col("o.by").alias("via")), "relaxed")
+        was, moved = moved, staged(better.select(F.col("dst").alias("node"), F.col("o.offer").alias("distance"), F.col("o.by").alias("via")), "relaxed")
+        drop(was)
         if moved.isEmpty():
+            drop(moved)
             return best
         if n == max_rounds:
             raise ValueError(f"distances still get shorter after {max_rounds} rounds")
-        best = staged(best.join(moved.select("node"), "node", "left_anti").unionByName(moved), "distances")
+        was, best = best, staged(best.join(moved.select("node"), "node", "left_anti").unionByName(moved), "distances")
+        drop(was)
 
 
 def lightest_path(edges: DataFrame, start: object, goal: object) -> tuple[float, list] | None:
@@ -201,11 +209,13 @@ def _level(links: DataFrame, patience: int) -> tuple[DataFrame, float]:
         ranked = options.join(mine, "node").select("node", "k", "now", F.struct(F.round(gain, 9).alias("gain"), F.when(F.col("community") == F.col("now"), 1).otherwise(0).alias("stays"), F.col("community").alias("to")).alias("g"))
         chosen = ranked.groupBy("node", "k", "now").agg(F.max("g").alias("g"))
         turn = F.pmod(F.xxhash64("node", F.lit(n // 2)), F.lit(2)) == n % 2
-        state = staged(chosen.select("node", "k", F.when(turn, F.col("g.to")).otherwise(F.col("now")).alias("community"), (F.col("g.to") != F.col("now")).alias("wants")), "communities")
+        was, state = state, staged(chosen.select("node", "k", F.when(turn, F.col("g.to")).otherwise(F.col("now")).alias("community"), (F.col("g.to") != F.col("now")).alias("wants")), "communities")
         wanted = state.filter("wants").limit(1).count()
-        state = state.drop("wants")
         now = modularity(links, state)
+        if was is not best:
+            drop(was)
         if now > score + 1e-9:
+            drop(best)
             best, score, idle = state, now, 0
         else:
             idle += 1
@@ -227,7 +237,8 @@ def communities(edges: DataFrame, patience: int = 4) -> DataFrame:
         level, now = _level(links, patience)
         if member is not None and now <= score + 1e-9:
             return member
-        level, score = level.select("node", "community"), now
-        member = level if member is None else staged(member.select("node", F.col("community").alias("c")).join(level.select(F.col("node").alias("c"), "community"), "c").select("node", "community"), "members")
+        score, was = now, links
+        member = staged(level.select("node", "community"), "members") if member is None else staged(member.select("node", F.col("community").alias("c")).join(level.select(F.col("node").alias("c"), "community"), "c").select("node", "community"), "members")
         name = lambda c, level=level: level.select(F.col("node").alias(c), F.col("community").alias(f"c{c}"))
         links = staged(links.join(name("u"), "u").join(name("v"), "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")), "links")
+        drop(was, level)

@@ -24,4 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.staged_at = path
+    return made
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more; others are passed over."""
+    for df in tables:
+        if (at := getattr(df, "staged_at", None)) is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
