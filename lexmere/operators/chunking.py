@@ -147,7 +147,7 @@ def gaps(vectors: list[list[float]], window: int = 3) -> list[float]:
 def semantic(text: str, embed: Callable[[list[str]], list[list[float]]], max_size: int = MAX_SIZE, window: int = 3, threshold: float = 0.3, least: int = 200) -> list[Piece]:
     """Sentences grouped until the size is full or the meaning turns; paragraphs if there is one sentence or the embedder fails.
 
-    As in the system whose results these match, gap i is looked up before sentence i.
+    Gap i is looked up before sentence i.
     """
     sentences = split_sentences(text)
     if len(sentences) <= 1:
