@@ -194,3 +194,15 @@ def sql_write_insert_delete(spark, d):
     gone = _written(spark, d, "delete from labels where quality = 0 and toxic = 0")
     added, _ = sql.Writer(spark, {"labels": read(spark, d, "labels").select("doc_id", "quality", "toxic"), "documents": read(spark, d, "documents").select("doc_id", "n_chars")}, {"labels": ["doc_id"]}, {}).compile("insert into labels (doc_id, quality, toxic) select doc_id, 7, 1 from documents where n_chars > 10000 and doc_id not in (select doc_id from labels)")
     return gone.unionByName(added.rows)
+
+
+@query(r"""with l as (select doc_id, unnest(range(1, len(l) + 1)) as i, unnest(l) as s from (select doc_id, string_split(text, chr(10)) as l from documents)),
+k as (select *, case when trim(s, chr(9) || chr(32) || chr(13)) = '' then 'blank' when regexp_matches(s, '^ {0,3}#{1,6}[ \t]+\S') then 'Title' when regexp_matches(s, '^ {0,3}>') then 'Quote' when regexp_matches(s, '^[ \t]*([-*+]|[0-9]{1,9}[.)])[ \t]+\S') then 'ListItem' else 'NarrativeText' end as kind from l),
+g as (select *, case when kind in ('Title', 'ListItem') or kind is distinct from lag(kind) over (partition by doc_id order by i) then 1 else 0 end as new from k),
+b as (select doc_id, kind, sum(new) over (partition by doc_id order by i) as block, s, i from g)
+select doc_id, element_type, count(*) as blocks, sum(chars)::bigint as chars from (select doc_id, kind as element_type, block, length(trim(string_agg(s, chr(10) order by i), chr(9) || chr(32) || chr(13))) as chars from b where kind != 'blank' group by all) group by all""")
+def document_blocks(spark, d):
+    """How many blocks of each kind every document has, and how long they are."""
+    from lexmere.sources.blocks import block_elements
+
+    return block_elements(read(spark, d, "documents").select("doc_id", "text")).groupBy("doc_id", "element_type").agg(F.count("*").alias("blocks"), F.sum(F.col("end_char") - F.col("start_char")).alias("chars"))
