@@ -45,13 +45,13 @@ class KnowledgeBase:
         good = docs.filter("error is null")
         chunks = staged(chunking.chunk_documents(good, s["max_size"]), "chunks")
         vectors, cache = self._embedded(chunks)
-        found = extraction.with_ontology(extraction.extractor(self.config["extraction"]["backend"])(chunks, "chunk_id"), self.ontology)
+        found = staged(self._found(chunks), "found")
         of = chunks.select("chunk_id", "doc_id", "tenant_id")
         entity = found.join(of, "chunk_id").select(
             F.sha2(F.concat_ws("\u001f", "tenant_id", "name", "entity_type"), 256).alias("entity_id"), "tenant_id", "name", "entity_type", F.col("doc_id").alias("source_document_id"), "chunk_id",
-            F.lit(None).cast("int").alias("start_char"), F.lit(None).cast("int").alias("end_char"), F.lit(None).cast("double").alias("confidence"), F.lit("regex").alias("extractor_id"), F.create_map(F.lit("pattern"), F.col("pattern")).alias("metadata"))
+            "start_char", "end_char", "confidence", F.col("extractor").alias("extractor_id"), F.create_map(F.lit("pattern"), F.col("pattern")).alias("metadata"))
         entity = staged(entity, "entities")
-        pairs = extraction.cooccurrences(found.withColumn("confidence", F.lit(None).cast("double")), self.ontology)
+        pairs = extraction.cooccurrences(found, self.ontology)
         ids = entity.select("chunk_id", F.col("name"), "entity_id").distinct()
         rel = pairs.join(ids.select("chunk_id", F.col("name").alias("source"), F.col("entity_id").alias("source_entity_id")), ["chunk_id", "source"]).join(ids.select("chunk_id", F.col("name").alias("target"), F.col("entity_id").alias("target_entity_id")), ["chunk_id", "target"])
         rel = rel.select(
@@ -74,6 +74,25 @@ class KnowledgeBase:
         errors = [{"source": r["source"], "error": r["error"]} for r in docs.filter("error is not null").select("source", "error").toLocalIterator()]
         return {"documents": good.count(), "chunks": chunks.count(), "entities": entity.select("entity_id").distinct().count(), "errors": errors, "embedding_degraded": bool(degraded(vectors).head()[0])}
 
+    def _found(self, chunks: DataFrame) -> DataFrame:
+        """chunk_id, pos, name, entity_type, pattern, extractor, start_char, end_char, confidence of the chunks' entities, each name once a chunk.
+
+        Recorded extractions (config extraction.recorded: where their files lie) come first; chunks without any go through the backend. A code chunk's own
+        name is an entity as well.
+        """
+        about = self.config["extraction"]
+        blank = {"start_char": "int", "end_char": "int", "confidence": "double"}
+        none = [F.lit(None).cast(t).alias(c) for c, t in blank.items()]
+        own = extraction.with_ontology(extraction.extractor(about["backend"])(chunks, "chunk_id"), self.ontology)
+        own = own.select("chunk_id", "pos", "name", "entity_type", "pattern", F.lit(about["backend"]).alias("extractor"), *none)
+        if about.get("recorded"):
+            first = extraction.recorded(chunks, files.recorded_extractions(self.spark, about["recorded"]), self.ontology)
+            first = first.select("chunk_id", F.col("pos").cast("int").alias("pos"), "name", "entity_type", F.lit("recorded").alias("pattern"), F.lit("recorded").alias("extractor"), *blank)
+            own = extraction.with_fallback(first, own, "chunk_id")
+        named = chunks.filter("entity_name is not null").select("chunk_id", F.lit(-1).alias("pos"), F.col("entity_name").alias("name"), F.upper("chunk_type").alias("kind"))
+        named = extraction.with_ontology(named, self.ontology).select("chunk_id", "pos", "name", "entity_type", F.lit("entity_name").alias("pattern"), F.lit("chunker").alias("extractor"), *none)
+        return named.unionByName(own).groupBy("chunk_id", "name").agg(F.min_by(F.struct("pos", "entity_type", "pattern", "extractor", *blank), "pos").alias("x")).select("chunk_id", "name", "x.*")
+
     def _emitted(self, *facts: DataFrame) -> Change:
         made = facts[0]
         for f in facts[1:]:

@@ -16,7 +16,7 @@ DEFAULTS: dict[str, Any] = {
     "embedding": {"model": "seeded", "dimensions": 768, "batch_size": 32},
     "chunking": {"max_size": 2000, "window": 3, "threshold": 0.3},
     "search": {"top_k": 10, "rrf_k": 60, "floor": 0.3, "excluded_types": ["heading", "toc", "inventory"], "rerank": "identity"},
-    "extraction": {"backend": "regex"},
+    "extraction": {"backend": "regex", "recorded": None},
 }
 
 

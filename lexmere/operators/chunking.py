@@ -339,15 +339,28 @@ _OUT = (
 )
 
 
-def chunk_documents(docs: DataFrame, max_size: int = MAX_SIZE, embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
-    """Chunks of documents (doc_id, source, source_type, language, text, tenant_id) by their type; null texts have none."""
+#: Chunkers by source type, besides the library's own: from a text, its language and the greatest size to pieces.
+Chunker = Callable[[str, str | None, int], list[Piece]]
+_CHUNKERS: dict[str, Chunker] = {}
+
+
+def register(source_type: str, chunker: Chunker) -> None:
+    """Documents of a source type go through this chunker from now on."""
+    _CHUNKERS[source_type] = chunker
+
+
+def chunk_documents(docs: DataFrame, max_size: int = MAX_SIZE, embed: Callable[[list[str]], list[list[float]]] | None = None, chunkers: dict[str, Chunker] | None = None) -> DataFrame:
+    """Chunks of documents (doc_id, source, source_type, language, text, tenant_id) by their type; null texts have none. chunkers: for some types, in place of registered ones and the library's own."""
+    own = _CHUNKERS | (chunkers or {})
     names = [c.strip().split(" ")[0] for c in re.sub(r"<[^>]*>", "", _OUT).split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc in batch.to_dict("records"):
                 text = doc["text"] or ""
-                if doc["source_type"] == "markdown":
+                if doc["source_type"] in own:
+                    pieces = own[doc["source_type"]](text, doc["language"], max_size)
+                elif doc["source_type"] == "markdown":
                     pieces = markdown(text, max_size)
                 elif doc["source_type"] == "code":
                     pieces = code(text, doc["language"], max_size)

@@ -146,7 +146,14 @@ def with_fallback(primary: DataFrame, fallback: DataFrame, key: str = "doc_id")
     return primary.unionByName(fallback.join(primary.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
-_BACKENDS: dict[str, Callable[..., DataFrame]] = {"regex": entities}
+def patterned(docs: DataFrame, id_col: str = "doc_id", type_col: str = "source_type", text_col: str = "text") -> DataFrame:
+    """The older extractor with the kinds of each source type: classes and functions of code, concepts of other texts; columns as entities() has them."""
+    code = F.coalesce(F.col(type_col) == "code", F.lit(False))
+    parts = entities_by_pattern(docs.filter(code), ("class", "function"), (), id_col, text_col).unionByName(entities_by_pattern(docs.filter(~code), ("concept",), (), id_col, text_col))
+    return parts.select(id_col, "pos", "name", "kind", F.lit("older").alias("pattern"), F.lit(None).cast("int").alias("level"))
+
+
+_BACKENDS: dict[str, Callable[..., DataFrame]] = {"regex": entities, "patterns": patterned}
 
 
 def register(name: str, extract: Callable[..., DataFrame]) -> None:
