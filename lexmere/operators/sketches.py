@@ -5,20 +5,23 @@ of all their rows, so a report over any days reads summaries alone. All of it ru
 
 Bounds: distinct counts are within DISTINCT_ERROR of the truth with 95 % probability (HyperLogLog of 2**12
 registers); a quantile's rank is within RANK_ERROR (KLL of 400); a frequent item's count is exact while a group has at most
-``tracked`` items, and else within rows / (0.75 * tracked); membership never denies what was put in.
+``tracked`` items, and else approximate, where items that are no more frequent than the error aren't listed at all: ``top``
+counts the groups of more items. Membership never denies what was put in.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DISTINCT_BITS, DISTINCT_ERROR = 12, 0.04
 RANKS, RANK_ERROR = 400, 0.01
+COVERED = 0.8  # of the tracked items: an estimate within it is over twelve standard errors from a group of more than tracked
 
 
 class Spec(NamedTuple):
@@ -35,7 +38,7 @@ def _quoted(name: str) -> str:
 
 
 def summarize(rows: DataFrame, by: Sequence[str], spec: Spec) -> DataFrame:
-    """by, n, and the columns distinct_<c>, quantile_<c>, frequent_<c>. Nulls count in n alone; one shuffle of partial sketches."""
+    """by, n, and the columns distinct_<c>, quantile_<c>, frequent_<c>. Nulls count in n and as a frequent item alone; one shuffle of partial sketches."""
     parts = [F.count("*").alias("n")]
     parts += [F.hll_sketch_agg(c, DISTINCT_BITS).alias(f"distinct_{c}") for c in spec.distinct]
     parts += [F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(RANKS)).alias(f"quantile_{c}") for c in spec.quantile]
@@ -72,20 +75,40 @@ def frequent(column: str, k: int) -> Column:
     return F.expr(f"approx_top_k_estimate({_quoted(f'frequent_{column}')}, {k})")
 
 
+def top(summaries: DataFrame, rows: DataFrame, by: Sequence[str], column: str, k: int, tracked: int = Spec().tracked) -> DataFrame:
+    """by, column, count: the k items met most often in each group, and those that tie with the k-th. Exact; null is an item too.
+
+    ``summaries`` have the distinct and frequent sketches of the column, over all of ``rows``. They answer for the groups whose items
+    they all hold: the listed counts add up to n, and the estimated number of items is within COVERED. The items of the
+    other groups are counted from rows; each of those has about 0.8 * tracked rows at least, so their keys are few enough to broadcast.
+    """
+    listed = F.aggregate("__items", F.lit(0).cast("long"), lambda total, f: total + f["count"])
+    held = summaries.select(*by, "n", (distinct(column) + 1).alias("__distinct"), frequent(column, tracked).alias("__items"))
+    held = held.withColumn("__whole", (listed == F.col("n")) & (F.col("__distinct") <= COVERED * tracked))
+    known = held.filter("__whole").select(*by, F.inline("__items")).select(*by, F.col("item").alias(column), "count")
+    rest = held.filter("not __whole").select(*[F.col(c).alias(f"__{c}") for c in by])
+    within = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.lit(True))
+    counted = rows.join(F.broadcast(rest), within, "left_semi").groupBy(*by, column).agg(F.count("*").alias("count"))
+    place = F.rank().over(Window.partitionBy(*by).orderBy(F.desc("count")))
+    return known.unionByName(counted).withColumn("__place", place).filter(F.col("__place") <= k).drop("__place")
+
+
 class Store:
     """Summaries of each day in a folder of its own, under a path; a day is written whole and may be written again."""
 
     def __init__(self, path: str, by: Sequence[str], spec: Spec) -> None:
         self.path, self.by, self.spec = path, list(by), spec
+        self.schema = None  # of what was written here; no file says it where rows was empty
 
     def write(self, rows: DataFrame, time_col: str) -> None:
         """Summarizes rows by the group columns and day; days that rows has replace what was there."""
         made = summarize(rows.withColumn("day", F.to_date(time_col)), [*self.by, "day"], self.spec)
         made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(self.path)
+        self.schema = made.schema
 
     def read(self, spark, first: str | None = None, last: str | None = None, by: Sequence[str] | None = None) -> DataFrame:
         """One merged summary for each group of ``by`` over the days from first to last; other days' folders aren't read."""
-        rows = spark.read.parquet(self.path)
+        rows = (spark.read if self.schema is None else spark.read.schema(self.schema)).parquet(self.path)
         if first is not None:
             rows = rows.filter(F.col("day") >= F.lit(first).cast("date"))
         if last is not None:

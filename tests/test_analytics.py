@@ -94,6 +94,35 @@ def test_stored_days(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(day" in plan
 
 
+def test_frequent_users_whatever_their_number(spark, tmp_path):
+    """4,096 users are tracked; up to 6,144 still fit a sketch, but not its list, and of more that are alike it lists none."""
+    import duckdb
+    from conftest import same
+
+    from lexmere.plans import catalog
+
+    users = {"few": 40, "tracked": 4_096, "fit": 5_000, "many": 9_000, None: 7_000}
+    rows = [(t, u) for t, n in users.items() for u in range(n)]
+    rows += [(t, u) for t in ("few", "many", None) for u in (3, 3, 5, 7, 8)] + [("many", None)] * 2 + [("few", None)] * 9 + [("none", None)] * 2
+    events = spark.createDataFrame([(i, t, u, float(i % 7)) for i, (t, u) in enumerate(rows)], "event_id long, event_type string, user_id long, value double")
+    ts = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id") % 5 * 86_400)
+    c = duckdb.connect()
+    for d, table in (("all", events), ("empty", events.limit(0))):
+        table.withColumn("ts", ts).write.parquet(f"{tmp_path}/{d}/events.parquet")
+        c.execute(f"create or replace view events as select * from '{tmp_path}/{d}/events.parquet/*.parquet'")
+        want = c.sql(catalog.oracle_sql()["sketch_frequent"]).df()
+        assert len(want) == (4_096 + 5_000 + 5 + 5 + 4 + 1 if d == "all" else 0)
+        same(catalog.queries()["sketch_frequent"](spark, f"{tmp_path}/{d}").toPandas(), want)
+
+
+def test_top_reads_rows_only_for_groups_beyond_the_sketch(spark):
+    rows = spark.createDataFrame([("a", i % 50) for i in range(2_000)] + [("b", i % 3_000) for i in range(3_001)], "g string, who long")
+    summaries = sketches.summarize(rows, ["g"], sketches.Spec(distinct=["who"], frequent=["who"], tracked=1_024))
+    found = lambda r: sorted(map(tuple, sketches.top(summaries, r, ["g"], "who", 1, 1_024).collect()))
+    assert found(rows) == [("a", i, 40) for i in range(50)] + [("b", 0, 2)]
+    assert found(rows.filter("g = 'b'")) == found(rows) and found(rows.filter("g = 'a'")) == [("a", i, 40) for i in range(50)]
+
+
 def test_membership_misses_nothing(spark):
     inside = spark.range(5_000).select((F.col("id") * 7).alias("k"))
     bits = sketches.merged_membership(sketches.membership(inside.filter("k % 2 = 0"), "k", 5_000).unionByName(sketches.membership(inside.filter("k % 2 = 1"), "k", 5_000)))
